@@ -246,3 +246,71 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     for name, sql in (extra or {}).items():
         parts.append(f"{name} AS ({sql})")
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def _sql_lit(v, typ: str) -> str:
+    if v is None:
+        return f"CAST(NULL AS {typ})"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return f"CAST({v!r} AS {typ})"
+
+
+def values_cte(rows, cols: list[tuple[str, str]]) -> str:
+    body = ",\n    ".join("(" + ", ".join(_sql_lit(v, t) for v, (_, t) in zip(r, cols)) + ")"
+                          for r in rows)
+    names = ", ".join(n for n, _ in cols)
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in cols)
+    return f"SELECT {casts} FROM (VALUES\n    {body}) AS t({names})"
+
+
+_SCEN_COLS = [("scenario_id", "VARCHAR"), ("scenario_name", "VARCHAR"), ("strategy", "VARCHAR"),
+              ("n_securities", "BIGINT"), ("n_accounts", "BIGINT"), ("n_days", "INTEGER"),
+              ("holdings_per_slot", "INTEGER"), ("txn_ratio", "DOUBLE"), ("threads", "INTEGER"),
+              ("model_complexity", "VARCHAR"), ("use_partition_filter", "BOOLEAN"),
+              ("n_intermediate", "INTEGER"), ("n_marts", "INTEGER"), ("projected_rows", "BIGINT")]
+
+
+def scenario_config_sql() -> str:
+    d = K.SCENARIO_DEFAULTS
+    rows = []
+    for s in K.SCENARIOS:
+        r = list(s)
+        r[7] = float(d["txn_ratio"]) if r[7] is None else float(r[7])
+        r[13] = int(d["projected_rows"]) if r[13] is None else r[13]
+        rows.append(r)
+    base = values_cte(rows, _SCEN_COLS)
+    return (f"SELECT scenario_id, scenario_name, strategy, n_securities, n_accounts, n_days, "
+            f"holdings_per_slot, txn_ratio, threads, model_complexity, use_partition_filter, "
+            f"CAST({d['n_staging']} AS INTEGER) AS n_staging, n_intermediate, n_marts, projected_rows "
+            f"FROM ({base})")
+
+
+SLICE_MAP = values_cte([(s, K.SHARED_SLICES.get(s, s)) for s in K.SCENARIO_IDS],
+                       [("scenario_id", "VARCHAR"), ("slice_id", "VARCHAR")])
+TIME_BUDGET = values_cte(K.TIME_BUDGET, [("scenario_id", "VARCHAR"), ("budget_data_gen_min", "INTEGER"),
+                                         ("budget_dbt_run_min", "INTEGER"),
+                                         ("budget_total_min", "INTEGER")])
+THRESHOLDS = values_cte(K.THRESHOLDS, [("metric", "VARCHAR"), ("ok_limit", "INTEGER"),
+                                       ("warn_limit", "INTEGER")])
+
+SETTINGS_CTES = {
+    "scenario_config": scenario_config_sql(),
+    "slice_map": SLICE_MAP,
+    "time_budget": TIME_BUDGET,
+    "thresholds": THRESHOLDS,
+}
+
+
+def slice_counts_sql(table: str, col: str) -> str:
+    return f"""
+  SELECT m.scenario_id, CAST(coalesce(c.n, 0) AS BIGINT) AS {col}
+  FROM slice_map m LEFT JOIN (SELECT scenario_id AS slice_id, count(*) AS n FROM {table} GROUP BY 1) c
+    ON c.slice_id = m.slice_id"""
+
+
+def W2(body: str, extra: dict[str, str] | None = None) -> str:
+    """with_ctes plus the settings tables."""
+    return with_ctes(body, {**SETTINGS_CTES, **(extra or {})})
