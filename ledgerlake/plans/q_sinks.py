@@ -1 +1,84 @@
-"""Queries (filled in below)."""
+"""Sink queries: each performs its write(s) and returns the table read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import aggregates, marts, sinks
+from ..session import store_dir
+from ..sources import fixtures
+from . import oracle_base as O
+from .registry import query
+
+W2 = O.W2
+
+
+def _path(lake, name: str) -> str:
+    return f"{store_dir(lake.spark, lake.sf_dir)}/sinks/{name}"
+
+
+@query("snk_slice_reload", W2("""
+SELECT scenario_id, count(*) AS n_rows, CAST(sum(market_value_usd) AS DECIMAL(38,2)) AS total_mv_usd
+FROM raw_holdings GROUP BY scenario_id"""))
+def snk_slice_reload(lake):
+    """Land all slices, then reload S2 twice (delete + insert as a dynamic
+    partition overwrite): the second reload must change nothing."""
+    path = _path(lake, "holdings_by_slice")
+    h = lake.holdings.select("account_id", "security_id", "as_of_date", "market_value_usd",
+                             "scenario_id")
+    sinks.full_refresh(h, path, ["scenario_id"])
+    sinks.slice_reload(h, path, "S2")
+    sinks.slice_reload(h, path, "S2")
+    back = lake.spark.read.schema(h.schema).parquet(path)
+    return back.groupBy("scenario_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("market_value_usd").cast("decimal(38,2)").alias("total_mv_usd"))
+
+
+@query("snk_mart_full_refresh", W2(O.mart_sql(f"({O.rollup_sql(0)})")))
+def snk_mart_full_refresh(lake):
+    """Materialise mart 001 as a table, twice (a rerun replaces it)."""
+    path = _path(lake, "fct_portfolio_summary_001")
+    mart = marts.portfolio_summary(aggregates.position_rollup(lake.enriched(), 0))
+    sinks.full_refresh(mart, path)
+    sinks.full_refresh(mart, path)
+    return lake.spark.read.schema(mart.schema).parquet(path)
+
+
+@query("snk_insert_defaults", W2("""
+SELECT security_id, cusip, isin, ticker, security_name, asset_class, sub_asset_class, country,
+       currency, sector, credit_rating, issue_date, maturity_date, 1 AS is_active,
+       current_date AS created_dt
+FROM raw_securities"""))
+def snk_insert_defaults(lake):
+    src = fixtures.raw_securities(lake.spark, lake.sf_dir, with_defaults=False)
+    return sinks.insert_defaults(src, sinks.table_defaults("raw_securities"))
+
+
+@query("snk_identity_key", W2("""
+SELECT row_number() OVER (ORDER BY started_at, metric_id) AS new_id, metric_id, scenario_id, phase,
+       started_at
+FROM stress_metrics"""))
+def snk_identity_key(lake):
+    m = lake.metrics.select("metric_id", "scenario_id", "phase", "started_at")
+    return sinks.identity_key(m, ["started_at", "metric_id"], "new_id", lake.spark)
+
+
+@query("snk_incremental_equals_full", W2("""
+SELECT account_id, as_of_date, as_of_month, count(DISTINCT security_id) AS sec_count,
+       CAST(sum(market_value_usd) AS DECIMAL(38,2)) AS total_mv,
+       CAST(sum(unrealized_gain) AS DECIMAL(38,2)) AS total_gain
+FROM raw_holdings GROUP BY account_id, as_of_date, as_of_month"""))
+def snk_incremental_equals_full(lake):
+    """Full build up to a high-water month, then an incremental build of the
+    months from it on; the table read back equals one full build."""
+    path = _path(lake, "account_day_by_month")
+    h = lake.holdings
+    build = (h.groupBy("account_id", "as_of_date", "as_of_month")
+              .agg(F.count_distinct("security_id").alias("sec_count"),
+                   F.sum("market_value_usd").cast("decimal(38,2)").alias("total_mv"),
+                   F.sum("unrealized_gain").cast("decimal(38,2)").alias("total_gain")))
+    hwm = F.add_months(h.agg(F.max("as_of_month")).scalar(), -6)
+    sinks.full_refresh(build.where(F.col("as_of_month") <= hwm), path, ["as_of_month"])
+    sinks.incremental_load(build, path, "as_of_month", hwm)
+    return lake.spark.read.schema(build.schema).parquet(path)

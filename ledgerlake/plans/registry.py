@@ -23,8 +23,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _load_all() -> None:
-    from . import (q_generators, q_metrics, q_models, q_quality,  # noqa: F401
-                   q_sinks, q_sources)
+    from . import (q_generators, q_metrics, q_models, q_pipelines,  # noqa: F401
+                   q_quality, q_sinks, q_sources)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
