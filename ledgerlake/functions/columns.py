@@ -13,8 +13,10 @@ def _c(col) -> Column:
 
 
 def padded_id(prefix: str, col, width: int) -> Column:
-    """``prefix`` followed by the zero-padded integer (never truncated)."""
-    return F.format_string(f"{prefix}%0{width}d", _c(col))
+    """``prefix`` followed by the zero-padded non-negative integer; a number
+    wider than ``width`` is kept whole (lpad alone would truncate it)."""
+    s = _c(col).cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0")))
 
 
 def cycle_pick(values: list[str], col) -> Column:

@@ -12,11 +12,22 @@ BROADCAST_MAX_ROWS = 2_000_000
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 
 
+_row_counts: dict[tuple[str, int], int] = {}
+
+
+def row_count(df: DataFrame) -> int:
+    """Exact row count, remembered per session and plan (dimension tables
+    are counted once, not once per query)."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    if key not in _row_counts:
+        _row_counts[key] = df.count()
+    return _row_counts[key]
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` if a count proves it small; otherwise leave the
     strategy to the planner (sort-merge join, AQE skew splitting)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if row_count(df) <= max_rows else df
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
@@ -35,3 +46,11 @@ def partitions_for(n_bytes: int, spark: SparkSession,
                    target: int = TARGET_FILE_BYTES) -> int:
     """Enough partitions for ``target``-byte tasks, at least the core count."""
     return max(spark.sparkContext.defaultParallelism, math.ceil(n_bytes / target))
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition a scan over all cores when it yields fewer splits than
+    cores (a small file with one row group).  A large input already has
+    enough splits and is left as is, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

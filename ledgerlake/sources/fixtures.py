@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import cycle_pick, dec, padded_id
-from ..functions.sizing import sized_broadcast
+from ..functions.sizing import sized_broadcast, spread
+
+# Input tables that feed heavy per-row expressions, with a key to spread on.
+SPREAD_KEYS = {"lineitem": ["l_orderkey"], "orders": ["o_orderkey"], "events": ["event_id"],
+               "part": ["p_partkey"]}
 
 
 def read_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def _mv_cost(li: DataFrame) -> DataFrame:

@@ -31,6 +31,9 @@ TABLES = {
 }
 
 _ready: set[str] = set()
+# Landed tables as DataFrames, per application: file listing and schema
+# resolution happen once per session, not once per query.
+_frames: dict[str, DataFrame] = {}
 
 
 def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -67,16 +70,26 @@ def build(spark: SparkSession, sf_dir: str, name: str, force: bool = False) -> s
     n_parts = partitions_for(4 * n_bytes, spark)
     write_table(builder(spark, sf_dir), path, part_col, keys, n_parts)
     _ready.add(key)
+    _frames.pop(key, None)
     return path
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read a landed table (landing it first if needed) with its declared
     schema, so partition columns keep their types."""
-    path = build(spark, sf_dir, name)
-    schema = TABLES[name][0](spark, sf_dir).schema
-    return spark.read.schema(schema).parquet(path)
+    key = f"{spark.sparkContext.applicationId}:{table_path(spark, sf_dir, name)}"
+    df = _frames.get(key)
+    if df is None:
+        path = build(spark, sf_dir, name)
+        schema = TABLES[name][0](spark, sf_dir).schema
+        df = _frames[key] = spark.read.schema(schema).parquet(path)
+    return df
 
 
 def land_all(spark: SparkSession, sf_dir: str, force: bool = False) -> dict[str, str]:
-    return {n: build(spark, sf_dir, n, force=force) for n in TABLES}
+    """Land every raw table.  The tables are independent, so their write
+    jobs are submitted together and share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(TABLES)) as pool:
+        futs = {n: pool.submit(build, spark, sf_dir, n, force) for n in TABLES}
+        return {n: f.result() for n, f in futs.items()}
