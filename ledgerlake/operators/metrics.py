@@ -284,3 +284,24 @@ def pruning_matrix(h: DataFrame, spark: SparkSession, start: F.Column) -> DataFr
                     *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
                       for c in ["months_total", "months_scanned", "rows_total",
                                 "rows_in_scanned_months", "rows_scanned"]]))
+
+
+OVERLAY_FIELDS = ["total_duration_sec", "peak_memory_mb", "peak_cpu_pct", "total_rows"]
+
+
+def overlay(stored: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Merge new results over stored ones: a truthy (non-NULL, non-zero) new
+    value wins, otherwise the stored value stays; keys only in ``new`` are
+    added.  A full outer join on the key."""
+    s = stored.select(key, *[F.col(f).alias(f"_s_{f}") for f in fields])
+    n = new.select(key, *[F.col(f).alias(f"_n_{f}") for f in fields])
+    j = s.join(n, key, "full")
+    return j.select(key, *[F.coalesce(F.nullif(F.col(f"_n_{f}"), F.lit(0)), F.col(f"_s_{f}")).alias(f)
+                           for f in fields],
+                    F.col(f"_n_{fields[0]}").isNotNull().alias("from_new_run"))
+
+
+def split_runs(metrics: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Stored results (older rows) and a new run (the last ``days`` days)."""
+    cut = metrics.agg(F.max("started_at")).scalar() - F.make_dt_interval(days=F.lit(days))
+    return metrics.where(F.col("started_at") < cut), metrics.where(F.col("started_at") >= cut)

@@ -58,3 +58,22 @@ class Lake:
     def enriched(self, sid=None, pruning=False, complexity="medium") -> DataFrame:
         return joins.enriched(self.stg_holdings(sid, pruning, complexity),
                               self.stg_securities(), self.stg_accounts())
+
+    def register_views(self, sid: str | None = None) -> list[str]:
+        """Sources, staging and intermediate models as temporary views (the
+        "view" materialisation), so they can be queried with spark.sql."""
+        from .pipeline import int_name, intermediates, scenario
+        views = {n: self.raw(n) for n in ("raw_holdings", "raw_securities", "raw_accounts",
+                                          "raw_transactions", "stress_metrics")}
+        if sid is None:
+            views["stg_holdings"] = self.stg_holdings()
+        else:
+            sc = scenario(sid)
+            views["stg_holdings"] = self.stg_holdings(sid, sc.pruning, sc.complexity)
+            for j, df in enumerate(intermediates(self, sc)):
+                views[int_name(j)] = df
+        views["stg_securities"] = self.stg_securities()
+        views["stg_accounts"] = self.stg_accounts()
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return sorted(views)

@@ -132,3 +132,14 @@ def record_metrics(lake: Lake, rows: list[dict], path: str | None = None) -> str
               "notes string")
     sinks.bulk_append(df, path)
     return path
+
+
+def run_all(lake: Lake, sids: list[str] | None = None, metrics_path: str | None = None) -> str:
+    """The scenario loop: run each scenario, then append its metric rows.
+
+    Scenarios run one after another (each is itself a set of distributed
+    jobs); only a few metric rows per scenario reach the driver."""
+    path = None
+    for sid in sids or K.SCENARIO_IDS:
+        path = record_metrics(lake, run_scenario(lake, sid), metrics_path)
+    return path

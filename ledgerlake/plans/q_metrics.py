@@ -309,3 +309,20 @@ SELECT m.metric_id, m.scenario_id, m.phase, m.duration_sec,
 FROM stress_metrics m LEFT JOIN pmatrix e ON e.scenario_id = m.scenario_id AND m.phase = 'collect_stats'"""))
 def snk_metric_update(lake):
     return M.metric_update(lake.metrics, pruning_evidence(lake))
+
+
+_ROLL_COLS = ", ".join(M.OVERLAY_FIELDS)
+_ROLL_BODY = _MCTES["sc_rollup"].replace("FROM stress_metrics", "FROM {src}")
+
+
+@query("jn_metric_overlay", WM(f"""
+SELECT coalesce(s.scenario_id, n.scenario_id) AS scenario_id,
+       """ + ",\n       ".join(f"coalesce(nullif(n.{f}, 0), s.{f}) AS {f}" for f in M.OVERLAY_FIELDS) + f""",
+       n.total_duration_sec IS NOT NULL AS from_new_run
+FROM ({_ROLL_BODY.format(src="(SELECT * FROM stress_metrics WHERE started_at < (SELECT max(started_at) FROM stress_metrics) - INTERVAL 7 DAY)")}) s
+FULL OUTER JOIN ({_ROLL_BODY.format(src="(SELECT * FROM stress_metrics WHERE started_at >= (SELECT max(started_at) FROM stress_metrics) - INTERVAL 7 DAY)")}) n
+  ON n.scenario_id = s.scenario_id"""))
+def jn_metric_overlay(lake):
+    stored, new = M.split_runs(lake.metrics)
+    return M.overlay(M.scenario_rollup(stored), M.scenario_rollup(new), "scenario_id",
+                     M.OVERLAY_FIELDS)

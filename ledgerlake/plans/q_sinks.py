@@ -82,3 +82,18 @@ def snk_incremental_equals_full(lake):
     sinks.full_refresh(build.where(F.col("as_of_month") <= hwm), path, ["as_of_month"])
     sinks.incremental_load(build, path, "as_of_month", hwm)
     return lake.spark.read.schema(build.schema).parquet(path)
+
+
+@query("snk_incremental_stream", W2("""
+SELECT account_id, as_of_date, as_of_month, count(DISTINCT security_id) AS sec_count,
+       CAST(sum(market_value_usd) AS DECIMAL(38,2)) AS total_mv,
+       CAST(sum(unrealized_gain) AS DECIMAL(38,2)) AS total_gain
+FROM raw_holdings GROUP BY account_id, as_of_date, as_of_month"""))
+def snk_incremental_stream(lake):
+    """The same fact table built by the streaming incremental loader."""
+    from ..streaming.incremental import account_day_by_month, run_incremental
+    import uuid
+    out = f"{_path(lake, 'account_day_stream')}/{uuid.uuid4().hex}"
+    run_incremental(lake.spark, lake.sf_dir, out)
+    schema = account_day_by_month(lake.holdings).schema
+    return lake.spark.read.schema(schema).parquet(out)
