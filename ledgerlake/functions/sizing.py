@@ -7,10 +7,22 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when its row count is proven below this.
-BROADCAST_MAX_ROWS = 2_000_000
+from pyspark.sql import types as T
+
+# A side is broadcast only when its exact row count times its projected row
+# width is below this; above it the planner's shuffle join is used.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 
+_WIDTH = {T.StringType: 32, T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.DateType: 4,
+          T.TimestampType: 8, T.TimestampNTZType: 8, T.BooleanType: 1, T.DecimalType: 16,
+          T.ShortType: 2, T.ByteType: 1, T.FloatType: 4}
+
+
+def row_width(schema: T.StructType) -> int:
+    """Estimated in-memory bytes per row (strings at a conservative 32)."""
+    return 16 + sum(_WIDTH.get(type(f.dataType), 64) for f in schema.fields)
+
 
 _row_counts: dict[tuple[str, int], int] = {}
 
@@ -24,15 +36,18 @@ def row_count(df: DataFrame) -> int:
     return _row_counts[key]
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` if a count proves it small; otherwise leave the
-    strategy to the planner (sort-merge join, AQE skew splitting)."""
-    return F.broadcast(df) if row_count(df) <= max_rows else df
+def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` if an exact count times its row width proves it
+    small; otherwise leave the strategy to the planner (sort-merge join,
+    with AQE splitting skewed partitions)."""
+    return F.broadcast(df) if row_count(df) * row_width(df.schema) <= max_bytes else df
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return fact.join(sized_broadcast(dim, max_rows), on=on, how=how)
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join a (usually small) dimension; only the columns the caller selected
+    into ``dim`` are counted and shipped."""
+    return fact.join(sized_broadcast(dim, max_bytes), on=on, how=how)
 
 
 def input_bytes(spark: SparkSession, paths: list[str]) -> int:

@@ -152,3 +152,22 @@ def test_pipeline_marts_equal_per_mart_build(spark):
         one = portfolio_summary(ints[sc.intermediate_of(i)])
         mine = stacked.where(F.col("model") == mart_name(i)).drop("model")
         assert mine.exceptAll(one).count() == 0 and one.exceptAll(mine).count() == 0
+
+
+def test_broadcast_only_below_byte_bound(spark):
+    from ledgerlake.functions.sizing import sized_broadcast
+    import contextlib, io
+    small = spark.range(100).selectExpr("id", "cast(id as string) as s")
+    fact = spark.range(100000).selectExpr("id % 100 as id")
+
+    def plan(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(fact.join(sized_broadcast(small), "id"))
+        assert "BroadcastHashJoin" not in plan(fact.join(sized_broadcast(small, max_bytes=1000), "id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
