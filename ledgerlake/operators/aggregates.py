@@ -74,17 +74,27 @@ def natural_key_rows(h: DataFrame, keys=("account_id", "security_id", "as_of_dat
 
 
 def table_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Gathered statistics per column in one aggregation pass: rows,
-    distinct values, NULLs, min and max (as text), one row per column."""
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    """Gathered statistics per column: rows, distinct values, NULLs, min and
+    max (as text), one row per column.
+
+    Each column is first reduced to its distinct values with their counts (a
+    hash aggregate that combines map-side, so only distinct values shuffle);
+    min/max then run over that small set.  This avoids both the row
+    multiplication of a multi-column COUNT(DISTINCT) and a sort-based
+    aggregate for string min/max over the whole table.
+    """
+    parts = []
     for c in cols:
-        aggs += [F.count_distinct(c).alias(f"d_{c}"),
-                 F.count_if(F.col(c).isNull()).alias(f"n_{c}"),
-                 F.min(c).cast("string").alias(f"lo_{c}"),
-                 F.max(c).cast("string").alias(f"hi_{c}")]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col("n_rows").alias("num_rows"),
-                     F.col(f"d_{c}").alias("num_distinct"), F.col(f"n_{c}").alias("num_nulls"),
-                     F.col(f"lo_{c}").alias("low_value"), F.col(f"hi_{c}").alias("high_value"))
-            for c in cols]
-    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+        vals = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(vals.agg(
+            F.lit(c).alias("column_name"),
+            F.sum("n").cast("long").alias("num_rows"),
+            F.count("v").alias("num_distinct"),
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).cast("long")
+            .alias("num_nulls"),
+            F.min("v").cast("string").alias("low_value"),
+            F.max("v").cast("string").alias("high_value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

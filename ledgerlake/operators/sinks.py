@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
+def rebalanced(df: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Group rows by output partition before a partitioned write, so each
+    task writes few folders.  The rebalance hint lets AQE split a hot
+    partition value over several tasks and merge small ones."""
+    return df.hint("rebalance", *partition_by)
+
+
 def bulk_append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("append")
+    w = (rebalanced(df, partition_by) if partition_by else df).write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -23,7 +30,7 @@ def bulk_append(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replace the whole table (a mart built with --full-refresh)."""
-    w = df.write.mode("overwrite")
+    w = (rebalanced(df, partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -32,7 +39,8 @@ def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None
 def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace only the partitions present in ``df`` (dynamic overwrite);
     all other partitions stay as they are."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (rebalanced(df, partition_by).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_by).parquet(path))
 
 

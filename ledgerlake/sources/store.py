@@ -50,8 +50,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def write_table(df: DataFrame, path: str, part_col: str | None, keys: list[str],
                 n_parts: int, mode: str = "overwrite") -> None:
-    """Bulk write: one range-partitioned pass, sorted inside each file."""
-    out = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    """Bulk write, sorted inside each file.
+
+    A month-partitioned table is rebalanced on the month (AQE splits a hot
+    month over several tasks and merges small ones, without the extra
+    sampling pass a range partitioning needs); other tables are
+    range-partitioned on their key."""
+    if part_col:
+        out = df.hint("rebalance", part_col).sortWithinPartitions(*keys)
+    else:
+        out = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
     w = out.write.mode(mode).option("compression", "snappy")
     if part_col:
         w = w.partitionBy(part_col)
