@@ -73,7 +73,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 STORE_VERSION = "v3"
 
 
+STORE_TAG_CONF = "spark.ledgerlake.storeTag"
+
+
 def store_dir(spark: SparkSession, sf_dir: str) -> str:
-    """Folder for the tables this library derives from one input folder."""
-    key = hashlib.sha1(f"{STORE_VERSION}:{os.path.abspath(sf_dir)}".encode()).hexdigest()[:12]
+    """Folder for the tables this library derives from one input folder.
+
+    A session may set ``spark.ledgerlake.storeTag`` to keep its own copy
+    (the bench does, so its forced reload never rewrites files another job
+    is reading)."""
+    try:
+        tag = spark.conf.get(STORE_TAG_CONF)
+    except Exception:
+        tag = ""
+    key = hashlib.sha1(f"{STORE_VERSION}:{tag}:{os.path.abspath(sf_dir)}".encode()).hexdigest()[:12]
     return f"{checkpoint_root(spark)}/ledgerlake-store/{key}"
