@@ -12,12 +12,9 @@ from ..functions.sizing import join_dimension
 MONEY = "decimal(38,2)"
 
 
-def position_rollup(joined: DataFrame, variant: int) -> DataFrame:
-    """Intermediate model ``variant``: grouping ``variant mod 3``
-    (NULL asset class / sector is its own group)."""
-    keys = list(K.GROUPINGS[variant % len(K.GROUPINGS)])
+def _rollup_measures() -> list:
     mv = F.col("market_value_usd")
-    return joined.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("lot_count"),
         F.sum(mv).cast(MONEY).alias("total_mv_usd"),
         F.sum("cost_basis_usd").cast(MONEY).alias("total_cost_usd"),
@@ -25,7 +22,53 @@ def position_rollup(joined: DataFrame, variant: int) -> DataFrame:
         F.sum(F.when(F.col("is_cross_currency") == 1, mv).otherwise(0)).cast(MONEY)
         .alias("cross_ccy_mv_usd"),
         F.max(mv).alias("max_position_mv"),
-    )
+    ]
+
+
+ROLLUP_MEASURES = ["lot_count", "total_mv_usd", "total_cost_usd", "total_gain_usd",
+                   "cross_ccy_mv_usd", "max_position_mv"]
+
+
+def position_rollup(joined: DataFrame, variant: int) -> DataFrame:
+    """Intermediate model ``variant``: grouping ``variant mod 3``
+    (NULL asset class / sector is its own group)."""
+    keys = list(K.GROUPINGS[variant % len(K.GROUPINGS)])
+    return joined.groupBy(*keys).agg(*_rollup_measures())
+
+
+def rollup_sets(joined: DataFrame, variants: list[int]) -> tuple[DataFrame, dict[int, int]]:
+    """All distinct groupings of ``variants`` as GROUPING SETS of ONE
+    aggregate (one scan, one join, one shuffle).  Returns the aggregate,
+    which carries every key column plus ``_gid``, and the ``_gid`` of each
+    variant.  Rows of a grouping hold NULL in keys outside it; a real NULL
+    asset class or sector stays its own group because ``_gid`` separates
+    the sets."""
+    sets: list[list[str]] = []
+    for v in variants:
+        g = list(K.GROUPINGS[v % len(K.GROUPINGS)])
+        if g not in sets:
+            sets.append(g)
+    if len(sets) == 1:
+        agg = joined.groupBy(*sets[0]).agg(*_rollup_measures()).withColumn("_gid", F.lit(0).cast("long"))
+        return agg, {v: 0 for v in variants}
+    cols: list[str] = []
+    for g in sets:
+        cols += [c for c in g if c not in cols]
+    agg = joined.groupingSets(sets, *cols).agg(*_rollup_measures(), F.grouping_id().alias("_gid"))
+
+    def gid(v):
+        g = K.GROUPINGS[v % len(K.GROUPINGS)]
+        return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in g)
+    return agg, {v: gid(v) for v in variants}
+
+
+def position_rollups(joined: DataFrame, variants: list[int]) -> list[DataFrame]:
+    """One DataFrame per intermediate model, each a selection of the shared
+    grouping-sets aggregate (use ``rollup_sets`` directly to consume all of
+    them in one pass)."""
+    agg, gids = rollup_sets(joined, variants)
+    return [agg.where(F.col("_gid") == gids[v])
+               .select(*K.GROUPINGS[v % len(K.GROUPINGS)], *ROLLUP_MEASURES) for v in variants]
 
 
 def cross_currency_mv(h: DataFrame, keys: list[str]) -> DataFrame:

@@ -62,23 +62,35 @@ def staged(lake: Lake, sc: Scenario):
             lake.stg_securities(), lake.stg_accounts())
 
 
+def scenario_rollups(lake: Lake, sc: Scenario):
+    """The scenario's intermediates as one grouping-sets aggregate."""
+    h, s, a = staged(lake, sc)
+    variants = [sc.grouping_of(j) for j in range(sc.n_intermediate)]
+    agg, gids = aggregates.rollup_sets(joins.enriched(h, s, a), variants)
+    return agg, [gids[v] for v in variants]
+
+
 def intermediates(lake: Lake, sc: Scenario) -> list[DataFrame]:
     h, s, a = staged(lake, sc)
     joined = joins.enriched(h, s, a)
-    return [aggregates.position_rollup(joined, sc.grouping_of(j)) for j in range(sc.n_intermediate)]
+    return aggregates.position_rollups(joined, [sc.grouping_of(j) for j in range(sc.n_intermediate)])
 
 
 def stacked_marts(lake: Lake, sc: Scenario) -> DataFrame:
-    """All marts of a scenario in one plan: each intermediate is aggregated
-    once and fanned out to the marts that read it."""
-    parts = []
-    for j, inter in enumerate(intermediates(lake, sc)):
-        names = [mart_name(i) for i in range(sc.n_marts) if sc.intermediate_of(i) == j]
-        if not names:
-            continue
-        m = marts.portfolio_summary(inter)
-        parts.append(m.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("model"), "*"))
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    """All marts of a scenario in one pass: every row of the shared
+    aggregate fans out (``explode``) to the marts whose intermediate uses
+    its grouping.  One scan, one join, one shuffle, no union."""
+    agg, gid_of_int = scenario_rollups(lake, sc)
+    names: dict[int, list[str]] = {}
+    for i in range(sc.n_marts):
+        names.setdefault(gid_of_int[sc.intermediate_of(i)], []).append(mart_name(i))
+    models = None
+    for gid, ns in names.items():
+        arr = F.array(*[F.lit(n) for n in ns])
+        cond = F.col("_gid") == gid
+        models = F.when(cond, arr) if models is None else models.when(cond, arr)
+    fanned = agg.select(F.explode(models).alias("model"), *agg.columns)
+    return marts.portfolio_summary(fanned, keep=["model"])
 
 
 def run_scenario(lake: Lake, sid: str, run_root: str | None = None) -> list[dict]:
@@ -97,7 +109,13 @@ def run_scenario(lake: Lake, sid: str, run_root: str | None = None) -> list[dict
 
     t0, s0 = time.time(), datetime.now()
     n_rows = 0
-    for j, inter in enumerate(intermediates(lake, sc)):
+    # All intermediates in one pass, written once, split by grouping id.
+    agg, gids = scenario_rollups(lake, sc)
+    sinks.full_refresh(agg, f"{root}/intermediates", ["_gid"])
+    stored = lake.spark.read.parquet(f"{root}/intermediates")
+    for j in range(sc.n_intermediate):
+        keys = K.GROUPINGS[sc.grouping_of(j)]
+        inter = stored.where(F.col("_gid") == gids[j]).select(*keys, *aggregates.ROLLUP_MEASURES)
         sinks.full_refresh(inter, f"{root}/{int_name(j)}")
     for i in range(sc.n_marts):
         src = lake.spark.read.parquet(f"{root}/{int_name(sc.intermediate_of(i))}")

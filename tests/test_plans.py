@@ -62,8 +62,14 @@ def test_rollup_has_partial_aggregate(spark):
     assert "partial_sum" in p and "partial_count" in p
 
 
-def test_pipeline_reuses_one_aggregate_per_intermediate(spark):
-    # S3: 12 marts over 3 intermediates -> exactly 3 final aggregates.
-    p = plan(Q["pipe_S3"](spark, SF_CHECK))
-    assert p.count("Keys [3]: [account_id") >= 3
-    assert "Generate explode" in p or "Generate" in p
+def test_pipeline_is_one_scan_one_shuffle(spark):
+    # S3: 12 marts over 3 intermediates -> one grouping-sets aggregate, one
+    # shuffle, one scan of holdings, fanned out with explode (no union).
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        Q["pipe_S3"](spark, SF_CHECK).explain()
+    p = buf.getvalue()
+    assert p.count("Exchange hashpartitioning") == 1
+    assert p.count("Expand [") == 1 and "Generate explode" in p
+    assert "Union" not in p
+    assert p.count("raw_holdings") == 1
