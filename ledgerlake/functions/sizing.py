@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,6 @@ from pyspark.sql import types as T
 # A side is broadcast only when its exact row count times its projected row
 # width is below this; above it the planner's shuffle join is used.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-TARGET_FILE_BYTES = 128 * 1024 * 1024
 
 _WIDTH = {T.StringType: 32, T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.DateType: 4,
           T.TimestampType: 8, T.TimestampNTZType: 8, T.BooleanType: 1, T.DecimalType: 16,
@@ -50,19 +47,6 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
     return fact.join(sized_broadcast(dim, max_bytes), on=on, how=how)
 
 
-def input_bytes(spark: SparkSession, paths: list[str]) -> int:
-    """Total size of the files behind ``paths`` (footer metadata only)."""
-    df = spark.read.parquet(*paths).select("_metadata.file_path", "_metadata.file_size")
-    row = df.distinct().agg(F.sum("file_size").alias("b")).first()
-    return int(row["b"] or 0)
-
-
-def partitions_for(n_bytes: int, spark: SparkSession,
-                   target: int = TARGET_FILE_BYTES) -> int:
-    """Enough partitions for ``target``-byte tasks, at least the core count."""
-    return max(spark.sparkContext.defaultParallelism, math.ceil(n_bytes / target))
-
-
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash-partition a scan over all cores when it yields fewer splits than
     cores (a small file with one row group).  A large input already has

@@ -70,7 +70,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-STORE_VERSION = "v3"
+def _code_fingerprint() -> str:
+    """Hash of the code that defines the landed tables: a change to it gives
+    a new store folder, so stale derived data is never reused."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    h = hashlib.sha1()
+    for rel in ("constants.py", "sources/fixtures.py", "sources/store.py",
+                "functions/columns.py"):
+        with open(os.path.join(here, rel), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:10]
+
+
+STORE_VERSION = _code_fingerprint()
 
 
 STORE_TAG_CONF = "spark.ledgerlake.storeTag"

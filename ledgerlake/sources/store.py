@@ -1,9 +1,8 @@
 """The raw landing zone: derived tables written once as parquet.
 
-Large tables are range-partitioned before the write so that each task writes
-a bounded, contiguous slice of months (a hot month or account is split across
-tasks by the finer sort keys), then sorted inside each file so parquet
-row-group statistics can skip on account and date.  ``raw_holdings`` and
+Rows are rebalanced on the month (AQE splits a hot month across tasks and
+merges small ones) and sorted inside each file, so parquet row-group
+statistics can skip on account and date.  ``raw_holdings`` and
 ``raw_transactions`` are stored in one folder per month, so a month predicate
 prunes whole folders.
 """
@@ -13,7 +12,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.sizing import input_bytes, partitions_for
 from ..session import store_dir
 from . import fixtures
 
@@ -49,17 +47,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, part_col: str | None, keys: list[str],
-                n_parts: int, mode: str = "overwrite") -> None:
+                mode: str = "overwrite") -> None:
     """Bulk write, sorted inside each file.
 
-    A month-partitioned table is rebalanced on the month (AQE splits a hot
-    month over several tasks and merges small ones, without the extra
-    sampling pass a range partitioning needs); other tables are
-    range-partitioned on their key."""
-    if part_col:
-        out = df.hint("rebalance", part_col).sortWithinPartitions(*keys)
-    else:
-        out = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    Rows are rebalanced on the partition column (or the leading key): AQE
+    sizes the write tasks from runtime statistics, splits a hot month or key
+    over several tasks and merges small ones, with no sampling pass and no
+    up-front size estimate."""
+    out = df.hint("rebalance", part_col or keys[0]).sortWithinPartitions(*keys)
     w = out.write.mode(mode).option("compression", "snappy")
     if part_col:
         w = w.partitionBy(part_col)
@@ -72,11 +67,8 @@ def build(spark: SparkSession, sf_dir: str, name: str, force: bool = False) -> s
     if not force and (key in _ready or exists(spark, path)):
         _ready.add(key)
         return path
-    builder, part_col, keys, inputs = TABLES[name]
-    n_bytes = input_bytes(spark, [f"{sf_dir}/{t}.parquet" for t in inputs])
-    # Input is compressed parquet; the derived table is a few times wider.
-    n_parts = partitions_for(4 * n_bytes, spark)
-    write_table(builder(spark, sf_dir), path, part_col, keys, n_parts)
+    builder, part_col, keys, _inputs = TABLES[name]
+    write_table(builder(spark, sf_dir), path, part_col, keys)
     _ready.add(key)
     _frames.pop(key, None)
     return path
