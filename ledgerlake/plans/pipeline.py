@@ -109,6 +109,10 @@ def run_scenario(lake: Lake, sid: str, run_root: str | None = None) -> list[dict
 
     t0, s0 = time.time(), datetime.now()
     n_rows = 0
+    if sc.complexity in ("complex", "extreme"):
+        # The wide staging columns are never read downstream, so a lazy plan
+        # would prune them away; materialise staging so their cost shows.
+        sinks.full_refresh(staged(lake, sc)[0], f"{root}/stg_holdings")
     # All intermediates in one pass, written once, split by grouping id.
     agg, gids = scenario_rollups(lake, sc)
     sinks.full_refresh(agg, f"{root}/intermediates", ["_gid"])
