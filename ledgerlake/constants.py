@@ -47,8 +47,8 @@ SCENARIOS = [
     # txn_ratio, threads, complexity, pruning, n_intermediate, n_marts, projected_rows
     ("S1", "Baseline", "real", 200, 30, 30, 15, 0.08, 1, "simple", False, 1, 3, None),
     ("S2", "Current State", "real", 500, 100, 60, 25, 0.06, 4, "medium", False, 2, 8, None),
-    ("S3", "Full SWP Migration", "real", 1000, 200, 90, 30, 0.05, 8, "medium", False, 3, 12, None),
-    ("S4", "Complex SQL (RMJ Legacy)", "real", 500, 100, 60, 25, 0.08, 4, "extreme", False, 2, 8, None),
+    ("S3", "Full Migration", "real", 1000, 200, 90, 30, 0.05, 8, "medium", False, 3, 12, None),
+    ("S4", "Complex SQL", "real", 500, 100, 60, 25, 0.08, 4, "extreme", False, 2, 8, None),
     ("S5", "Data at Scale — No Pruning", "real", 2000, 300, 90, 40, 0.04, 8, "medium", False, 2, 8, None),
     ("S6", "Data at Scale — Pruning ON", "real_shared", 2000, 300, 90, 40, 0.04, 8, "medium", True, 2, 8, None),
     ("S7", "Enterprise Full (1.1B rows projected)", "scaled_stats", 5000, 1000, 30, 33, None, 8, "complex", True, 3, 15, 1_100_000_000),
