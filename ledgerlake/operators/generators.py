@@ -15,24 +15,30 @@ from ..functions.columns import cycle_pick, half_up_div, padded_id
 from ..sources.catalog import scenario_config, slice_map
 from ..sources.fixtures import account_day_totals, weight_column
 
-SALT_BUCKETS = 64
+ROWS_PER_BUCKET = 1_000_000
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list, k_col: str,
-                    salt_col: str, buckets: int = SALT_BUCKETS) -> DataFrame:
+                    salt_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Rows ranked 1..k per group (k from column ``k_col``), in two stages.
 
-    Stage 1 ranks within (group, salt bucket) and keeps at most k per bucket,
-    so a hot group is spread over ``buckets`` tasks; stage 2 ranks the at most
-    ``buckets * k`` survivors of each group.  ``order`` must be a total order.
+    Each group is split into ceil(rows / ``rows_per_bucket``) salt buckets,
+    sized from its row count (a partial aggregate joined back; AQE splits a
+    hot key in that join).  Stage 1 ranks within (group, bucket) and keeps at
+    most k per bucket, so no window task holds more than about
+    ``rows_per_bucket`` rows; stage 2 ranks the at most buckets x k
+    survivors of each group.  ``order`` must be a total order.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(buckets)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_bucket)))
+    salted = (df.join(sizes, keys, "inner")
+                .withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), buckets)))
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
     s1 = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= F.col(k_col))
     w2 = Window.partitionBy(*keys).orderBy(*order)
     return (s1.withColumn("rank_in_slot", F.row_number().over(w2).cast("long"))
               .where(F.col("rank_in_slot") <= F.col(k_col))
-              .drop("_salt", "_r1"))
+              .drop("_salt", "_r1", "_n"))
 
 
 def _slice_holdings(h: DataFrame, spark: SparkSession) -> DataFrame:

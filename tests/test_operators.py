@@ -76,7 +76,7 @@ def test_salted_top_k_matches_brute_force_with_hot_group(spark):
             for i in range(6000)]
     df = spark.createDataFrame(rows, "g string, s string, h long").withColumn("k", F.lit(5))
     got = {(r.g, r.s, r.rank_in_slot) for r in
-           top_k_per_group(df, ["g"], [F.col("h"), F.col("s")], "k", "s", buckets=16).collect()}
+           top_k_per_group(df, ["g"], [F.col("h"), F.col("s")], "k", "s", rows_per_bucket=100).collect()}
     exp = set()
     by = {}
     for g, s, h in rows:
