@@ -22,6 +22,18 @@ def not_null_failures(df: DataFrame, model: str, cols: list[str],
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def not_null_on_base(base: DataFrame, tests: list[tuple[str, str, "F.Column"]],
+                     test: str = "not_null") -> DataFrame:
+    """Not-null tests of several models that are projections of one base
+    table, in ONE aggregation pass: ``tests`` holds (model, column, the
+    model's expression for that column over the base columns)."""
+    one = base.agg(*[F.count_if(e.isNull()).alias(f"_t{i}") for i, (_, _, e) in enumerate(tests)])
+    rows = [F.struct(F.lit(m).alias("model"), F.lit(c).alias("column_name"),
+                     F.lit(test).alias("test_name"), F.col(f"_t{i}").cast("long").alias("failures"))
+            for i, (m, c, _) in enumerate(tests)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key values (non-NULL) that occur more than once."""
     k = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys]))

@@ -76,26 +76,53 @@ def account_history(h: DataFrame, account_id: str, start: str, end: str) -> Data
 
 # ------------------------------------------------------------ projections --
 
-def holdings_extra_columns(complexity: str) -> list[Column]:
+def holdings_extra_columns(complexity: str) -> list[tuple[str, Column]]:
     """Extra staging columns by SQL complexity (simple/medium add none)."""
     if complexity == "extreme":
         return [
-            concentration_band(F.col("weight_in_acct")).alias("concentration_flag"),
-            fx_bucket(F.col("currency")).alias("fx_bucket"),
-            (F.col("market_value_usd") * F.lit(K.GROSS_UP_FACTOR).cast("decimal(2,1)"))
-            .cast("decimal(23,3)").alias("grossed_up_mv"),
-            (F.col("unrealized_gain").cast("double") /
-             F.nullif(F.col("cost_basis_usd"), F.lit(0)).cast("double")).alias("return_pct"),
+            ("concentration_flag", concentration_band(F.col("weight_in_acct"))),
+            ("fx_bucket", fx_bucket(F.col("currency"))),
+            ("grossed_up_mv", (F.col("market_value_usd") *
+                               F.lit(K.GROSS_UP_FACTOR).cast("decimal(2,1)")).cast("decimal(23,3)")),
+            ("return_pct", F.col("unrealized_gain").cast("double") /
+             F.nullif(F.col("cost_basis_usd"), F.lit(0)).cast("double")),
         ]
     if complexity == "complex":
         gain = F.col("unrealized_gain")
         return [
-            F.when(gain > 0, gain).otherwise(0).cast("decimal(20,2)").alias("gross_gain"),
-            F.when(gain < 0, gain).otherwise(0).cast("decimal(20,2)").alias("gross_loss"),
+            ("gross_gain", F.when(gain > 0, gain).otherwise(0).cast("decimal(20,2)")),
+            ("gross_loss", F.when(gain < 0, gain).otherwise(0).cast("decimal(20,2)")),
         ]
     return []
 
 
+def _named(exprs: list[tuple[str, Column]]) -> dict[str, Column]:
+    return {name: e for name, e in exprs}
+
+
+def stg_holdings_exprs(complexity: str = "medium") -> dict[str, Column]:
+    """The staging projection of holdings: output name -> expression over
+    raw columns (shared by the model and its data tests)."""
+    return _named([
+        ("account_id", F.col("account_id")),
+        ("security_id", F.col("security_id")),
+        ("as_of_date", F.col("as_of_date").cast("date")),
+        ("quantity", F.col("quantity").cast("decimal(28,8)")),
+        ("market_value_usd", F.col("market_value_usd").cast("decimal(20,2)")),
+        ("cost_basis_usd", F.col("cost_basis_usd").cast("decimal(20,2)")),
+        ("currency", F.upper("currency")),
+        ("fx_rate", F.col("fx_rate").cast("decimal(20,8)")),
+        ("unrealized_gain_usd", F.col("unrealized_gain").cast("decimal(20,2)")),
+        ("weight_in_portfolio", F.col("weight_in_acct").cast("decimal(10,8)")),
+        *holdings_extra_columns(complexity),
+        ("is_cross_currency", cross_currency_flag(F.col("currency"))),
+    ])
+
+
+def _select(exprs: dict[str, Column]) -> list[Column]:
+    return [e.alias(n) for n, e in exprs.items()]
+
+
 def stg_holdings(raw: DataFrame, sid: str | None = None, pruning: bool = False,
                  complexity: str = "medium", run_date=None,
                  keep_month: bool = False) -> DataFrame:
@@ -106,57 +133,49 @@ def stg_holdings(raw: DataFrame, sid: str | None = None, pruning: bool = False,
     if sid is not None:
         src = scenario_slice(src, sid)
     cols = HOLDINGS_SOURCE_COLS + (["as_of_month"] if keep_month else [])
-    src = src.select(*cols)
-    out = [
-        "account_id", "security_id",
-        F.col("as_of_date").cast("date").alias("as_of_date"),
-        F.col("quantity").cast("decimal(28,8)").alias("quantity"),
-        F.col("market_value_usd").cast("decimal(20,2)").alias("market_value_usd"),
-        F.col("cost_basis_usd").cast("decimal(20,2)").alias("cost_basis_usd"),
-        F.upper("currency").alias("currency"),
-        F.col("fx_rate").cast("decimal(20,8)").alias("fx_rate"),
-        F.col("unrealized_gain").cast("decimal(20,2)").alias("unrealized_gain_usd"),
-        F.col("weight_in_acct").cast("decimal(10,8)").alias("weight_in_portfolio"),
-        *holdings_extra_columns(complexity),
-        cross_currency_flag(F.col("currency")).alias("is_cross_currency"),
-    ]
-    if keep_month:
-        out.append("as_of_month")
-    return src.select(*out)
+    out = _select(stg_holdings_exprs(complexity)) + (["as_of_month"] if keep_month else [])
+    return src.select(*cols).select(*out)
+
+
+def stg_securities_exprs() -> dict[str, Column]:
+    return _named([
+        ("security_id", F.col("security_id")),
+        ("preferred_id", F.upper(F.coalesce("cusip", "isin"))),
+        ("cusip", F.upper("cusip")),
+        ("isin", F.upper("isin")),
+        ("ticker", F.upper("ticker")),
+        ("security_name", F.col("security_name")),
+        ("asset_class", F.upper("asset_class")),
+        ("sub_asset_class", F.col("sub_asset_class")),
+        ("country_code", F.col("country")),
+        ("currency_code", F.upper("currency")),
+        ("sector", F.col("sector")),
+        ("credit_rating", F.coalesce(F.col("credit_rating"), F.lit(K.DEFAULT_RATING))),
+        ("asset_class_display", asset_class_display(F.col("asset_class"))),
+        ("issue_date", F.col("issue_date").cast("date")),
+        ("maturity_date", F.col("maturity_date").cast("date")),
+        ("is_active", F.col("is_active")),
+    ])
 
 
 def stg_securities(raw: DataFrame) -> DataFrame:
-    s = raw.select(*SECURITIES_SOURCE_COLS)
-    return s.select(
-        "security_id",
-        F.upper(F.coalesce("cusip", "isin")).alias("preferred_id"),
-        F.upper("cusip").alias("cusip"),
-        F.upper("isin").alias("isin"),
-        F.upper("ticker").alias("ticker"),
-        "security_name",
-        F.upper("asset_class").alias("asset_class"),
-        "sub_asset_class",
-        F.col("country").alias("country_code"),
-        F.upper("currency").alias("currency_code"),
-        "sector",
-        F.coalesce(F.col("credit_rating"), F.lit(K.DEFAULT_RATING)).alias("credit_rating"),
-        asset_class_display(F.col("asset_class")).alias("asset_class_display"),
-        F.col("issue_date").cast("date").alias("issue_date"),
-        F.col("maturity_date").cast("date").alias("maturity_date"),
-        "is_active",
-    )
+    return raw.select(*SECURITIES_SOURCE_COLS).select(*_select(stg_securities_exprs()))
+
+
+def stg_accounts_exprs() -> dict[str, Column]:
+    return _named([
+        ("account_id", F.col("account_id")),
+        ("name", F.col("account_name")),
+        ("client_id", F.col("client_id")),
+        ("account_type", F.upper("account_type")),
+        ("base_currency", F.upper("base_currency")),
+        ("inception_date", F.col("inception_date").cast("date")),
+        ("status", F.upper("status")),
+        ("region", F.col("region")),
+        ("risk_profile", F.col("risk_profile")),
+        ("is_active", F.when(F.upper("status") == "ACTIVE", 1).otherwise(0)),
+    ])
 
 
 def stg_accounts(raw: DataFrame) -> DataFrame:
-    a = raw.select(*ACCOUNTS_SOURCE_COLS)
-    return a.select(
-        "account_id",
-        F.col("account_name").alias("name"),
-        "client_id",
-        F.upper("account_type").alias("account_type"),
-        F.upper("base_currency").alias("base_currency"),
-        F.col("inception_date").cast("date").alias("inception_date"),
-        F.upper("status").alias("status"),
-        "region", "risk_profile",
-        F.when(F.upper("status") == "ACTIVE", 1).otherwise(0).alias("is_active"),
-    )
+    return raw.select(*ACCOUNTS_SOURCE_COLS).select(*_select(stg_accounts_exprs()))

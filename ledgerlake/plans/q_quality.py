@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import quality as Q
+from ..operators import staging
 from . import oracle_base as O
 from .registry import query
 
@@ -51,8 +54,23 @@ def _unique_sql():
         for m, c in UNIQUE_TESTS)
 
 
+# Staging models are projections of a raw table: their tests run in the same
+# pass as the raw table's.
+_STAGED_FROM = {"stg_holdings": ("raw_holdings", staging.stg_holdings_exprs),
+                "stg_securities": ("raw_securities", staging.stg_securities_exprs),
+                "stg_accounts": ("raw_accounts", staging.stg_accounts_exprs)}
+
+
+def _expr_of(model: str, col: str):
+    return _STAGED_FROM[model][1]()[col] if model in _STAGED_FROM else F.col(col)
+
+
 def not_null_results(lake):
-    return Q.union_all([Q.not_null_failures(_model(lake, m), m, cols) for m, cols in NOT_NULL_TESTS])
+    by_base: dict[str, list] = {}
+    for m, cols in NOT_NULL_TESTS:
+        base = _STAGED_FROM.get(m, (m,))[0]
+        by_base.setdefault(base, []).extend((m, c, _expr_of(m, c)) for c in cols)
+    return Q.union_all([Q.not_null_on_base(lake.raw(b), tests) for b, tests in by_base.items()])
 
 
 def unique_results(lake):
