@@ -100,3 +100,24 @@ def store_dir(spark: SparkSession, sf_dir: str) -> str:
         tag = ""
     key = hashlib.sha1(f"{STORE_VERSION}:{tag}:{os.path.abspath(sf_dir)}".encode()).hexdigest()[:12]
     return f"{checkpoint_root(spark)}/ledgerlake-store/{key}"
+
+
+def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
+                 target_partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
+    """Settings sized to the data for a cluster run.
+
+    Shuffles start with enough partitions for ~``target_partition_bytes``
+    each (at least 2 waves of the cluster's cores) and AQE coalesces them to
+    the advisory size at run time, so a partition fits an executor's memory
+    at any scale; scans split files at the same size.
+    """
+    cores = executor_cores * executors
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        **{k: v for k, v in SESSION_CONF.items() if not k.startswith("spark.ui.")},
+    }

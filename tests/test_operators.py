@@ -171,3 +171,35 @@ def test_broadcast_only_below_byte_bound(spark):
         assert "BroadcastHashJoin" not in plan(fact.join(sized_broadcast(small, max_bytes=1000), "id"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sql_models_over_registered_views(spark):
+    """A mart written as SQL over the registered views equals the DataFrame
+    mart (the view materialisation, SNK-3)."""
+    from ledgerlake.plans.context import Lake
+    from ledgerlake.plans.pipeline import intermediates, scenario
+    from ledgerlake.operators.marts import portfolio_summary
+    lake = Lake(spark, SF_SMALL)
+    names = lake.register_views("S2")
+    assert "int_holdings_enriched_002" in names and "stg_holdings" in names
+    sql = spark.sql("""
+        SELECT account_id, as_of_date, lot_count, total_mv_usd, total_cost_usd, total_gain_usd,
+               cross_ccy_mv_usd, max_position_mv,
+               CASE WHEN total_cost_usd = 0 OR total_cost_usd IS NULL THEN NULL
+                    ELSE CAST(ROUND(total_mv_usd / total_cost_usd, 6) AS DOUBLE) END AS market_to_cost_ratio,
+               CASE WHEN total_mv_usd = 0 OR total_mv_usd IS NULL THEN 0D
+                    ELSE CAST(ROUND(cross_ccy_mv_usd / total_mv_usd, 6) AS DOUBLE) END AS cross_ccy_weight
+        FROM int_holdings_enriched_002""")
+    df = portfolio_summary(intermediates(lake, scenario("S2"))[1])
+    assert sql.count() == df.count() > 0
+    assert sql.exceptAll(df).count() == 0
+
+
+def test_cluster_conf_sizes_partitions():
+    from ledgerlake.session import cluster_conf
+    tb = 100 * 1024 ** 4
+    c = cluster_conf(tb, executor_cores=8, executors=1000)
+    assert int(c["spark.sql.shuffle.partitions"]) == tb // (128 * 1024 * 1024)
+    assert c["spark.sql.adaptive.enabled"] == "true"
+    small = cluster_conf(10 * 1024 ** 2, executor_cores=4, executors=2)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
