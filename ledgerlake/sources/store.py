@@ -9,13 +9,15 @@ prunes whole folders.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import store_dir
 from . import fixtures
 
-# name -> (builder, partition column, range/sort keys, input tables)
+# name -> (builder, partition column, sort keys, input tables)
 TABLES = {
     "raw_holdings": (fixtures.raw_holdings, "as_of_month",
                      ["as_of_month", "account_id", "as_of_date", "security_id"], ["lineitem"]),
@@ -29,6 +31,13 @@ TABLES = {
 }
 
 _ready: set[str] = set()
+_locks: dict[str, threading.Lock] = {}
+_locks_guard = threading.Lock()
+
+
+def _lock(key: str) -> threading.Lock:
+    with _locks_guard:
+        return _locks.setdefault(key, threading.Lock())
 # Landed tables as DataFrames, per application: file listing and schema
 # resolution happen once per session, not once per query.
 _frames: dict[str, DataFrame] = {}
@@ -62,15 +71,18 @@ def write_table(df: DataFrame, path: str, part_col: str | None, keys: list[str],
 
 
 def build(spark: SparkSession, sf_dir: str, name: str, force: bool = False) -> str:
+    """Land one table unless it is already committed (one writer per table
+    at a time within this driver)."""
     path = table_path(spark, sf_dir, name)
     key = f"{spark.sparkContext.applicationId}:{path}"
-    if not force and (key in _ready or exists(spark, path)):
+    with _lock(key):
+        if not force and (key in _ready or exists(spark, path)):
+            _ready.add(key)
+            return path
+        builder, part_col, keys, _inputs = TABLES[name]
+        write_table(builder(spark, sf_dir), path, part_col, keys)
         _ready.add(key)
-        return path
-    builder, part_col, keys, _inputs = TABLES[name]
-    write_table(builder(spark, sf_dir), path, part_col, keys)
-    _ready.add(key)
-    _frames.pop(key, None)
+        _frames.pop(key, None)
     return path
 
 
