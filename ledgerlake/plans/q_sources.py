@@ -69,13 +69,15 @@ def src_metrics_ordered(lake):
 
 @query("src_table_inventory")
 def src_table_inventory(lake):
-    """Landed tables by size: rows, files, bytes and GB (3 places)."""
-    parts = [catalog.file_inventory(lake.spark, t, store.build(lake.spark, lake.sf_dir, t))
-             for t in store.TABLES]
-    inv = reduce(lambda a, b: a.unionByName(b), parts)
-    return (inv.select("table_name", "num_rows", "num_files", "bytes",
-                       F.round(F.col("bytes") / F.lit(1073741824.0), 3).alias("size_gb"))
-            .orderBy(F.desc("bytes")))
+    """Landed tables by size: the table catalogue (rows) joined to the
+    segment catalogue (files, bytes) on table name and owner."""
+    paths = {t: store.build(lake.spark, lake.sf_dir, t) for t in store.TABLES}
+    tables = reduce(lambda a, b: a.unionByName(b),
+                    [catalog.table_catalogue(lake.spark, t, p, store.TABLES[t][1] is not None)
+                     for t, p in paths.items()])
+    segments = reduce(lambda a, b: a.unionByName(b),
+                      [catalog.segment_catalogue(lake.spark, t, p) for t, p in paths.items()])
+    return catalog.table_inventory(tables, segments)
 
 
 @query("src_partition_profile", W2("""

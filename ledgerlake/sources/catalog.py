@@ -85,13 +85,31 @@ def per_slice_counts(h: DataFrame, spark: SparkSession, col: str = "n_rows") ->
             .select("scenario_id", F.coalesce(F.col(col), F.lit(0)).cast("long").alias(col)))
 
 
-def file_inventory(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Files, bytes and rows of one landed table, from file metadata."""
-    df = spark.read.parquet(path)
-    per_file = df.select(F.col("_metadata.file_path").alias("f"),
-                         F.col("_metadata.file_size").alias("b"))
-    files = per_file.groupBy("f").agg(F.first("b").alias("b"), F.count(F.lit(1)).alias("n"))
-    return files.agg(F.lit(name).alias("table_name"),
-                     F.sum("n").alias("num_rows"),
-                     F.count(F.lit(1)).alias("num_files"),
-                     F.sum("b").alias("bytes"))
+OWNER = "ledgerlake"
+
+
+def table_catalogue(spark: SparkSession, name: str, path: str, partitioned: bool) -> DataFrame:
+    """One row per table: owner, name, row count, partitioned flag."""
+    return spark.read.parquet(path).agg(
+        F.lit(OWNER).alias("owner"), F.lit(name).alias("table_name"),
+        F.count(F.lit(1)).alias("num_rows"),
+        F.lit("YES" if partitioned else "NO").alias("partitioned"))
+
+
+def segment_catalogue(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """One row per table: owner, name, files and bytes, from file metadata
+    only (no data columns are read)."""
+    files = (spark.read.parquet(path)
+             .select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
+             .groupBy("f").agg(F.first("b").alias("b")))
+    return files.agg(F.lit(OWNER).alias("owner"), F.lit(name).alias("table_name"),
+                     F.count(F.lit(1)).alias("num_files"), F.sum("b").alias("bytes"))
+
+
+def table_inventory(tables: DataFrame, segments: DataFrame) -> DataFrame:
+    """Tables joined to their segments on (table name, owner); size in GB
+    to 3 places; largest first."""
+    j = tables.join(segments, ["table_name", "owner"], "inner")
+    return (j.select("table_name", "num_rows", "partitioned", "num_files", "bytes",
+                     F.round(F.col("bytes") / F.lit(1073741824.0), 3).alias("size_gb"))
+             .orderBy(F.desc("bytes")))
