@@ -12,7 +12,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +75,16 @@ def intermediates(lake: Lake, sc: Scenario) -> list[DataFrame]:
     return aggregates.position_rollups(joined, [sc.grouping_of(j) for j in range(sc.n_intermediate)])
 
 
+def _fan_out(agg: DataFrame, names_by_gid: dict[int, list[str]], col: str) -> DataFrame:
+    """Each aggregate row, once per model that reads its grouping."""
+    models = None
+    for gid, ns in names_by_gid.items():
+        arr = F.array(*[F.lit(n) for n in ns])
+        cond = F.col("_gid") == gid
+        models = F.when(cond, arr) if models is None else models.when(cond, arr)
+    return agg.select(F.explode(models).alias(col), *agg.columns)
+
+
 def stacked_marts(lake: Lake, sc: Scenario) -> DataFrame:
     """All marts of a scenario in one pass: every row of the shared
     aggregate fans out (``explode``) to the marts whose intermediate uses
@@ -84,22 +93,23 @@ def stacked_marts(lake: Lake, sc: Scenario) -> DataFrame:
     names: dict[int, list[str]] = {}
     for i in range(sc.n_marts):
         names.setdefault(gid_of_int[sc.intermediate_of(i)], []).append(mart_name(i))
-    models = None
-    for gid, ns in names.items():
-        arr = F.array(*[F.lit(n) for n in ns])
-        cond = F.col("_gid") == gid
-        models = F.when(cond, arr) if models is None else models.when(cond, arr)
-    fanned = agg.select(F.explode(models).alias("model"), *agg.columns)
-    return marts.portfolio_summary(fanned, keep=["model"])
+    return marts.portfolio_summary(_fan_out(agg, names, "model"), keep=["model"])
+
+
+def read_model(lake: Lake, root: str, layer: str, name: str) -> DataFrame:
+    """One materialised model: a folder of the layer's dataset."""
+    return lake.spark.read.parquet(f"{root}/{layer}/model={name}")
 
 
 def run_scenario(lake: Lake, sid: str, run_root: str | None = None) -> list[dict]:
     """Run one scenario end to end and return its metric rows.
 
-    Phases: ``dbt_run`` writes each intermediate once, then every mart as a
-    full-refresh table read from it; ``dbt_test`` runs the not_null/unique
-    tests.  Each write is an idempotent overwrite, so a rerun (or a retried
-    job after a lost executor) leaves the same tables.
+    ``dbt_run``: the intermediates are one grouping-sets aggregate written
+    once (one folder per intermediate model); every mart is then built from
+    the stored intermediates and written in a single job (one folder per
+    mart).  ``dbt_test`` runs the not_null/unique tests.  Each write is an
+    idempotent overwrite, so a rerun (or a job retried after a lost
+    executor) leaves the same tables.
     """
     from . import q_quality
 
@@ -108,25 +118,31 @@ def run_scenario(lake: Lake, sid: str, run_root: str | None = None) -> list[dict
     rows = []
 
     t0, s0 = time.time(), datetime.now()
-    n_rows = 0
     if sc.complexity in ("complex", "extreme"):
         # The wide staging columns are never read downstream, so a lazy plan
         # would prune them away; materialise staging so their cost shows.
         sinks.full_refresh(staged(lake, sc)[0], f"{root}/stg_holdings")
-    # All intermediates in one pass, written once, split by grouping id.
     agg, gids = scenario_rollups(lake, sc)
-    sinks.full_refresh(agg, f"{root}/intermediates", ["_gid"])
-    stored = lake.spark.read.parquet(f"{root}/intermediates")
+    ints: dict[int, list[str]] = {}
     for j in range(sc.n_intermediate):
-        keys = K.GROUPINGS[sc.grouping_of(j)]
-        inter = stored.where(F.col("_gid") == gids[j]).select(*keys, *aggregates.ROLLUP_MEASURES)
-        sinks.full_refresh(inter, f"{root}/{int_name(j)}")
-    for i in range(sc.n_marts):
-        src = lake.spark.read.parquet(f"{root}/{int_name(sc.intermediate_of(i))}")
-        m = marts.portfolio_summary(src)
-        sinks.full_refresh(m, f"{root}/{mart_name(i)}")
+        ints.setdefault(gids[j], []).append(int_name(j))
+    sinks.full_refresh(_fan_out(agg, ints, "model"), f"{root}/intermediates", ["model"])
+    # Marts from the stored intermediates: one scan, each intermediate row
+    # fanned out to the marts that read that intermediate.
+    stored = lake.spark.read.parquet(f"{root}/intermediates")
+    readers: dict[str, list[str]] = {}
     for i in range(sc.n_marts):
-        n_rows += lake.spark.read.parquet(f"{root}/{mart_name(i)}").count()
+        readers.setdefault(int_name(sc.intermediate_of(i)), []).append(mart_name(i))
+    mart_of = None
+    for src_name, ns in readers.items():
+        arr = F.array(*[F.lit(n) for n in ns])
+        cond = F.col("model") == src_name
+        mart_of = F.when(cond, arr) if mart_of is None else mart_of.when(cond, arr)
+    fanned = stored.where(F.col("model").isin(list(readers))) \
+                   .select(F.explode(mart_of).alias("mart"), *[c for c in stored.columns if c != "model"])
+    built = marts.portfolio_summary(fanned, keep=["mart"]).withColumnRenamed("mart", "model")
+    sinks.full_refresh(built, f"{root}/marts", ["model"])
+    n_rows = lake.spark.read.parquet(f"{root}/marts").count()
     rows.append(_metric(sid, "dbt_run", s0, time.time() - t0, n_rows, sc))
 
     t0, s0 = time.time(), datetime.now()

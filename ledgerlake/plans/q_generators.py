@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .. import constants as K
 from ..operators import generators, weights
 from . import oracle_base as O

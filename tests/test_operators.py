@@ -127,7 +127,8 @@ def test_slice_resolver_and_explicit_run_date(spark):
 
 def test_scenario_run_writes_marts_and_metrics(spark, tmp_path):
     from ledgerlake.plans.context import Lake
-    from ledgerlake.plans.pipeline import mart_name, record_metrics, run_scenario, scenario
+    from ledgerlake.plans.pipeline import (int_name, mart_name, read_model, record_metrics,
+                                           run_scenario, scenario)
     lake = Lake(spark, SF_SMALL)
     import uuid
     root = f"{spark.conf.get('spark.checkpoint.dir', str(tmp_path))}/test-run-{uuid.uuid4().hex}"
@@ -135,7 +136,10 @@ def test_scenario_run_writes_marts_and_metrics(spark, tmp_path):
     assert [r["phase"] for r in rows] == ["dbt_run", "dbt_test"]
     sc = scenario("S1")
     for i in range(sc.n_marts):
-        assert spark.read.parquet(f"{root}/{mart_name(i)}").count() > 0
+        assert read_model(lake, root, "marts", mart_name(i)).count() > 0
+    assert read_model(lake, root, "intermediates", int_name(0)).count() > 0
+    assert rows[0]["rows_actual"] == sum(read_model(lake, root, "marts", mart_name(i)).count()
+                                         for i in range(sc.n_marts))
     path = record_metrics(lake, rows, path=f"{root}/run_metrics")
     assert spark.read.parquet(path).count() == 2
 
