@@ -23,12 +23,12 @@ SESSION_CONF = {
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8,
-                  app: str = "ledgerlake") -> SparkSession:
+                  app: str = "ledgerlake", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the bench (one JVM, `cores` threads)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", "16g"))
-    for k, v in SESSION_CONF.items():
+    for k, v in {**SESSION_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
