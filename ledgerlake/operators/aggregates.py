@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.columns import money_max, money_sum
 from ..functions.sizing import join_dimension
 
 MONEY = "decimal(38,2)"
@@ -16,12 +17,11 @@ def _rollup_measures() -> list:
     mv = F.col("market_value_usd")
     return [
         F.count(F.lit(1)).alias("lot_count"),
-        F.sum(mv).cast(MONEY).alias("total_mv_usd"),
-        F.sum("cost_basis_usd").cast(MONEY).alias("total_cost_usd"),
-        F.sum("unrealized_gain_usd").cast(MONEY).alias("total_gain_usd"),
-        F.sum(F.when(F.col("is_cross_currency") == 1, mv).otherwise(0)).cast(MONEY)
-        .alias("cross_ccy_mv_usd"),
-        F.max(mv).alias("max_position_mv"),
+        money_sum(mv).alias("total_mv_usd"),
+        money_sum("cost_basis_usd").alias("total_cost_usd"),
+        money_sum("unrealized_gain_usd").alias("total_gain_usd"),
+        money_sum(F.when(F.col("is_cross_currency") == 1, mv).otherwise(0)).alias("cross_ccy_mv_usd"),
+        money_max(mv).alias("max_position_mv"),
     ]
 
 
@@ -75,9 +75,8 @@ def cross_currency_mv(h: DataFrame, keys: list[str]) -> DataFrame:
     """SUM(CASE WHEN cross THEN mv ELSE 0) next to the plain total."""
     mv = F.col("market_value_usd")
     return h.groupBy(*keys).agg(
-        F.sum(mv).cast(MONEY).alias("total_mv_usd"),
-        F.sum(F.when(F.col("is_cross_currency") == 1, mv).otherwise(0)).cast(MONEY)
-        .alias("cross_ccy_mv_usd"),
+        money_sum(mv).alias("total_mv_usd"),
+        money_sum(F.when(F.col("is_cross_currency") == 1, mv).otherwise(0)).alias("cross_ccy_mv_usd"),
     )
 
 
@@ -86,8 +85,8 @@ def account_day(h: DataFrame) -> DataFrame:
     securities, total value and total gain."""
     return h.groupBy("account_id", "as_of_date").agg(
         F.count_distinct("security_id").alias("sec_count"),
-        F.sum("market_value_usd").cast(MONEY).alias("total_mv"),
-        F.sum("unrealized_gain").cast(MONEY).alias("total_gain"),
+        money_sum("market_value_usd").alias("total_mv"),
+        money_sum("unrealized_gain").alias("total_gain"),
     )
 
 
@@ -97,16 +96,16 @@ def client_day(h: DataFrame, accounts: DataFrame) -> DataFrame:
     account table, then summed per client."""
     ad = h.groupBy("account_id", "as_of_date").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("market_value_usd").alias("mv"),
-        F.sum("unrealized_gain").alias("gain"))
+        money_sum("market_value_usd").alias("mv"),
+        money_sum("unrealized_gain").alias("gain"))
     j = join_dimension(ad, accounts.select("account_id", "client_id"), "account_id", "inner")
     # ``ad`` has one row per account and date, so counting rows counts
     # distinct accounts (no extra distinct-aggregation stage).
     return j.groupBy("client_id", "as_of_date").agg(
         F.count(F.lit(1)).alias("account_count"),
         F.sum("n").alias("position_count"),
-        F.sum("mv").cast(MONEY).alias("total_mv"),
-        F.sum("gain").cast(MONEY).alias("total_gain"),
+        money_sum("mv").alias("total_mv"),
+        money_sum("gain").alias("total_gain"),
     )
 
 
@@ -114,7 +113,7 @@ def natural_key_rows(h: DataFrame, keys=("account_id", "security_id", "as_of_dat
     """One row per natural key via GROUP BY (not DISTINCT)."""
     return h.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("lot_count"),
-        F.sum("market_value_usd").cast(MONEY).alias("total_mv_usd"),
+        money_sum("market_value_usd").alias("total_mv_usd"),
     )
 
 

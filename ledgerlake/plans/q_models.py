@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import (asset_class_display, concentration_band,
-                                 cross_currency_flag, fx_bucket)
+                                 cross_currency_flag, fx_bucket, money_sum)
 from ..operators import aggregates, joins, marts, staging
 from . import oracle_base as O
 from .registry import query
@@ -63,7 +63,7 @@ def prj_concentration_band(lake):
                      "market_value_usd")
             .groupBy("concentration_flag")
             .agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.sum("market_value_usd").cast("decimal(38,2)").alias("total_mv_usd")))
+                 money_sum("market_value_usd").alias("total_mv_usd")))
 
 
 @query("prj_fx_bucket", W("""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import money_sum
 from ..operators import aggregates, marts, sinks
 from ..session import store_dir
 from ..sources import fixtures
@@ -32,7 +33,7 @@ def snk_slice_reload(lake):
     back = lake.spark.read.schema(h.schema).parquet(path)
     return back.groupBy("scenario_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum("market_value_usd").cast("decimal(38,2)").alias("total_mv_usd"))
+        money_sum("market_value_usd").alias("total_mv_usd"))
 
 
 @query("snk_mart_full_refresh", W2(O.mart_sql(f"({O.rollup_sql(0)})")))
@@ -76,8 +77,8 @@ def snk_incremental_equals_full(lake):
     h = lake.holdings
     build = (h.groupBy("account_id", "as_of_date", "as_of_month")
               .agg(F.count_distinct("security_id").alias("sec_count"),
-                   F.sum("market_value_usd").cast("decimal(38,2)").alias("total_mv"),
-                   F.sum("unrealized_gain").cast("decimal(38,2)").alias("total_gain")))
+                   money_sum("market_value_usd").alias("total_mv"),
+                   money_sum("unrealized_gain").alias("total_gain")))
     hwm = F.add_months(h.agg(F.max("as_of_month")).scalar(), -6)
     sinks.full_refresh(build.where(F.col("as_of_month") <= hwm), path, ["as_of_month"])
     sinks.incremental_load(build, path, "as_of_month", hwm)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import cycle_pick, dec, padded_id
+from ..functions.columns import cycle_pick, dec, money_sum, padded_id
 from ..functions.sizing import sized_broadcast, spread
 
 # Input tables that feed heavy per-row expressions, with a key to spread on.
@@ -52,7 +52,7 @@ def account_day_totals(h: DataFrame) -> DataFrame:
     """SUM(mv) per account and date: a partial (map-side) aggregate, so a hot
     account-day never has to sit in one task the way a window would."""
     return h.groupBy("account_id", "as_of_date").agg(
-        F.sum("market_value_usd").alias("_acct_total"))
+        money_sum("market_value_usd").alias("_acct_total"))
 
 
 def weight_column(mv, total) -> F.Column:

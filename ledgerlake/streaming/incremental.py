@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import money_sum
 from ..operators import sinks
 from ..session import checkpoint_root
 from ..sources import store
@@ -27,8 +28,8 @@ MAX_FILES_PER_TRIGGER = 1000
 def account_day_by_month(h: DataFrame) -> DataFrame:
     return (h.groupBy("account_id", "as_of_date", "as_of_month")
              .agg(F.count_distinct("security_id").alias("sec_count"),
-                  F.sum("market_value_usd").cast("decimal(38,2)").alias("total_mv"),
-                  F.sum("unrealized_gain").cast("decimal(38,2)").alias("total_gain")))
+                  money_sum("market_value_usd").alias("total_mv"),
+                  money_sum("unrealized_gain").alias("total_gain")))
 
 
 def stream_months(spark: SparkSession, src_path: str, table: DataFrame, out_path: str,
