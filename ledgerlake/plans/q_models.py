@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.columns import (asset_class_display, concentration_band,
                                  cross_currency_flag, fx_bucket, money_sum)
+from ..functions.sizing import join_dimension
 from ..operators import aggregates, joins, marts, staging
 from . import oracle_base as O
 from .registry import query
@@ -151,15 +152,18 @@ def flt_trailing_30d(lake):
     return lake.stg_holdings(pruning=True)
 
 
+# Dimensions are shared by all scenarios here, so a scenario's key prefix is
+# the dimension's own prefix ('S' for securities, 'A' for accounts).
 @query("flt_key_prefix", W("""
 SELECT h.account_id, h.security_id, h.as_of_date, h.market_value_usd
-FROM raw_holdings h JOIN raw_securities s ON s.security_id = h.security_id
-WHERE s.security_id LIKE 'S0001%' AND h.security_id LIKE 'S0001%'"""))
+FROM raw_holdings h
+JOIN (SELECT security_id FROM raw_securities WHERE security_id LIKE 'S%') s ON s.security_id = h.security_id
+JOIN (SELECT account_id FROM raw_accounts WHERE account_id LIKE 'A%') a ON a.account_id = h.account_id"""))
 def flt_key_prefix(lake):
-    s = staging.key_prefix(lake.securities, "security_id", "S0001").select("security_id")
-    h = staging.key_prefix(lake.holdings, "security_id", "S0001")
-    return h.join(s, "security_id", "inner").select(
-        "account_id", "security_id", "as_of_date", "market_value_usd")
+    s = staging.key_prefix(lake.securities, "security_id", "S").select("security_id")
+    a = staging.key_prefix(lake.accounts, "account_id", "A").select("account_id")
+    h = lake.holdings.select("account_id", "security_id", "as_of_date", "market_value_usd")
+    return join_dimension(join_dimension(h, s, "security_id", "inner"), a, "account_id", "inner")
 
 
 @query("flt_account_history", W("""
