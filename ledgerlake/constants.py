@@ -33,10 +33,9 @@ ASSET_CLASS_DISPLAY_DEFAULT = "Other"
 GROSS_UP_FACTOR = "1.2"
 TRAILING_DAYS = 30
 PROJECTED_MONTHS = 24
-MIN_DURATION_SEC = "0.001"
+MIN_DURATION_MS = 1  # rows/s divides by max(duration, 0.001 s)
 NOTES_MAX_CHARS = 3999
 DEFAULT_RATING = "NR"
-DEFAULT_BASE_DATE = "2024-01-15"
 
 # Scenario defaults, then per-scenario settings.
 SCENARIO_DEFAULTS = {"n_staging": 3, "n_intermediate": 2, "n_marts": 10,

@@ -35,7 +35,7 @@ def metric_rows(metrics: DataFrame, log: DataFrame) -> DataFrame:
     micros = (F.unix_micros(F.col("finished_at").cast("timestamp")) -
               F.unix_micros(F.col("started_at").cast("timestamp")))
     ms = half_up_div(micros, F.lit(1000))
-    rps_h = half_up_div(F.col("rows_actual") * 100000, F.greatest(ms, F.lit(1)))
+    rps_h = half_up_div(F.col("rows_actual") * 100000, F.greatest(ms, F.lit(K.MIN_DURATION_MS)))
     notes = log.select((F.col("line_no") + 1).alias("metric_id"),
                        F.substring("line", 1, K.NOTES_MAX_CHARS).alias("notes"))
     m = metrics.select("metric_id", "scenario_id", "phase", "started_at", "finished_at",

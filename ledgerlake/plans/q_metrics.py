@@ -291,7 +291,8 @@ def agg_conditional_like(lake):
 @query("snk_metric_rows", WM("""
 SELECT m.metric_id, m.scenario_id, m.phase, m.started_at, m.finished_at, m.rows_actual,
        CAST(CAST(m.ms AS DOUBLE) / 1000 AS DECIMAL(12,3)) AS duration_sec,
-       CAST(CAST((2 * m.rows_actual * 100000 + greatest(m.ms, 1)) // (2 * greatest(m.ms, 1)) AS DOUBLE) / 100
+       CAST(CAST((2 * m.rows_actual * 100000 + greatest(m.ms, """ + str(K.MIN_DURATION_MS) + """))
+                 // (2 * greatest(m.ms, """ + str(K.MIN_DURATION_MS) + """)) AS DOUBLE) / 100
             AS DECIMAL(14,2)) AS rows_per_sec,
        substr(l.line, 1, """ + str(K.NOTES_MAX_CHARS) + """) AS notes
 FROM (SELECT *, (2 * (epoch_us(finished_at) - epoch_us(started_at)) + 1000) // 2000 AS ms
