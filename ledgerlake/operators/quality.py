@@ -40,6 +40,28 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return k.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def unique_on_base(base: DataFrame, tests: list[tuple[str, str, "F.Column"]]) -> DataFrame:
+    """Unique tests of several models that are projections of one base
+    table, in ONE scan and shuffle: each test's key is a grouping set;
+    ``grouping_id`` keeps the sets apart and real NULL keys are skipped."""
+    keys = [f"_k{i}" for i in range(len(tests))]
+    proj = base.select(*[e.alias(k) for (_, _, e), k in zip(tests, keys)])
+    if len(keys) == 1:
+        g = proj.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n")).withColumn("_gid", F.lit(0))
+        gid = [0]
+    else:
+        g = proj.groupingSets([[k] for k in keys], *keys).agg(
+            F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid"))
+        n = len(keys)
+        gid = [sum(1 << (n - 1 - j) for j in range(n) if j != i) for i in range(n)]
+    one = g.agg(*[F.count_if((F.col("_gid") == gid[i]) & F.col(k).isNotNull() & (F.col("n") > 1))
+                  .alias(k) for i, k in enumerate(keys)])
+    rows = [F.struct(F.lit(m).alias("model"), F.lit(c).alias("column_name"),
+                     F.lit("unique").alias("test_name"), F.col(k).cast("long").alias("failures"))
+            for (m, c, _), k in zip(tests, keys)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def unique_failures(df: DataFrame, model: str, col: str) -> DataFrame:
     return duplicate_keys(df, [col]).agg(
         F.lit(model).alias("model"), F.lit(col).alias("column_name"),

@@ -74,7 +74,11 @@ def not_null_results(lake):
 
 
 def unique_results(lake):
-    return Q.union_all([Q.unique_failures(_model(lake, m), m, c) for m, c in UNIQUE_TESTS])
+    by_base: dict[str, list] = {}
+    for m, c in UNIQUE_TESTS:
+        base = _STAGED_FROM.get(m, (m,))[0]
+        by_base.setdefault(base, []).append((m, c, _expr_of(m, c)))
+    return Q.union_all([Q.unique_on_base(lake.raw(b), tests) for b, tests in by_base.items()])
 
 
 @query("dq_not_null", W2(_null_sql(NOT_NULL_TESTS, "not_null")))

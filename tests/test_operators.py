@@ -207,3 +207,15 @@ def test_cluster_conf_sizes_partitions():
     assert c["spark.sql.adaptive.enabled"] == "true"
     small = cluster_conf(10 * 1024 ** 2, executor_cores=4, executors=2)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_unique_on_base_matches_per_test_counts(spark):
+    from ledgerlake.operators.quality import unique_failures, unique_on_base
+    rows = [("a", "X"), ("a", "x"), ("b", "Y"), (None, None), (None, "Z"), ("c", "z"), ("c", "Z"), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v string")
+    got = {(r.model, r.column_name): r.failures for r in unique_on_base(df, [
+        ("raw", "k", F.col("k")), ("raw", "v", F.col("v")), ("stg", "v", F.upper("v"))]).collect()}
+    assert got[("raw", "k")] == 2            # 'a' and 'c' repeat; NULL keys are skipped
+    assert got[("raw", "v")] == 1            # only 'Z' repeats as written
+    assert got[("stg", "v")] == 2            # upper-cased: 'X' and 'Z' repeat
+    assert got[("raw", "k")] == unique_failures(df, "raw", "k").first().failures
