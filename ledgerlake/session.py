@@ -65,7 +65,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = os.path.join(tempfile.gettempdir(), f"ledgerlake-{os.getuid()}",
                             "checkpoints")
         os.makedirs(root, exist_ok=True)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
