@@ -3,7 +3,6 @@
 from datetime import date, datetime
 from decimal import Decimal
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
