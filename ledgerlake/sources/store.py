@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import store_dir
 from . import fixtures
 
-# name -> (builder, partition column, sort keys, input tables)
+# name -> (builder, partition columns, sort keys, input tables)
 TABLES = {
-    "raw_holdings": (fixtures.raw_holdings, "as_of_month",
-                     ["as_of_month", "account_id", "as_of_date", "security_id"], ["lineitem"]),
+    # Holdings: one folder per month, and per scenario slice inside it, so a
+    # month predicate and a slice predicate both prune whole folders.
+    "raw_holdings": (fixtures.raw_holdings, ["as_of_month", "scenario_id"],
+                     ["as_of_month", "scenario_id", "account_id", "as_of_date", "security_id"],
+                     ["lineitem"]),
     "raw_securities": (fixtures.raw_securities, None, ["security_id"], ["part"]),
     "raw_accounts": (fixtures.raw_accounts, None, ["account_id"], ["supplier"]),
-    "raw_transactions": (fixtures.raw_transactions, "trade_month",
+    "raw_transactions": (fixtures.raw_transactions, ["trade_month"],
                          ["trade_month", "account_id", "trade_date", "transaction_id"], ["orders"]),
     "stress_metrics": (fixtures.stress_metrics, None, ["scenario_id", "started_at", "metric_id"],
                        ["events"]),
@@ -55,7 +58,7 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def write_table(df: DataFrame, path: str, part_col: str | None, keys: list[str],
+def write_table(df: DataFrame, path: str, part_cols: list[str] | None, keys: list[str],
                 mode: str = "overwrite") -> None:
     """Bulk write, sorted inside each file.
 
@@ -63,10 +66,10 @@ def write_table(df: DataFrame, path: str, part_col: str | None, keys: list[str],
     sizes the write tasks from runtime statistics, splits a hot month or key
     over several tasks and merges small ones, with no sampling pass and no
     up-front size estimate."""
-    out = df.hint("rebalance", part_col or keys[0]).sortWithinPartitions(*keys)
+    out = df.hint("rebalance", *(part_cols or keys[:1])).sortWithinPartitions(*keys)
     w = out.write.mode(mode).option("compression", "snappy")
-    if part_col:
-        w = w.partitionBy(part_col)
+    if part_cols:
+        w = w.partitionBy(*part_cols)
     w.parquet(path)
 
 
@@ -79,8 +82,8 @@ def build(spark: SparkSession, sf_dir: str, name: str, force: bool = False) -> s
         if not force and (key in _ready or exists(spark, path)):
             _ready.add(key)
             return path
-        builder, part_col, keys, _inputs = TABLES[name]
-        write_table(builder(spark, sf_dir), path, part_col, keys)
+        builder, part_cols, keys, _inputs = TABLES[name]
+        write_table(builder(spark, sf_dir), path, part_cols, keys)
         _ready.add(key)
         _frames.pop(key, None)
     return path
