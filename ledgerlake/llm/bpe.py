@@ -29,7 +29,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import map_arrow, read, schema_with
 
 MAX_KNOWN = 800_000    # remembered chunks and matches per worker
 MAX_STARTS = 400_000   # remembered short prefixes per worker
@@ -273,12 +274,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     made = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     rest = [c for c in docs.columns if c not in made and c != text_col]
     cols = [*rest, text_col] if keep_ids else rest
-    fields = ", ".join(["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
-                       + ["ids array<long>"] * keep_ids)
-    schema = docs.select(*cols).schema
-    for f in fields.split(", "):
-        name, kind = f.split(" ")
-        schema = schema.add(name, kind)
+    schema = schema_with(docs.select(*cols), "n_tokens long, ids_sha256 string, decoded_sha256 string"
+                         + ", ids array<long>" * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
@@ -298,12 +295,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in cols] + extra,
                                              names=schema.names)
 
-    return docs.select(*rest, text_col).mapInArrow(run, schema)
+    return map_arrow(docs.select(*rest, text_col), run, schema)
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    from .common import read
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                          public_tokenizers.PATTERN, keep_ids=False)

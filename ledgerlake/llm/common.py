@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..session import checkpoint_root
+from pyspark.sql.types import StructType
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -21,6 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder."""
+    from ..session import checkpoint_root  # needed on the driver only
     return f"{checkpoint_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
@@ -40,3 +42,37 @@ def lower_ascii(c: Column) -> Column:
 def hash128(c: Column) -> tuple[Column, Column]:
     """Two independently seeded 64-bit hashes, used together as one key."""
     return F.xxhash64(c), F.xxhash64(F.lit(0x9E3779B9), c)
+
+
+def schema_with(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per context, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerlake_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(sc._temp_dir, "ledgerlake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._ledgerlake_shipped = True
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def group_arrow(df: DataFrame, keys: list[str], fn, schema) -> DataFrame:
+    """``applyInArrow`` per group with this package on the workers."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(fn, schema)

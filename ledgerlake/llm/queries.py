@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .langid import op9_langid
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .packing import op7_packing
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op7_packing": op7_packing,
+    "op9_langid": op9_langid,
 }
 
 ORACLE_SQL = {
