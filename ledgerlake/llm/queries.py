@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .knn import OP4_SQL, op4_topk
 from .langid import op9_langid
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op7_packing
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_topk": op4_topk,
     "op7_packing": op7_packing,
     "op9_langid": op9_langid,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op4_topk": OP4_SQL,
+    "op10_warc": OP10_SQL,
 }
