@@ -6,6 +6,7 @@ from .bpe import op2_byte_bpe
 from .knn import OP4_SQL, op4_topk
 from .langid import op9_langid
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .near_dup import op6_near_dup
 from .packing import op7_packing
 from .toxicity import op5_toxicity
 from .warc import OP10_SQL, op10_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_topk": op4_topk,
     "op5_toxicity": op5_toxicity,
+    "op6_near_dup": op6_near_dup,
     "op7_packing": op7_packing,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,

@@ -48,6 +48,7 @@ TOXIC = 0.7
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
         "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 ANY = "*#"                       # signs that may stand for any letter
+MAX_ANY, LONGEST = 2, 24         # a disguised word has no more of them, and no more characters
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SIZE = len(LETTERS) + 2          # other characters are 0, other letters the last code
 SUBSTITUTE, WILD, REPEAT, DROP = math.log(0.5), math.log(0.02), math.log(0.3), math.log(0.3)
@@ -127,8 +128,9 @@ class Model:
         inner = chunk.strip(_EDGES)
         if inner.rstrip("!").isalpha() and not _RUN.search(inner.rstrip("!")):
             return inner.rstrip("!")
-        if len(inner) > 40 or not any(c.isalpha() for c in inner):
-            return inner
+        signs = sum(not c.isalpha() for c in inner)
+        if len(inner) > LONGEST or 2 * signs > len(inner) + 1 or sum(map(inner.count, ANY)) > MAX_ANY:
+            return inner  # no word: mostly signs, a key, a number
         return self.decode(inner)
 
     def chance(self, chunk: str) -> float:
