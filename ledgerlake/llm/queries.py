@@ -8,12 +8,14 @@ from .langid import op9_langid
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .near_dup import op6_near_dup
 from .packing import op7_packing
+from .pii import op3_pii
 from .toxicity import op5_toxicity
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_pii": op3_pii,
     "op4_topk": op4_topk,
     "op5_toxicity": op5_toxicity,
     "op6_near_dup": op6_near_dup,
