@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .fingerprint import op8_fingerprint
 from .knn import OP4_SQL, op4_topk
 from .langid import op9_langid
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_near_dup": op6_near_dup,
     "op7_packing": op7_packing,
+    "op8_fingerprint": op8_fingerprint,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
 }
