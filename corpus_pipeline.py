@@ -1,34 +1,69 @@
 """A training-corpus pipeline over the table ``documents``.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame that is written
-as Parquet and reread as the next stage's ``docs``.
+as Parquet and reread as the next stage's ``docs``.  All but the last return the
+columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.llm import langid, pii
 from ledgerlake.llm.common import read, stored
 from ledgerlake.llm.line_dedup import dedup_lines
+from ledgerlake.llm.near_dup import near_duplicates
+from ledgerlake.llm.packing import pack_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def with_text(docs: DataFrame, text) -> DataFrame:
+def with_text(docs: DataFrame, text: Column, columns: list[str]) -> DataFrame:
     """The columns of ``documents`` with a new text and its length."""
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return (docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+            .select(*columns))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or far from every language learned, go."""
+    model = langid.fit(langid.learnable(docs))
+    return langid.predict(docs, model).filter("NOT rejected").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that many documents share."""
-    return with_text(dedup_lines(docs), F.col("kept_text")).select(*docs.columns)
+    return with_text(dedup_lines(docs), F.col("kept_text"), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to the name of its kind."""
+    return with_text(pii.redact(docs), F.col("redacted"), docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: where each piece of each document stands."""
+    return pack_documents(docs.select("doc_id", "text"))
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", line_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("pii", redact_pii),
+    ("packing", packing),
+]
 
+# Language ID, near-dedup on signatures, trees and packing are beyond SQL;
+# tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
