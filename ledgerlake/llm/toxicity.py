@@ -39,7 +39,7 @@ from .common import map_arrow, read, schema_with
 
 TRAIN_ROWS = 20_000     # labelled texts of each label
 MAX_FEATURES = 50_000
-MIN_CONTEXTS = 4        # different left neighbours of a toxic word
+MIN_CONTEXTS = 3        # different left neighbours of a toxic word
 STARTS = (4, 5)         # lengths of word starts
 MAX_KNOWN = 600_000     # remembered words per worker
 TOXIC = 0.7
