@@ -9,8 +9,8 @@ one smaller piece, one for two, or two for one.  Each step raises the sum of
 squared fills; the search ends when no sequence can be emptied any more: no
 step is left, or the number of sequences has reached its lower bound.
 
-White space splits a text before any token is made, so runs of other
-characters are tokenised once per worker and remembered in a bounded memory.
+Spaces and line ends split a text before any token is made, so the runs
+between them are tokenised once per worker and remembered in a bounded memory.
 
 Defined results: a null or empty text is the end id alone; every row, also a
 repeated one, is packed; other columns are left out; an empty table gives an
@@ -19,6 +19,7 @@ empty result; texts of any length are packed whole.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,37 +34,74 @@ from .common import group_arrow, map_arrow, read, schema_with, stored
 SEQUENCE = 4096
 END_ID = 1
 GROUP_PIECES = 20_000
-MAX_KNOWN = 600_000   # remembered words per worker
+MAX_KNOWN = 700_000   # remembered runs, and matches, per worker
 MAX_ROUNDS = 50       # passes of the local search over a group
 
+# The patterns that the tokenizer file splits texts by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PATTERN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+LATIN_END = "\u0250"
+
+
+def _byte_chars() -> list[str]:
+    """The printable character that stands for each byte: itself if Latin-1 prints it,
+    or else the next one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, n = [], 256
+    for b in range(256):
+        out.append(chr(b if b in own else n))
+        n += b not in own
+    return out
+
+
+_BYTE_CHARS = _byte_chars()
 _WORDS: dict[str, "WordTokens"] = {}
 
 
 class WordTokens:
-    """Token ids of a text as little-endian unsigned 32-bit integers."""
+    """Token ids of a text as little-endian unsigned 32-bit integers.
+
+    The tokenizer lower-cases, splits at its pattern and merges each match on
+    its own, so every match is merged once and remembered."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > MAX_KNOWN:
-            self.known = {"": b""}
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
+        self.split = regex.compile(PATTERN).findall
+        self.split_ascii = re.compile(PATTERN_ASCII, re.ASCII).findall
+        self.known: dict[str, bytes] = {}    # runs without a space or line end
+        self.matches: dict[str, bytes] = {}
+
+    def _ids(self, chars: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
+
+    def _match(self, match: str) -> bytes:
+        ids = self._ids(match if match.isascii() and match.isprintable()
+                        else "".join(map(_BYTE_CHARS.__getitem__, match.encode())))
+        if len(self.matches) >= MAX_KNOWN:
+            self.matches.clear()
+        self.matches[match] = ids
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        known = self.matches
+        text = run.lower() if run.isascii() else self.normal(run)
+        if max(text, default="") < LATIN_END:
+            parts = self.split_ascii(text) if text.isascii() else self.split(text)
+            ids = b"".join([known.get(m) or self._match(m) for m in parts])
+        else:  # versions of Unicode differ on what is a letter: the library's own pattern
+            ids = b"".join([self._ids(m) for m, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+        if len(run) <= 64:
+            if len(self.known) >= MAX_KNOWN:
+                self.known.clear()
+            self.known[run] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            self.learn(new)
-            if self.known is not known:  # the memory was emptied
-                known = self.known
-                self.learn([w for w in dict.fromkeys(words) if w not in known])
-                known = self.known
-        return b"".join(map(known.__getitem__, words))
+        known, learn = self.known, self._run
+        return b"".join([known.get(w) or learn(w) for w in text.replace("\n", " ").split(" ") if w])
 
 
 def word_tokens(path: str) -> WordTokens:
