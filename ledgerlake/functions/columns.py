@@ -77,8 +77,9 @@ def int_div(a: Column, b: Column) -> Column:
 
 
 def half_up_div(a: Column, b: Column) -> Column:
-    """round(a / b), half up, for integers a >= 0 and b > 0."""
-    return int_div(a * 2 + b, b * 2)
+    """round(a / b) for integers with b > 0; halves go away from zero."""
+    size = int_div(F.abs(a) * 2 + b, b * 2)
+    return F.when(a < 0, -size).otherwise(size)
 
 
 def tenths_text(tenths: Column) -> Column:
@@ -110,20 +111,10 @@ def layer_name_py(target_name: str, target_schema: str, custom: str | None) -> s
 
 
 def money_sum(col) -> Column:
-    """Exact SUM of a 2-place money column, as decimal(38,2).
-
-    The sum runs over integer cents in a ``long`` buffer (8 bytes, added in
-    generated code) instead of Spark's decimal(p+10,2) buffer, which above 18
-    digits is a BigDecimal: smaller partial aggregates to shuffle and much
-    cheaper arithmetic.  A group would need over 9e16 in value to overflow,
-    and ANSI mode raises rather than wraps.
-    """
-    cents = F.sum((_c(col) * 100).cast("long"))
-    return (cents.cast("decimal(38,0)") / 100).cast("decimal(38,2)")
+    """SUM of a 2-place money column, as decimal(38,2)."""
+    return F.sum(_c(col)).cast("decimal(38,2)")
 
 
 def money_max(col) -> Column:
-    """Exact MAX of a 2-place money column, as decimal(20,2), over integer
-    cents in a ``long`` buffer (see ``money_sum``)."""
-    cents = F.max((_c(col) * 100).cast("long"))
-    return (cents.cast("decimal(38,0)") / 100).cast("decimal(20,2)")
+    """MAX of a 2-place money column, as decimal(20,2)."""
+    return F.max(_c(col)).cast("decimal(20,2)")

@@ -21,23 +21,11 @@ def row_width(schema: T.StructType) -> int:
     return 16 + sum(_WIDTH.get(type(f.dataType), 64) for f in schema.fields)
 
 
-_row_counts: dict[tuple[str, int], int] = {}
-
-
-def row_count(df: DataFrame) -> int:
-    """Exact row count, remembered per session and plan (dimension tables
-    are counted once, not once per query)."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
-    if key not in _row_counts:
-        _row_counts[key] = df.count()
-    return _row_counts[key]
-
-
 def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast ``df`` if an exact count times its row width proves it
-    small; otherwise leave the strategy to the planner (sort-merge join,
+    """Broadcast ``df`` if an exact count, taken now, times its row width proves
+    it small; otherwise leave the strategy to the planner (sort-merge join,
     with AQE splitting skewed partitions)."""
-    return F.broadcast(df) if row_count(df) * row_width(df.schema) <= max_bytes else df
+    return F.broadcast(df) if df.count() * row_width(df.schema) <= max_bytes else df
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
@@ -45,11 +33,3 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
     """Join a (usually small) dimension; only the columns the caller selected
     into ``dim`` are counted and shipped."""
     return fact.join(sized_broadcast(dim, max_bytes), on=on, how=how)
-
-
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-partition a scan over all cores when it yields fewer splits than
-    cores (a small file with one row group).  A large input already has
-    enough splits and is left as is, so no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

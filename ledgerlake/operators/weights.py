@@ -24,10 +24,13 @@ def position_weight(h: DataFrame) -> DataFrame:
 
 
 def weight_agreement(h: DataFrame) -> DataFrame:
-    """Stored weight against the runtime weight: rows and mismatches."""
-    totals = account_day_totals(h)
+    """Stored weight against a weight worked out here, apart from the rule that
+    stored it: rows and mismatches."""
+    totals = (h.groupBy("account_id", "as_of_date")
+              .agg(F.expr("sum(CAST(market_value_usd * 100 AS DECIMAL(38,0)))").alias("_cents")))
     j = h.join(totals, ["account_id", "as_of_date"], "left")
-    rt = weight_column(F.col("market_value_usd"), F.col("_acct_total"))
+    rt = F.expr("CAST(round(CAST(market_value_usd AS DOUBLE) / CASE WHEN _cents < 100 THEN 1.0D "
+                "ELSE CAST(CAST(_cents AS DECIMAL(36,0)) / 100 AS DOUBLE) END, 8) AS DECIMAL(10,8))")
     return j.agg(F.count(F.lit(1)).alias("n_rows"),
                  F.count_if(~F.col("weight_in_acct").eqNullSafe(rt)).alias("n_mismatch"),
                  F.count_if(F.col("weight_in_acct") < 1).alias("n_shared_slots"))
