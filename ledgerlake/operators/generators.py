@@ -7,7 +7,7 @@ row with ``sequence``/``explode`` and joined to a one-row-per-scenario side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -15,31 +15,6 @@ from ..functions.columns import cycle_pick, half_up_div, padded_id
 from ..sources.catalog import scenario_config, slice_map
 from ..sources.fixtures import account_day_totals, weight_column
 
-ROWS_PER_BUCKET = 1_000_000
-
-
-def top_k_per_group(df: DataFrame, keys: list[str], order: list, k_col: str,
-                    salt_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Rows ranked 1..k per group (k from column ``k_col``), in two stages.
-
-    Each group is split into ceil(rows / ``rows_per_bucket``) salt buckets,
-    sized from its row count (a partial aggregate joined back; AQE splits a
-    hot key in that join).  Stage 1 ranks within (group, bucket) and keeps at
-    most k per bucket, so no window task holds more than about
-    ``rows_per_bucket`` rows; stage 2 ranks the at most buckets x k
-    survivors of each group.  ``order`` must be a total order.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_bucket)))
-    salted = (df.join(sizes, keys, "inner")
-                .withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), buckets)))
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    s1 = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= F.col(k_col))
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return (s1.withColumn("rank_in_slot", F.row_number().over(w2).cast("long"))
-              .where(F.col("rank_in_slot") <= F.col(k_col))
-              .drop("_salt", "_r1", "_n"))
-
 
 def _slice_holdings(h: DataFrame, spark: SparkSession) -> DataFrame:
     """Holdings labelled with every scenario that reads them (S5 rows also
@@ -79,19 +54,27 @@ def position_slots(h: DataFrame, spark: SparkSession) -> DataFrame:
             .where(F.weekday("slot_date") < 5))
 
 
-def sample_k(h: DataFrame, spark: SparkSession) -> DataFrame:
-    """Per scenario and account, min(k, population) distinct securities from
-    those the account holds in the slice, chosen by an md5 rank (no rand())."""
-    sh = _slice_holdings(h.select("scenario_id", "account_id", "security_id"), spark)
-    pop = sh.groupBy("scenario_id", "account_id", "security_id").agg(F.count(F.lit(1)).alias("lots"))
-    cfg = F.broadcast(scenario_config(spark).select("scenario_id", "holdings_per_slot"))
-    ranked_in = (pop.join(cfg, "scenario_id")
-                 .withColumn("sample_hash", F.md5(F.concat_ws("|", "scenario_id", "account_id",
-                                                              "security_id"))))
-    top = top_k_per_group(ranked_in, ["scenario_id", "account_id"],
-                          [F.col("sample_hash"), F.col("security_id")], "holdings_per_slot",
-                          "security_id")
-    return top.select("scenario_id", "account_id", "security_id", "sample_hash", "rank_in_slot")
+def sample_k(h: DataFrame, securities: DataFrame, spark: SparkSession) -> DataFrame:
+    """Per scenario, account and business day, min(k, population) distinct
+    securities of the scenario: as many in a row, by key, from one that a hash of
+    the slot picks (no rand(), no ranking of the population per slot)."""
+    sid = F.substring("security_id", 1, 2)
+    population = securities.groupBy(sid.alias("scenario_id")).agg(F.count(F.lit(1)).alias("n"))
+    cfg = scenario_config(spark).select("scenario_id", "holdings_per_slot")
+    per = F.broadcast(population.join(F.broadcast(cfg), "scenario_id"))  # a row a scenario
+    slots = (_slice_holdings(h.select("scenario_id", "account_id", "as_of_date"), spark)
+             .where(F.weekday("as_of_date") < 5)
+             .groupBy("scenario_id", "account_id", "as_of_date").agg(F.count(F.lit(1)).alias("lots")))
+    first = F.conv(F.substring(F.md5(F.concat_ws("|", "scenario_id", "account_id",
+                                                 F.col("as_of_date").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = slots.join(per, "scenario_id").select(
+        "scenario_id", "account_id", F.col("as_of_date").alias("slot_date"), "n", first.alias("_first"),
+        F.explode(F.sequence(F.lit(1), F.least("holdings_per_slot", F.col("n")).cast("int"))).alias("_r"))
+    key = (8 * F.pmod(F.col("_first") + F.col("_r") - 1, F.col("n"))
+           + F.substring("scenario_id", 2, 1).cast("int") - 1)
+    return drawn.select("scenario_id", "account_id", "slot_date",
+                        F.concat("scenario_id", padded_id("_", key, 6)).alias("security_id"),
+                        F.col("_r").cast("long").alias("rank_in_slot"))
 
 
 def position_measures(h: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ def pick(values, expr: str) -> str:
     return f"({lst(values)})[({expr}) % {len(values)} + 1]"
 
 
+def member(letter: str, key: str, width: int) -> str:
+    """SQL of a dimension key that starts with its scenario."""
+    return f"printf('{letter}%d_%0{width}d', {key} % 8 + 1, {key})"
+
+
 CUR = K.CURRENCIES
 
 BASE_CTES = {
@@ -28,8 +33,9 @@ h0 AS (
          CAST(l_tax AS DECIMAL(4,2)) AS tax
   FROM lineitem),
 h1 AS (
-  SELECT printf('A%05d', l_suppkey) AS account_id,
-         printf('S%06d', l_partkey) AS security_id,
+  SELECT {member('A', 'l_suppkey', 5)} AS account_id,
+         CASE WHEN l_orderkey % 40 = 0 THEN printf('S9_%06d', l_partkey)
+              ELSE {member('S', 'l_partkey', 6)} END AS security_id,
          CAST(l_shipdate AS DATE) AS as_of_date,
          CAST(l_quantity AS DECIMAL(28,8)) AS quantity,
          mv AS market_value_usd,
@@ -55,7 +61,7 @@ raw_holdings AS (
   FROM h1)""",
     "raw_securities": f"""
 raw_securities AS (
-  SELECT printf('S%06d', p_partkey) AS security_id,
+  SELECT {member('S', 'p_partkey', 6)} AS security_id,
          CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE printf('c%08d', p_partkey) END AS cusip,
          printf('us%010d', p_partkey) AS isin,
          printf('t%05d', p_partkey) AS ticker,
@@ -71,12 +77,12 @@ raw_securities AS (
          DATE '2000-01-01' + CAST(p_size AS INTEGER) AS issue_date,
          DATE '2000-01-01' + CAST(p_size AS INTEGER) + 3650 AS maturity_date,
          1 AS is_active
-  FROM part WHERE p_partkey % 40 <> 0)""",
+  FROM part)""",
     "raw_accounts": f"""
 raw_accounts AS (
-  SELECT printf('A%05d', s_suppkey) AS account_id,
+  SELECT {member('A', 's_suppkey', 5)} AS account_id,
          s_name AS account_name,
-         printf('CLI%05d', s_suppkey % 20) AS client_id,
+         printf('CLI%05d', s_suppkey // 5) AS client_id,
          lower({pick(K.ACCOUNT_TYPES, 's_suppkey')}) AS account_type,
          lower({pick(CUR, 's_nationkey')}) AS base_currency,
          DATE '2015-01-01' + CAST(s_suppkey % 2000 AS INTEGER) AS inception_date,
@@ -89,8 +95,8 @@ raw_accounts AS (
     "raw_transactions": f"""
 raw_transactions AS (
   SELECT printf('T%010d', o_orderkey) AS transaction_id,
-         printf('A%05d', o_custkey % 10) AS account_id,
-         printf('S%06d', o_orderkey % 200) AS security_id,
+         {member('A', 'o_custkey', 5)} AS account_id,
+         {member('S', 'o_orderkey', 6)} AS security_id,
          CAST(o_orderdate AS DATE) AS trade_date,
          CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS trade_month,
          {pick(K.TXN_TYPES, 'o_orderkey')} AS transaction_type,

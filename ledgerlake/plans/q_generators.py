@@ -71,16 +71,21 @@ def gen_position_slots(lake):
 
 
 @query("gen_sample_k", W2("""
-SELECT scenario_id, account_id, security_id, sample_hash, rank_in_slot FROM (
-  SELECT p.*, row_number() OVER (PARTITION BY p.scenario_id, p.account_id
-                                 ORDER BY p.sample_hash, p.security_id) AS rank_in_slot
-  FROM (SELECT scenario_id, account_id, security_id,
-               md5(scenario_id || '|' || account_id || '|' || security_id) AS sample_hash
-        FROM sh GROUP BY 1, 2, 3) p) r
-JOIN scenario_config c USING (scenario_id)
-WHERE r.rank_in_slot <= c.holdings_per_slot""", _SLICED))
+SELECT scenario_id, account_id, slot_date,
+       printf('%s_%06d', scenario_id,
+              8 * ((first + r - 1) % n) + CAST(substr(scenario_id, 2, 1) AS INTEGER) - 1) AS security_id,
+       r AS rank_in_slot
+FROM (
+  SELECT s.scenario_id, s.account_id, s.as_of_date AS slot_date, p.n,
+         CAST('0x' || substr(md5(s.scenario_id || '|' || s.account_id || '|' || CAST(s.as_of_date AS VARCHAR)), 1, 8)
+              AS BIGINT) AS first,
+         unnest(generate_series(1, least(CAST(c.holdings_per_slot AS BIGINT), p.n))) AS r
+  FROM (SELECT DISTINCT scenario_id, account_id, as_of_date FROM sh WHERE isodow(as_of_date) < 6) s
+  JOIN (SELECT substr(security_id, 1, 2) AS scenario_id, count(*) AS n FROM raw_securities GROUP BY 1) p
+    USING (scenario_id)
+  JOIN scenario_config c USING (scenario_id))""", _SLICED))
 def gen_sample_k(lake):
-    return generators.sample_k(lake.holdings, lake.spark)
+    return generators.sample_k(lake.holdings, lake.securities, lake.spark)
 
 
 @query("gen_position_measures", W2(f"""

@@ -152,25 +152,24 @@ def flt_trailing_30d(lake):
     return lake.stg_holdings(pruning=True)
 
 
-# Dimensions are shared by all scenarios here, so a scenario's key prefix is
-# the dimension's own prefix ('S' for securities, 'A' for accounts).
+# A scenario's own members: the holdings of its securities in its accounts.
 @query("flt_key_prefix", W("""
 SELECT h.account_id, h.security_id, h.as_of_date, h.market_value_usd
 FROM raw_holdings h
-JOIN (SELECT security_id FROM raw_securities WHERE security_id LIKE 'S%') s ON s.security_id = h.security_id
-JOIN (SELECT account_id FROM raw_accounts WHERE account_id LIKE 'A%') a ON a.account_id = h.account_id"""))
+JOIN (SELECT security_id FROM raw_securities WHERE security_id LIKE 'S2%') s ON s.security_id = h.security_id
+JOIN (SELECT account_id FROM raw_accounts WHERE account_id LIKE 'A2%') a ON a.account_id = h.account_id"""))
 def flt_key_prefix(lake):
-    s = staging.key_prefix(lake.securities, "security_id", "S").select("security_id")
-    a = staging.key_prefix(lake.accounts, "account_id", "A").select("account_id")
+    s = staging.key_prefix(lake.securities, "security_id", "S2").select("security_id")
+    a = staging.key_prefix(lake.accounts, "account_id", "A2").select("account_id")
     h = lake.holdings.select("account_id", "security_id", "as_of_date", "market_value_usd")
     return join_dimension(join_dimension(h, s, "security_id", "inner"), a, "account_id", "inner")
 
 
 @query("flt_account_history", W("""
 SELECT account_id, security_id, as_of_date, market_value_usd, unrealized_gain
-FROM raw_holdings WHERE account_id = 'A00001' AND as_of_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"""))
+FROM raw_holdings WHERE account_id = 'A2_00001' AND as_of_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"""))
 def flt_account_history(lake):
-    return staging.account_history(lake.holdings, "A00001", "1998-01-01", "1998-12-31").select(
+    return staging.account_history(lake.holdings, "A2_00001", "1998-01-01", "1998-12-31").select(
         "account_id", "security_id", "as_of_date", "market_value_usd", "unrealized_gain")
 
 

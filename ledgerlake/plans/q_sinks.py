@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import money_sum
 from ..operators import aggregates, marts, sinks
 from ..session import store_dir
-from ..sources import fixtures
+from ..sources import fixtures, store
+from ..streaming.incremental import account_day_by_month, run_incremental
 from . import oracle_base as O
 from .registry import query
 
@@ -15,7 +16,9 @@ W2 = O.W2
 
 
 def _path(lake, name: str) -> str:
-    return f"{store_dir(lake.spark, lake.sf_dir)}/sinks/{name}"
+    """An output folder of this application: concurrent ones do not meet."""
+    app = lake.spark.sparkContext.applicationId
+    return f"{store_dir(lake.spark, lake.sf_dir)}/sinks/{app}/{name}"
 
 
 @query("snk_slice_reload", W2("""
@@ -38,11 +41,10 @@ def snk_slice_reload(lake):
 
 @query("snk_mart_full_refresh", W2(O.mart_sql(f"({O.rollup_sql(0)})")))
 def snk_mart_full_refresh(lake):
-    """Materialise mart 001 as a table, twice (a rerun replaces it)."""
+    """Materialise mart 001 as a table (a rerun replaces it)."""
     path = _path(lake, "fct_portfolio_summary_001")
     mart = marts.portfolio_summary(aggregates.position_rollup(lake.enriched(), 0))
     sinks.full_refresh(mart, path)
-    sinks.full_refresh(mart, path)
     return lake.spark.read.schema(mart.schema).parquet(path)
 
 
@@ -71,17 +73,16 @@ SELECT account_id, as_of_date, as_of_month, count(DISTINCT security_id) AS sec_c
        CAST(sum(unrealized_gain) AS DECIMAL(38,2)) AS total_gain
 FROM raw_holdings GROUP BY account_id, as_of_date, as_of_month"""))
 def snk_incremental_equals_full(lake):
-    """Full build up to a high-water month, then an incremental build of the
-    months from it on; the table read back equals one full build."""
+    """Full build up to a date, in the middle of a month; then an incremental
+    build of the months from the newest of the target on.  The table read
+    back equals one full build."""
     path = _path(lake, "account_day_by_month")
     h = lake.holdings
-    build = (h.groupBy("account_id", "as_of_date", "as_of_month")
-              .agg(F.count_distinct("security_id").alias("sec_count"),
-                   money_sum("market_value_usd").alias("total_mv"),
-                   money_sum("unrealized_gain").alias("total_gain")))
-    hwm = F.add_months(h.agg(F.max("as_of_month")).scalar(), -6)
-    sinks.full_refresh(build.where(F.col("as_of_month") <= hwm), path, ["as_of_month"])
-    sinks.incremental_load(build, path, "as_of_month", hwm)
+    build = account_day_by_month(h)
+    cut = F.date_add(F.add_months(h.agg(F.max("as_of_month")).scalar(), -6), 14)
+    sinks.full_refresh(account_day_by_month(h.where(F.col("as_of_date") <= cut)), path, ["as_of_month"])
+    mark = lake.spark.read.schema(build.schema).parquet(path).agg(F.max("as_of_month")).scalar()
+    sinks.incremental_load(build, path, "as_of_month", mark)
     return lake.spark.read.schema(build.schema).parquet(path)
 
 
@@ -92,9 +93,8 @@ SELECT account_id, as_of_date, as_of_month, count(DISTINCT security_id) AS sec_c
 FROM raw_holdings GROUP BY account_id, as_of_date, as_of_month"""))
 def snk_incremental_stream(lake):
     """The same fact table built by the streaming incremental loader."""
-    from ..streaming.incremental import account_day_by_month, run_incremental
-    import uuid
-    out = f"{_path(lake, 'account_day_stream')}/{uuid.uuid4().hex}"
-    run_incremental(lake.spark, lake.sf_dir, out)
+    path = store.table_path(lake.spark, lake.sf_dir, "raw_holdings")
+    out = f"{_path(lake, 'account_day_stream')}/{path.rsplit('/', 1)[1]}"
+    run_incremental(lake.spark, lake.sf_dir, out, f"{out}-stream")
     schema = account_day_by_month(lake.holdings).schema
     return lake.spark.read.schema(schema).parquet(out)

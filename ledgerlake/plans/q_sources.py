@@ -67,9 +67,8 @@ def src_metrics_ordered(lake):
             .orderBy("scenario_id", "_ts").drop("_ts"))
 
 
-@query("src_table_inventory")
-def src_table_inventory(lake):
-    """Landed tables by size: the table catalogue (rows) joined to the
+def table_inventory(lake):
+    """Landed tables by rows: the table catalogue (rows) joined to the
     segment catalogue (files, bytes) on table name and owner."""
     paths = {t: store.build(lake.spark, lake.sf_dir, t) for t in store.TABLES}
     tables = reduce(lambda a, b: a.unionByName(b),
@@ -80,6 +79,17 @@ def src_table_inventory(lake):
     return catalog.table_inventory(tables, segments)
 
 
+_LANDED = {t: "YES" if v[1] is not None else "NO" for t, v in store.TABLES.items()}
+
+
+@query("src_table_inventory", W2("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS num_rows, '{p}' AS partitioned, true AS has_files FROM {t}"
+    for t, p in _LANDED.items())))
+def src_table_inventory(lake):
+    return table_inventory(lake).select("table_name", "num_rows", "partitioned",
+                                        (F.col("bytes") > 0).alias("has_files"))
+
+
 @query("src_partition_profile", W2("""
 SELECT h.scenario_id, h.as_of_month AS partition_month, count(*) AS num_rows,
        min(h.as_of_date) AS min_date, max(h.as_of_date) AS max_date,

@@ -99,17 +99,16 @@ def table_catalogue(spark: SparkSession, name: str, path: str, partitioned: bool
 def segment_catalogue(spark: SparkSession, name: str, path: str) -> DataFrame:
     """One row per table: owner, name, files and bytes, from file metadata
     only (no data columns are read)."""
-    files = (spark.read.parquet(path)
-             .select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
-             .groupBy("f").agg(F.first("b").alias("b")))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(path).select("length"))  # one row a file
     return files.agg(F.lit(OWNER).alias("owner"), F.lit(name).alias("table_name"),
-                     F.count(F.lit(1)).alias("num_files"), F.sum("b").alias("bytes"))
+                     F.count(F.lit(1)).alias("num_files"), F.sum("length").alias("bytes"))
 
 
 def table_inventory(tables: DataFrame, segments: DataFrame) -> DataFrame:
     """Tables joined to their segments on (table name, owner); size in GB
-    to 3 places; largest first."""
+    to 3 places; most rows first."""
     j = tables.join(segments, ["table_name", "owner"], "inner")
     return (j.select("table_name", "num_rows", "partitioned", "num_files", "bytes",
                      F.round(F.col("bytes") / F.lit(1073741824.0), 3).alias("size_gb"))
-             .orderBy(F.desc("bytes")))
+             .orderBy(F.desc("num_rows"), "table_name"))

@@ -11,16 +11,24 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import cycle_pick, dec, money_sum, padded_id
-from ..functions.sizing import sized_broadcast, spread
-
-# Input tables that feed heavy per-row expressions, with a key to spread on.
-SPREAD_KEYS = {"lineitem": ["l_orderkey"], "orders": ["o_orderkey"], "events": ["event_id"],
-               "part": ["p_partkey"]}
+from ..functions.sizing import sized_broadcast
 
 
 def read_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def member_id(letter: str, key: str, width: int) -> F.Column:
+    """A dimension key that starts with the scenario it was made for, such as
+    ``S3_000010``: scenario ``key % 8 + 1``."""
+    return F.concat(F.lit(letter), (F.pmod(key, F.lit(8)) + 1).cast("string"),
+                    padded_id("_", key, width))
+
+
+def held_security() -> F.Column:
+    """The security of a holding; one order in 40 names one that is not listed."""
+    known = member_id("S", "l_partkey", 6)
+    return F.when(F.pmod("l_orderkey", F.lit(40)) == 0, padded_id("S9_", "l_partkey", 6)).otherwise(known)
 
 
 def _mv_cost(li: DataFrame) -> DataFrame:
@@ -35,8 +43,8 @@ def _mv_cost(li: DataFrame) -> DataFrame:
                 .when(F.pmod("l_orderkey", F.lit(83)) == 0, F.lower(ccy))
                 .otherwise(ccy))
     return li.select(
-        padded_id("A", "l_suppkey", 5).alias("account_id"),
-        padded_id("S", "l_partkey", 6).alias("security_id"),
+        member_id("A", "l_suppkey", 5).alias("account_id"),
+        held_security().alias("security_id"),
         F.col("l_shipdate").cast("date").alias("as_of_date"),
         dec("l_quantity", 28, 8).alias("quantity"),
         mv.alias("market_value_usd"),
@@ -85,10 +93,10 @@ def raw_holdings_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_securities(spark: SparkSession, sf_dir: str, with_defaults: bool = True) -> DataFrame:
-    p = read_input(spark, sf_dir, "part").where(F.pmod("p_partkey", F.lit(40)) != 0)
+    p = read_input(spark, sf_dir, "part")
     ac = cycle_pick(K.ASSET_CLASSES, "p_partkey")
     cols = [
-        padded_id("S", "p_partkey", 6).alias("security_id"),
+        member_id("S", "p_partkey", 6).alias("security_id"),
         F.when(F.pmod("p_partkey", F.lit(7)) == 0, F.lit(None).cast("string"))
         .otherwise(padded_id("c", "p_partkey", 8)).alias("cusip"),
         padded_id("us", "p_partkey", 10).alias("isin"),
@@ -121,9 +129,9 @@ def raw_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.pmod("s_suppkey", F.lit(2)) == 0, "ACTIVE")
               .otherwise("Active"))
     return j.select(
-        padded_id("A", "s_suppkey", 5).alias("account_id"),
+        member_id("A", "s_suppkey", 5).alias("account_id"),
         F.col("s_name").alias("account_name"),
-        padded_id("CLI", F.pmod("s_suppkey", F.lit(20)), 5).alias("client_id"),
+        padded_id("CLI", F.floor(F.col("s_suppkey") / 5), 5).alias("client_id"),
         F.lower(cycle_pick(K.ACCOUNT_TYPES, "s_suppkey")).alias("account_type"),
         F.lower(cycle_pick(K.CURRENCIES, "s_nationkey")).alias("base_currency"),
         F.date_add(F.lit("2015-01-01").cast("date"),
@@ -138,8 +146,8 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_input(spark, sf_dir, "orders")
     return o.select(
         padded_id("T", "o_orderkey", 10).alias("transaction_id"),
-        padded_id("A", F.pmod("o_custkey", F.lit(10)), 5).alias("account_id"),
-        padded_id("S", F.pmod("o_orderkey", F.lit(200)), 6).alias("security_id"),
+        member_id("A", "o_custkey", 5).alias("account_id"),
+        member_id("S", "o_orderkey", 6).alias("security_id"),
         F.col("o_orderdate").cast("date").alias("trade_date"),
         F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("trade_month"),
         cycle_pick(K.TXN_TYPES, "o_orderkey").alias("transaction_type"),

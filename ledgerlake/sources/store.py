@@ -4,11 +4,14 @@ Rows are rebalanced on the month (AQE splits a hot month across tasks and
 merges small ones) and sorted inside each file, so parquet row-group
 statistics can skip on account and date.  ``raw_holdings`` and
 ``raw_transactions`` are stored in one folder per month, so a month predicate
-prunes whole folders.
+prunes whole folders.  A table's folder is named after the state of its input
+files (names, sizes, modification times), so a changed input is landed anew.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import threading
 
 from pyspark.errors import AnalysisException
@@ -25,7 +28,8 @@ TABLES = {
                      ["as_of_month", "scenario_id", "account_id", "as_of_date", "security_id"],
                      ["lineitem"]),
     "raw_securities": (fixtures.raw_securities, None, ["security_id"], ["part"]),
-    "raw_accounts": (fixtures.raw_accounts, None, ["account_id"], ["supplier"]),
+    "raw_accounts": (fixtures.raw_accounts, None, ["account_id"],
+                     ["supplier", "nation", "region"]),
     "raw_transactions": (fixtures.raw_transactions, ["trade_month"],
                          ["trade_month", "account_id", "trade_date", "transaction_id"], ["orders"]),
     "stress_metrics": (fixtures.stress_metrics, None, ["scenario_id", "started_at", "metric_id"],
@@ -41,13 +45,27 @@ _locks_guard = threading.Lock()
 def _lock(key: str) -> threading.Lock:
     with _locks_guard:
         return _locks.setdefault(key, threading.Lock())
-# Landed tables as DataFrames, per application: file listing and schema
-# resolution happen once per session, not once per query.
+
+
+# Landed tables as DataFrames, per application and state of the input: file
+# listing and schema resolution happen once, not once per query.
 _frames: dict[str, DataFrame] = {}
 
 
+def input_state(spark: SparkSession, sf_dir: str, inputs: list[str]) -> str:
+    """Hash of the names, sizes and modification times of the input files."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1()
+    for name in inputs:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet{{,/*,/*/*}}")
+        listed = jvm.scala.runtime.ScalaRunTime.stringOf(path.getFileSystem(conf).globStatus(path))
+        h.update(re.sub(r"access_time=\d+", "", listed).encode())
+    return h.hexdigest()[:12]
+
+
 def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    return f"{store_dir(spark, sf_dir)}/{name}"
+    return f"{store_dir(spark, sf_dir)}/{name}/{input_state(spark, sf_dir, TABLES[name][3])}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -89,16 +107,19 @@ def build(spark: SparkSession, sf_dir: str, name: str, force: bool = False) -> s
     return path
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A landed table, its files listed now, with its declared schema, so
+    partition columns keep their types."""
+    path = build(spark, sf_dir, name)
+    return spark.read.schema(TABLES[name][0](spark, sf_dir).schema).parquet(path)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a landed table (landing it first if needed) with its declared
-    schema, so partition columns keep their types."""
+    """A landed table (landed first if needed), listed once per application."""
     key = f"{spark.sparkContext.applicationId}:{table_path(spark, sf_dir, name)}"
-    df = _frames.get(key)
-    if df is None:
-        path = build(spark, sf_dir, name)
-        schema = TABLES[name][0](spark, sf_dir).schema
-        df = _frames[key] = spark.read.schema(schema).parquet(path)
-    return df
+    if key not in _frames:
+        _frames[key] = read(spark, sf_dir, name)
+    return _frames[key]
 
 
 def land_all(spark: SparkSession, sf_dir: str, force: bool = False) -> dict[str, str]:

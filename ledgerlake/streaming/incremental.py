@@ -1,29 +1,29 @@
 """Incremental fact load as Structured Streaming.
 
 New holdings files arriving in the month-partitioned landing folder are read
-as a file stream (``trigger(availableNow=True)`` for a daily batch run).  For
-each micro-batch, the months it touches are rebuilt from the whole landed
-table (a month's account-day totals need all of that month's rows, old and
-new) and written with a dynamic partition overwrite, so only those month
-folders of the fact table change.  The stream's checkpoint records which
-files were consumed: a restarted or retried run resumes, and re-running a
-batch rewrites the same months with the same rows (idempotent).
+as a file stream (``trigger(availableNow=True)`` for a daily batch run).  The
+stream only notes which months its batches touch, in files beside its
+checkpoint.  When it has caught up, those months are rebuilt once from the
+whole landed table, whose files are listed then (a month's account-day totals need all of
+that month's rows, old and new), with a dynamic partition overwrite; last,
+the batches are recorded as rebuilt.  A run that dies in between leaves its
+notes, and the next run rebuilds their months.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import money_sum
 from ..operators import sinks
 from ..session import checkpoint_root
 from ..sources import store
 
-MAX_FILES_PER_TRIGGER = 1000
-
 
 def account_day_by_month(h: DataFrame) -> DataFrame:
     return (h.groupBy("account_id", "as_of_date", "as_of_month")
@@ -32,27 +32,49 @@ def account_day_by_month(h: DataFrame) -> DataFrame:
                   money_sum("unrealized_gain").alias("total_gain")))
 
 
-def stream_months(spark: SparkSession, src_path: str, table: DataFrame, out_path: str,
-                  checkpoint: str) -> str:
-    """Consume the files under ``src_path`` not yet recorded in
-    ``checkpoint`` and rebuild the months they touch from ``table``."""
+def _read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # nothing written yet
+        return spark.createDataFrame([], schema)
 
-    def rebuild_months(batch: DataFrame, epoch_id: int) -> None:
-        # Touched months: at most one value per month folder, a bounded list.
-        months = [r[0] for r in batch.select("as_of_month").distinct().collect()]
-        if not months:
-            return
+
+def rebuild_touched(spark: SparkSession, src_path: str, schema: StructType, out_path: str,
+                    notes: str) -> list:
+    """Rebuild the months of all noted batches that no run has rebuilt yet."""
+    noted = _read_if_any(spark, f"{notes}/touched", "as_of_month date, batch long")
+    done = _read_if_any(spark, f"{notes}/rebuilt", "batch long")
+    todo = noted.join(done, "batch", "left_anti")
+    # At most one value per month folder and one per batch of the last runs.
+    batches = [r[0] for r in todo.select("batch").distinct().collect()]
+    months = [r[0] for r in todo.select("as_of_month").distinct().collect()]
+    if months:
+        table = spark.read.schema(schema).parquet(src_path)  # listed now, not when the session began
         part = table.where(F.col("as_of_month").isin(months))  # static partition pruning
         sinks.overwrite_partitions(account_day_by_month(part), out_path, ["as_of_month"])
+        spark.createDataFrame([(b,) for b in batches], "batch long").write.mode("append").parquet(f"{notes}/rebuilt")
+    return months
+
+
+def stream_months(spark: SparkSession, src_path: str, schema: StructType, out_path: str,
+                  checkpoint: str, files_per_batch: int | None = None) -> str:
+    """Consume the files under ``src_path`` not yet recorded in
+    ``checkpoint`` and rebuild the months they touch."""
+    notes = f"{checkpoint}-notes"
+
+    def note(batch: DataFrame, batch_id: int) -> None:
+        (batch.select("as_of_month").distinct()
+         .write.mode("overwrite").parquet(f"{notes}/touched/batch={batch_id}"))
 
-    q = (spark.readStream.schema(table.schema)
-         .option("maxFilesPerTrigger", MAX_FILES_PER_TRIGGER)
-         .parquet(src_path)
-         .writeStream.foreachBatch(rebuild_months)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    q = (reader.parquet(src_path).writeStream.foreachBatch(note)
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
+    rebuild_touched(spark, src_path, schema, out_path, notes)
     return out_path
 
 
@@ -60,6 +82,6 @@ def run_incremental(spark: SparkSession, sf_dir: str, out_path: str,
                     checkpoint: str | None = None) -> str:
     """Incremental load of the landed holdings of one input folder."""
     src_path = store.build(spark, sf_dir, "raw_holdings")
-    table = store.load(spark, sf_dir, "raw_holdings")
+    schema = store.load(spark, sf_dir, "raw_holdings").schema
     checkpoint = checkpoint or f"{checkpoint_root(spark)}/ledgerlake-streams/{uuid.uuid4().hex}"
-    return stream_months(spark, src_path, table, out_path, checkpoint)
+    return stream_months(spark, src_path, schema, out_path, checkpoint)

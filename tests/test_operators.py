@@ -68,22 +68,85 @@ def test_identity_key_is_dense_and_ordered(spark):
     assert [p[1] for p in pairs] == list(range(5000))
 
 
-def test_salted_top_k_matches_brute_force_with_hot_group(spark):
-    from ledgerlake.operators.generators import top_k_per_group
-    # group "hot" holds a third of all rows
-    rows = [("hot" if i % 3 == 0 else f"g{i % 50}", f"s{i}", (i * 2654435761) % 10007)
-            for i in range(6000)]
-    df = spark.createDataFrame(rows, "g string, s string, h long").withColumn("k", F.lit(5))
-    got = {(r.g, r.s, r.rank_in_slot) for r in
-           top_k_per_group(df, ["g"], [F.col("h"), F.col("s")], "k", "s", rows_per_bucket=100).collect()}
-    exp = set()
-    by = {}
-    for g, s, h in rows:
-        by.setdefault(g, []).append((h, s))
-    for g, items in by.items():
-        for rank, (h, s) in enumerate(sorted(items)[:5], start=1):
-            exp.add((g, s, rank))
-    assert got == exp
+def test_sample_k_is_distinct_members_of_the_scenario(spark):
+    from ledgerlake.operators.generators import sample_k
+    from ledgerlake.plans.context import Lake
+    lake = Lake(spark, SF_SMALL)
+    out = sample_k(lake.holdings, lake.securities, spark)
+    slot = ["scenario_id", "account_id", "slot_date"]
+    bad = out.groupBy(*slot).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("security_id").alias("d"))
+    assert bad.where("n <> d").count() == 0
+    assert out.join(lake.securities, "security_id", "left_anti").count() == 0
+    assert out.where(~F.col("security_id").startswith(F.col("scenario_id"))).count() == 0
+
+
+def test_money_sums_keep_legal_amounts(spark):
+    from ledgerlake.functions.columns import money_max, money_sum
+    big = Decimal("60000000000000000.00")
+    df = spark.createDataFrame([(big,), (big,)], "v decimal(20,2)")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            r = df.agg(money_sum("v").alias("s"), money_max("v").alias("m")).first()
+            assert (r.s, r.m) == (2 * big, big)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_halves_round_away_from_zero(spark):
+    from ledgerlake.functions.columns import half_up_div
+    df = spark.createDataFrame([(-5,), (-7,), (5,), (7,), (-4,), (0,)], "a long")
+    got = [r[0] for r in df.select(half_up_div(F.col("a"), F.lit(2))).collect()]
+    assert got == [-3, -4, 3, 4, -2, 0]
+
+
+def _own_input(spark, tmp_path, name):
+    """A writable copy of one input table beside links to the others."""
+    import os
+    for f in os.listdir(SF_SMALL):
+        if f != f"{name}.parquet":
+            os.symlink(f"{SF_SMALL}/{f}", tmp_path / f)
+    spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_a_grown_input_is_landed_anew(spark, tmp_path):
+    from ledgerlake.plans.context import Lake
+    d = _own_input(spark, tmp_path, "supplier")
+    n = Lake(spark, d).accounts.count()
+    more = spark.read.parquet(f"{SF_SMALL}/supplier.parquet").withColumn("s_suppkey", F.col("s_suppkey") + 1000)
+    more.write.mode("append").parquet(f"{d}/supplier.parquet")
+    assert Lake(spark, d).accounts.count() == 2 * n
+
+
+def test_a_grown_dimension_is_no_longer_broadcast(spark, tmp_path):
+    from ledgerlake.functions.sizing import sized_broadcast
+    path = str(tmp_path / "dim")
+    spark.range(10).write.parquet(path)
+    dim = lambda: sized_broadcast(spark.read.parquet(path), max_bytes=10_000)
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(dim())
+    spark.range(100_000).write.mode("overwrite").parquet(path)
+    assert not hinted(dim())
+
+
+def test_inventory_counts_files_and_bytes(spark):
+    import os
+    from ledgerlake.plans.context import Lake
+    from ledgerlake.plans.q_sources import table_inventory
+    from ledgerlake.sources import store
+    for r in table_inventory(Lake(spark, SF_SMALL)).collect():
+        top = store.table_path(spark, SF_SMALL, r.table_name).removeprefix("file:")
+        sizes = [os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(top) for f in fs if f.endswith(".parquet")]
+        assert (r.num_files, r.bytes) == (len(sizes), sum(sizes))
+
+
+def test_key_prefix_is_a_strict_subset(spark):
+    import __spark_entry__ as E
+    from ledgerlake.plans.context import Lake
+    n = E.queries()["flt_key_prefix"](spark, SF_SMALL).count()
+    assert 0 < n < Lake(spark, SF_SMALL).holdings.count()
 
 
 def test_run_log_completed_line_takes_precedence(spark):

@@ -8,40 +8,59 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 
 
-def test_incremental_stream_picks_up_new_and_late_files(spark):
+def test_incremental_run_picks_up_new_and_late_files(spark):
+    """Two runs in one session, with new and late files in between."""
     from ledgerlake.operators import sinks
     from ledgerlake.plans.context import Lake
-    from ledgerlake.session import checkpoint_root
-    from ledgerlake.streaming.incremental import account_day_by_month, stream_months
+    from ledgerlake.session import STORE_TAG_CONF, checkpoint_root
+    from ledgerlake.sources import store
+    from ledgerlake.streaming.incremental import account_day_by_month, run_incremental
 
-    lake = Lake(spark, SF_SMALL)
-    h = lake.holdings
+    h = Lake(spark, SF_SMALL).holdings
     months = sorted(r[0] for r in h.select("as_of_month").distinct().collect())
     old, new = months[:-3], months[-3:]
+    first = h.where(F.col("as_of_month").isin(old))
+    late = first.where(F.col("as_of_month") == old[0]).limit(1)  # held back
     run = f"{checkpoint_root(spark)}/test-stream-{uuid.uuid4().hex}"
-    src, out, ckpt = f"{run}/src", f"{run}/out", f"{run}/ckpt"
+    out, ckpt = f"{run}/out", f"{run}/ckpt"
+    spark.conf.set(STORE_TAG_CONF, uuid.uuid4().hex)  # a store of this test's own
+    try:
+        src = store.build(spark, SF_SMALL, "raw_holdings")
+        keys = ["as_of_month", "scenario_id"]
+        store.write_table(first.exceptAll(late), src, keys, ["account_id"])
+        run_incremental(spark, SF_SMALL, out, ckpt)
+        got1 = spark.read.parquet(out)
+        assert got1.select("as_of_month").distinct().count() == len(old)
+        untouched = old[len(old) // 2]
+        before = {tuple(r) for r in got1.where(F.col("as_of_month") == untouched).collect()}
 
-    first = h.where(F.col("as_of_month").isin(old))
-    # hold back one late row of an old month
-    late = first.where(F.col("as_of_month") == old[0]).limit(1)
-    sinks.bulk_append(first.exceptAll(late), src, ["as_of_month"])
-    table = spark.read.schema(h.schema).parquet(src)
-    stream_months(spark, src, table, out, ckpt)
-    got1 = spark.read.parquet(out)
-    assert got1.select("as_of_month").distinct().count() == len(old)
+        sinks.bulk_append(h.where(F.col("as_of_month").isin(new)).unionByName(late), src, keys)
+        run_incremental(spark, SF_SMALL, out, ckpt)
+        got = spark.read.schema(account_day_by_month(h).schema).parquet(out)
+        full = account_day_by_month(h).select(*got.columns)
+        assert got.exceptAll(full).count() == 0 and full.exceptAll(got).count() == 0
+        after = {tuple(r) for r in spark.read.parquet(out).where(F.col("as_of_month") == untouched).collect()}
+        assert before == after
+    finally:
+        spark.conf.unset(STORE_TAG_CONF)
 
-    untouched = old[len(old) // 2]
-    before = {tuple(r) for r in got1.where(F.col("as_of_month") == untouched).collect()}
 
-    # new months arrive, plus the late row for the oldest month
-    sinks.bulk_append(h.where(F.col("as_of_month").isin(new)).unionByName(late), src, ["as_of_month"])
-    table = spark.read.schema(h.schema).parquet(src)
-    stream_months(spark, src, table, out, ckpt)
-    got = spark.read.schema(account_day_by_month(h).schema).parquet(out)
-    full = account_day_by_month(h).select(*got.columns)
-    assert got.exceptAll(full).count() == 0 and full.exceptAll(got).count() == 0
-    after = {tuple(r) for r in spark.read.parquet(out).where(F.col("as_of_month") == untouched).collect()}
-    assert before == after
+def test_a_run_that_died_before_its_rebuild_is_made_up_for(spark):
+    from ledgerlake.plans.context import Lake
+    from ledgerlake.session import checkpoint_root
+    from ledgerlake.sources import store
+    from ledgerlake.streaming import incremental as inc
+
+    h = Lake(spark, SF_SMALL).holdings
+    run = f"{checkpoint_root(spark)}/test-stream-{uuid.uuid4().hex}"
+    src = store.table_path(spark, SF_SMALL, "raw_holdings")
+    rebuild, inc.rebuild_touched = inc.rebuild_touched, lambda *a: None  # the first run ends here
+    try:
+        inc.stream_months(spark, src, h.schema, f"{run}/out", f"{run}/ckpt")
+    finally:
+        inc.rebuild_touched = rebuild
+    inc.stream_months(spark, src, h.schema, f"{run}/out", f"{run}/ckpt")
+    assert spark.read.parquet(f"{run}/out").count() == inc.account_day_by_month(h).count()
 
 
 def test_streaming_metrics_rollup_equals_batch(spark):
