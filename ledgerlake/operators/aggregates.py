@@ -121,24 +121,24 @@ def table_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """Gathered statistics per column: rows, distinct values, NULLs, min and
     max (as text), one row per column.
 
-    Each column is first reduced to its distinct values with their counts (a
-    hash aggregate that combines map-side, so only distinct values shuffle);
-    min/max then run over that small set.  This avoids both the row
-    multiplication of a multi-column COUNT(DISTINCT) and a sort-based
-    aggregate for string min/max over the whole table.
+    One scan: each column is a grouping set of one aggregate that combines
+    map-side, so only distinct values shuffle; the statistics then run over
+    the values of all columns together.
     """
-    parts = []
-    for c in cols:
-        vals = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(vals.agg(
+    vals = df.groupingSets([[c] for c in cols], *cols).agg(
+        F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_gid"))
+
+    def stats(i: int, c: str) -> F.Column:
+        own = F.col("_gid") == sum(1 << (len(cols) - 1 - j) for j in range(len(cols)) if j != i)
+        v = F.when(own, F.col(c))
+        return F.struct(
             F.lit(c).alias("column_name"),
-            F.sum("n").cast("long").alias("num_rows"),
-            F.count("v").alias("num_distinct"),
-            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).cast("long")
+            F.coalesce(F.sum(F.when(own, F.col("_n"))), F.lit(0)).cast("long").alias("num_rows"),
+            F.count_if(v.isNotNull()).alias("num_distinct"),
+            F.coalesce(F.sum(F.when(own & F.col(c).isNull(), F.col("_n"))), F.lit(0)).cast("long")
             .alias("num_nulls"),
-            F.min("v").cast("string").alias("low_value"),
-            F.max("v").cast("string").alias("high_value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            F.min(v).cast("string").alias("low_value"),
+            F.max(v).cast("string").alias("high_value"))
+
+    one = vals.agg(F.array(*[stats(i, c) for i, c in enumerate(cols)]).alias("_s"))
+    return one.select(F.explode("_s").alias("r")).select("r.*")

@@ -69,13 +69,13 @@ def unique_failures(df: DataFrame, model: str, col: str) -> DataFrame:
 
 
 def primary_key_check(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
-    """Rows with a NULL key part and key values that repeat."""
-    nulls = df.agg(F.count_if(reduce(lambda a, b: a | b,
-                                     [F.col(c).isNull() for c in keys])).alias("null_key_rows"))
-    dups = duplicate_keys(df, keys).agg(F.count(F.lit(1))).scalar()
-    return (nulls.select(F.lit(table).alias("table_name"),
-                         F.lit(",".join(keys)).alias("key_columns"),
-                         "null_key_rows", dups.alias("duplicate_keys"))
+    """Rows with a NULL key part and key values that repeat, in one grouped pass."""
+    null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in keys])
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return (groups.agg(
+        F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
+        F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).cast("long").alias("null_key_rows"),
+        F.count_if(~null & (F.col("n") > 1)).alias("duplicate_keys"))
             .withColumn("passed", (F.col("null_key_rows") == 0) & (F.col("duplicate_keys") == 0)))
 
 
