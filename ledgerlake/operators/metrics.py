@@ -45,18 +45,22 @@ def metric_rows(metrics: DataFrame, log: DataFrame) -> DataFrame:
     return m.join(notes, "metric_id", "left")
 
 
+UPDATED = ["explain_cost", "partition_count", "partitions_pruned"]
+
+
 def metric_update(metrics: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Set cost and step counts on the ``collect_stats`` rows of each
-    scenario (left join on scenario and phase, then coalesce)."""
+    """The metrics table after an update: the ``collect_stats`` rows of each
+    scenario get cost, step and pruning counts; all other rows and columns
+    stay as they are."""
     ev = evidence.select("scenario_id", F.lit("collect_stats").alias("phase"),
-                         F.col("rows_scanned").alias("u_cost"),
-                         F.col("months_total").alias("u_steps"),
-                         F.col("months_scanned").alias("u_pruned"))
-    j = metrics.join(F.broadcast(ev), ["scenario_id", "phase"], "left")
-    return j.select("metric_id", "scenario_id", "phase", "duration_sec",
-                    F.col("u_cost").cast("long").alias("explain_cost"),
-                    F.col("u_steps").cast("long").alias("partition_count"),
-                    F.col("u_pruned").cast("long").alias("partitions_pruned"))
+                         F.col("rows_scanned").alias("u_explain_cost"),
+                         F.col("months_total").alias("u_partition_count"),
+                         (F.col("months_total") - F.col("months_scanned")).alias("u_partitions_pruned"))
+    j = metrics.join(F.broadcast(ev), ["scenario_id", "phase"], "left")  # a row a scenario
+    new = {c: F.coalesce(F.col(f"u_{c}"), F.col(c) if c in metrics.columns else F.lit(None)).cast("long")
+           for c in UPDATED}
+    return j.select(*[c for c in metrics.columns if c not in new],
+                    *[v.alias(c) for c, v in new.items()])
 
 
 # ------------------------------------------------------------ rollups ---
@@ -88,9 +92,14 @@ def scale_projection(metrics: DataFrame) -> DataFrame:
     rp, ra = F.col("rows_projected"), F.col("rows_actual")
     d = F.col("duration_sec").cast("double")
     proj = F.when((rp > 0) & (ra > 0), d * (rp.cast("double") / ra.cast("double"))).otherwise(d)
-    return metrics.select("metric_id", "scenario_id", "phase", "duration_sec", "rows_actual",
-                          "rows_projected", proj.alias("projected_duration_sec"),
-                          (proj / 60.0).alias("projected_duration_min"))
+    cfg = scenario_config(metrics.sparkSession).select(
+        "scenario_id", "scenario_name", "strategy",
+        F.col("use_partition_filter").cast("int").alias("pruning_active"))  # a row a scenario
+    return metrics.join(F.broadcast(cfg), "scenario_id", "left").select(
+        "metric_id", "scenario_id", "scenario_name", "phase", "duration_sec", "rows_actual",
+        "rows_projected", proj.alias("projected_duration_sec"),
+        (proj / 60.0).alias("projected_duration_min"),
+        "peak_mem_mb", "avg_cpu_pct", "strategy", "pruning_active")
 
 
 def pruning_roi(pivot: DataFrame) -> DataFrame:

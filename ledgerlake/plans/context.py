@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import joins, staging
-from ..session import apply_conf
+from ..session import apply_conf, store_dir
 from ..sources import store
 
 
@@ -20,6 +20,11 @@ class Lake:
     def raw(self, name: str) -> DataFrame:
         return store.load(self.spark, self.sf_dir, name)
 
+    def sink_path(self, name: str) -> str:
+        """An output folder of this application: concurrent ones do not meet."""
+        app = self.spark.sparkContext.applicationId
+        return f"{store_dir(self.spark, self.sf_dir)}/sinks/{app}/{name}"
+
     @property
     def holdings(self) -> DataFrame:
         return self.raw("raw_holdings")

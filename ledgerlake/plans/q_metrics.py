@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import metrics as M
-from ..operators import staging
+from ..operators import sinks, staging
 from ..sources import catalog
 from . import oracle_base as O
 from .registry import query
@@ -117,9 +117,11 @@ _PROJ = ("CASE WHEN rows_projected > 0 AND rows_actual > 0 THEN CAST(duration_se
 
 
 @query("obs_scale_projection", WM(f"""
-SELECT metric_id, scenario_id, phase, duration_sec, rows_actual, rows_projected,
-       {_PROJ} AS projected_duration_sec, ({_PROJ}) / 60.0 AS projected_duration_min
-FROM stress_metrics"""))
+SELECT m.metric_id, m.scenario_id, c.scenario_name, m.phase, m.duration_sec, m.rows_actual,
+       m.rows_projected, m.projected_duration_sec, m.projected_duration_sec / 60.0 AS projected_duration_min,
+       m.peak_mem_mb, m.avg_cpu_pct, c.strategy, CAST(c.use_partition_filter AS INTEGER) AS pruning_active
+FROM (SELECT *, {_PROJ} AS projected_duration_sec FROM stress_metrics) m
+LEFT JOIN scenario_config c ON c.scenario_id = m.scenario_id"""))
 def obs_scale_projection(lake):
     return M.scale_projection(lake.metrics)
 
@@ -299,17 +301,26 @@ FROM (SELECT *, (2 * (epoch_us(finished_at) - epoch_us(started_at)) + 1000) // 2
       FROM stress_metrics) m
 LEFT JOIN run_log l ON l.line_no + 1 = m.metric_id"""))
 def snk_metric_rows(lake):
-    return M.metric_rows(lake.metrics, lake.run_log)
+    """The rows of earlier runs are there; those of the last week are appended."""
+    earlier, new = M.split_runs(lake.metrics)
+    path = lake.sink_path("metric_rows")
+    sinks.full_refresh(M.metric_rows(earlier, lake.run_log), path)
+    rows = M.metric_rows(new, lake.run_log)
+    sinks.bulk_append(rows, path)
+    return lake.spark.read.schema(rows.schema).parquet(path)
 
 
 @query("snk_metric_update", WM("""
-SELECT m.metric_id, m.scenario_id, m.phase, m.duration_sec,
+SELECT m.*,
        CAST(e.rows_scanned AS BIGINT) AS explain_cost,
        CAST(e.months_total AS BIGINT) AS partition_count,
-       CAST(e.months_scanned AS BIGINT) AS partitions_pruned
+       CAST(e.months_total - e.months_scanned AS BIGINT) AS partitions_pruned
 FROM stress_metrics m LEFT JOIN pmatrix e ON e.scenario_id = m.scenario_id AND m.phase = 'collect_stats'"""))
 def snk_metric_update(lake):
-    return M.metric_update(lake.metrics, pruning_evidence(lake))
+    path = lake.sink_path("metric_update")
+    updated = M.metric_update(lake.metrics, pruning_evidence(lake))
+    sinks.full_refresh(updated, path)
+    return lake.spark.read.schema(updated.schema).parquet(path)
 
 
 _ROLL_COLS = ", ".join(M.OVERLAY_FIELDS)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import money_sum
 from ..operators import aggregates, marts, sinks
-from ..session import store_dir
 from ..sources import fixtures, store
 from ..streaming.incremental import account_day_by_month, run_incremental
 from . import oracle_base as O
@@ -15,19 +14,13 @@ from .registry import query
 W2 = O.W2
 
 
-def _path(lake, name: str) -> str:
-    """An output folder of this application: concurrent ones do not meet."""
-    app = lake.spark.sparkContext.applicationId
-    return f"{store_dir(lake.spark, lake.sf_dir)}/sinks/{app}/{name}"
-
-
 @query("snk_slice_reload", W2("""
 SELECT scenario_id, count(*) AS n_rows, CAST(sum(market_value_usd) AS DECIMAL(38,2)) AS total_mv_usd
 FROM raw_holdings GROUP BY scenario_id"""))
 def snk_slice_reload(lake):
     """Land all slices, then reload S2 twice (delete + insert as a dynamic
     partition overwrite): the second reload must change nothing."""
-    path = _path(lake, "holdings_by_slice")
+    path = lake.sink_path("holdings_by_slice")
     h = lake.holdings.select("account_id", "security_id", "as_of_date", "market_value_usd",
                              "scenario_id")
     sinks.full_refresh(h, path, ["scenario_id"])
@@ -42,7 +35,7 @@ def snk_slice_reload(lake):
 @query("snk_mart_full_refresh", W2(O.mart_sql(f"({O.rollup_sql(0)})")))
 def snk_mart_full_refresh(lake):
     """Materialise mart 001 as a table (a rerun replaces it)."""
-    path = _path(lake, "fct_portfolio_summary_001")
+    path = lake.sink_path("fct_portfolio_summary_001")
     mart = marts.portfolio_summary(aggregates.position_rollup(lake.enriched(), 0))
     sinks.full_refresh(mart, path)
     return lake.spark.read.schema(mart.schema).parquet(path)
@@ -76,7 +69,7 @@ def snk_incremental_equals_full(lake):
     """Full build up to a date, in the middle of a month; then an incremental
     build of the months from the newest of the target on.  The table read
     back equals one full build."""
-    path = _path(lake, "account_day_by_month")
+    path = lake.sink_path("account_day_by_month")
     h = lake.holdings
     build = account_day_by_month(h)
     cut = F.date_add(F.add_months(h.agg(F.max("as_of_month")).scalar(), -6), 14)
@@ -94,7 +87,7 @@ FROM raw_holdings GROUP BY account_id, as_of_date, as_of_month"""))
 def snk_incremental_stream(lake):
     """The same fact table built by the streaming incremental loader."""
     path = store.table_path(lake.spark, lake.sf_dir, "raw_holdings")
-    out = f"{_path(lake, 'account_day_stream')}/{path.rsplit('/', 1)[1]}"
+    out = f"{lake.sink_path('account_day_stream')}/{path.rsplit('/', 1)[1]}"
     run_incremental(lake.spark, lake.sf_dir, out, f"{out}-stream")
     schema = account_day_by_month(lake.holdings).schema
     return lake.spark.read.schema(schema).parquet(out)
