@@ -142,9 +142,7 @@ def threshold_grade(rollup: DataFrame, pivot: DataFrame, spark: SparkSession) ->
 
 # ------------------------------------------------------------ run log ---
 
-_ROWS = r"(?i)(\d+) rows affected"
-_DONE = r"Completed with (\d+) warnings? and (\d+) error"
-_OKS = r"(\d+) of (\d+) OK"
+_ROWS, _DONE, _OKS = K.RUN_LOG_PATTERNS
 
 
 def run_log_summary(log: DataFrame) -> DataFrame:

@@ -11,9 +11,7 @@ from ..sources import catalog
 from . import oracle_base as O
 from .registry import query
 
-_ROWS = r"(?i)(\d+) rows affected"
-_DONE = r"Completed with (\d+) warnings? and (\d+) error"
-_OKS = r"(\d+) of (\d+) OK"
+_ROWS, _DONE, _OKS = K.RUN_LOG_PATTERNS
 
 
 def _half_up(a: str, b: str) -> str:
