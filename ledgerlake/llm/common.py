@@ -44,6 +44,18 @@ def hash128(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit(0x9E3779B9), c)
 
 
+SALTS = 8
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """Inner join of ``many`` with ``one`` row a key, where a key may hold a
+    large part of ``many``: its rows are dealt to ``SALTS`` tasks by ``spread``.
+    Both sides are dealt for the join alone, so AQE can split a task further."""
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).alias("_salt")
+    dealt = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1))).alias("_salt"))
+    return many.select("*", salt).join(dealt, [*keys, "_salt"]).drop("_salt")
+
+
 def schema_with(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and further fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

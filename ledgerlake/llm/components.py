@@ -1,7 +1,8 @@
 """Connected components of an edge table, by large-star and small-star steps.
 
 Every step is joins and minima; its edges are written to the shared folder,
-so lineage stays short and lost executors cost one step at most.
+so lineage stays short and lost executors cost one step at most.  A node with
+very many edges is salted in the joins.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,10 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .distinct())
+        large = (salted_join(both.filter("v > u"), least, ["u"], ["v"])
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (salted_join(large, least, ["u"], ["v"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         now = stored(small, "edges")
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -6,7 +6,8 @@ line position.
 
 Only hashes, ids and positions of long lines are shuffled for the counts.
 Distinct (line, document) pairs are formed first, so a line found in a third
-of all documents reaches its count as one partial row per task.  The text is
+of all documents reaches its count as one partial row per task, and its lines
+are salted when they meet the count.  The text is
 shuffled once, to meet its dropped positions; documents that lose nothing
 keep their lines without any regrouping.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, hash128, lower_ascii
+from .common import ASCII_SPACE, hash128, lower_ascii, salted_join
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -68,8 +69,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``docs`` is read three times, so pass a table or a stored frame."""
     shared = shared_lines(docs, id_col, text_col, min_chars, min_docs)
-    dropped = (_long_lines(docs, id_col, text_col, min_chars)
-               .join(shared, ["_h1", "_h2"])
+    lines = _long_lines(docs, id_col, text_col, min_chars)
+    dropped = (salted_join(lines, shared, ["_h1", "_h2"], ["_t1", "_t2", "_pos", "_d"])
                .filter(~F.col("_d").eqNullSafe(F.col("_keeper")))
                .groupBy("_d", "_t1", "_t2")
                .agg(F.collect_set("_pos").alias("_drop")))
