@@ -1,8 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text is cut into paragraphs: at line ends, and inside a line after a
-sentence whose last letter is one of a few (so equal passages are cut alike
-wherever they stand).  Each distinct paragraph's 64-bit digest is added to one
+A text is cut into paragraphs: at line ends, after every sentence inside a
+line, and, ``STRETCH`` characters into a stretch without such an end, after
+words (characters, where words are long) that a hash picks, so equal passages
+are cut alike wherever they stand.  Each distinct paragraph's 64-bit digest is added to one
 cell of each of three small tables; a cell holds a count, the XOR of its
 digests and the XOR of their checks.  Subtracting two sketches cancels what the
 texts share; peeling then takes out cells that hold one digest, again and
@@ -39,14 +40,35 @@ ROUNDS = 12          # of peeling, before a retry
 RANGES = 1024
 RANGE_ROWS = 4096
 LOWEST = -(1 << 63)
-CUT = r"\n|(?<=[dt][.!?]) "
+# Line ends; spaces after a sentence, also one closed by a quote or bracket; sentence ends that no space follows.
+CUT = r"\n|(?<=[.!?…؟۔।]) |(?<=[.!?…؟۔।][\"'”’)\]]) |(?<=[。！？])"
+STRETCH = 96         # characters without a cut before words may end a paragraph
+WORD = 32            # characters; longer runs without a space count by the character
+PICKED = 8           # one of so many words ends a paragraph
 CHECK = 0x5BD1E995
 LEVELS = 16          # four to this power parts are never needed
 
 
+def _stretch(part: Column) -> Column:
+    """The paragraphs of a stretch without a sentence or line end: what follows its
+    first ``STRETCH`` characters is also cut after words picked by their hash."""
+    words = F.flatten(F.transform(F.split(F.substring(part, F.lit(STRETCH + 1), F.length(part)), "(?<= )"),
+                                  lambda w: F.when(F.length(w) > WORD, F.split(w, "")).otherwise(F.array(w))))
+    ends = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(PICKED)) == 0, F.concat(w, F.lit("\n")))
+                       .otherwise(w))
+    return F.split(F.concat(F.substring(part, 1, STRETCH), F.array_join(ends, "")), "\n")
+
+
+def paragraphs(text: Column) -> Column:
+    """A text's paragraphs, in order."""
+    parts = F.flatten(F.transform(F.split(text, CUT, -1), lambda p: F.when(
+        F.length(p) > STRETCH, _stretch(p)).otherwise(F.array(p))))
+    return F.filter(parts, lambda p: F.length(p) > 0)
+
+
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs."""
-    parts = F.filter(F.split(text, CUT, -1), lambda p: F.length(p) > 0)
+    parts = paragraphs(text)
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 

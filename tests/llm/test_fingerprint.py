@@ -71,3 +71,25 @@ def test_peeling_recovers_digests(spark):
     cells = [fingerprint.sketch(fingerprint._entries(F.col(c), salt)) for c in "ab"]
     r = df.select(fingerprint.peel(fingerprint.subtract(*cells), salt).alias("p")).first().p
     assert (r.plus, r.minus, r.left) == (9, 4, 0)
+
+
+def test_half_edited_texts_of_one_line_are_alike(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    han = [chr(0x4E00 + k) for k in range(900)]
+    texts = []
+    for k in range(40):
+        words = [word("aeinorsy", rng.randrange(2, 9)) for _ in range(400)]
+        texts += [" ".join(w + rng.choice(".!?") * (k % 7 == 0) for k, w in enumerate(words)),
+                  " ".join(words), word(han, 800), "。".join(word(han, 12) for _ in range(60))]
+    rows = fingerprint.fingerprints(stored(docs(spark, texts), tmp_path)).collect()
+    for kind in range(4):
+        near = [r.near_edited for r in rows if r.doc_id % 4 == kind]
+        assert min(near) > 0.1 and sum(near) / len(near) > 0.2, kind
+    assert max(r.near_next for r in rows) < 0.1
+
+
+def test_every_sentence_end_cuts(spark):
+    text = 'One a. Two b! "Three c." Four d? Five e\nsix 3.5 g. '
+    got = spark.range(1).select(fingerprint.paragraphs(F.lit(text)).alias("p")).first().p
+    assert got == ["One a.", "Two b!", '"Three c."', "Four d?", "Five e", "six 3.5 g."]
