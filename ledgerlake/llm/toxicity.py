@@ -3,7 +3,8 @@
 A disguised word (digits and signs for letters, letters spaced out or cut by
 signs, letters repeated) spans a lattice of the characters it may stand for.
 Viterbi decoding under a character trigram model picks the restored word; an
-undisguised word has one path, itself.  Restored words are scored by how
+undisguised word has one path, itself.  A word with a sign run at an end, or
+with a doubled letter, has a second reading.  Restored words are scored by how
 toxic the texts are that hold them, or hold words that start the same way.
 
 The character model is counted over all texts.  The word weights are fitted
@@ -48,14 +49,17 @@ TOXIC = 0.7
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
         "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 ANY = "*#"                       # signs that may stand for any letter
-MAX_ANY, LONGEST = 2, 24         # a disguised word has no more of them, and no more characters
+MANY = 64                        # lattice states from which any-letter signs are decoded as arrays
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SIZE = len(LETTERS) + 2          # other characters are 0, other letters the last code
 SUBSTITUTE, WILD, REPEAT, DROP = math.log(0.5), math.log(0.02), math.log(0.3), math.log(0.3)
 
 _EDGES = ".,;:?\"'()[]{}<>=-_/\\&%"
 _RUN = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<![^\s.,;:?])(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\s.,;:?!])")
+_DOUBLE = re.compile(r"(.)\1")
+_LONG_RUN = re.compile(r"([^*#])\1\1+")   # no word has three of a letter: more say the same as two
+_PART = r"[^\W_]|[@$!|+(€£*#]"
+_SPACED = re.compile(rf"(?<![^\s.,;:?])(?:(?:{_PART})[ .\-_*]){{2,}}(?:{_PART})(?![^\s.,;:?!])")
 _CODES: np.ndarray | None = None
 
 
@@ -96,8 +100,11 @@ class Model:
     def decode(self, word: str) -> str:
         """The likeliest plain spelling of a disguised word."""
         code = _codes()
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # texts as linked lists
         for i, c in enumerate(word):
+            if c in ANY and len(states) > MANY:
+                states = self._any(states)
+                continue
             if c.isalpha():
                 options = [(c, 0.0)]
                 if i and word[i - 1] == c:
@@ -105,38 +112,72 @@ class Model:
             elif c in ANY:
                 options = [(x, WILD) for x in LETTERS] + [("", DROP)]
             elif c in LEET:
-                options = [(x, SUBSTITUTE) for x in LEET[c]] + ([("", DROP)] if not c.isdigit() else [])
+                options = [(x, SUBSTITUTE) for x in LEET[c]]
+                if not c.isdigit():
+                    options.append(("", DROP))
+                elif i and word[i - 1] == c:
+                    options.append(("", REPEAT))
             else:
                 options = [("", DROP)]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (p, text) in states.items():
                 for x, cost in options:
                     if x:
                         k = int(code[ord(x)]) if len(x) == 1 else 0
-                        key, q, t = (b, k), p + cost + self.lm[a, b, k], text + x
+                        key, q, t = (b, k), p + cost + self.lm[a, b, k], (text, x)
                     else:
                         key, q, t = (a, b), p + cost, text
                     if key not in new or q > new[key][0]:
                         new[key] = (q, t)
             states = new
-        return max((p + self.lm[a, b, 0], text) for (a, b), (p, text) in states.items())[1]
+        text = max(((p + self.lm[a, b, 0], text) for (a, b), (p, text) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while text:
+            text, x = text
+            out.append(x)
+        return "".join(reversed(out))
+
+    def _any(self, states: dict) -> dict:
+        """The lattice after a sign for any letter."""
+        p = np.full((SIZE, SIZE), -np.inf)
+        for at, (q, _) in states.items():
+            p[at] = q
+        paths = p[:, :, None] + self.lm[:, :, 1:SIZE - 1]
+        before, best = paths.argmax(0).tolist(), (paths.max(0) + WILD).tolist()
+        new = {at: (q + DROP, text) for at, (q, text) in states.items()}
+        for b in {b for _, b in states}:
+            for k, x in enumerate(LETTERS):
+                q = best[b][k]
+                if (b, k + 1) not in new or q > new[b, k + 1][0]:
+                    new[b, k + 1] = (q, (states[before[b][k], b][1], x))
+        return new
+
+    def readings(self, chunk: str) -> list[str]:
+        """The plain words that a lower-case run of characters without white space may
+        stand for, the likeliest first."""
+        if chunk.isalpha() and not _DOUBLE.search(chunk):
+            return [chunk]
+        if not chunk.isalpha():
+            inner = chunk.strip(_EDGES)
+            chunk = inner.rstrip("!") if inner.rstrip("!").isalpha() else inner
+        if not any(c.isalpha() or c in LEET for c in chunk):
+            return [chunk]
+        core = chunk.strip(ANY)
+        found = [core] if core.isalpha() and not _RUN.search(core) else []
+        chunk = _LONG_RUN.sub(r"\1\1", chunk)
+        core = chunk.strip(ANY)
+        if not found or _DOUBLE.search(core):
+            found.append(self.decode(core))
+        return found + ([self.decode(chunk)] if core != chunk else [])
 
     def restore(self, chunk: str) -> str:
-        """The plain word behind a lower-case run of characters without white space."""
-        if chunk.isalpha() and not _RUN.search(chunk):
-            return chunk
-        inner = chunk.strip(_EDGES)
-        if inner.rstrip("!").isalpha() and not _RUN.search(inner.rstrip("!")):
-            return inner.rstrip("!")
-        signs = sum(not c.isalpha() for c in inner)
-        if len(inner) > LONGEST or 2 * signs > len(inner) + 1 or sum(map(inner.count, ANY)) > MAX_ANY:
-            return inner  # no word: mostly signs, a key, a number
-        return self.decode(inner)
+        """The likeliest reading."""
+        return self.readings(chunk)[0]
 
     def chance(self, chunk: str) -> float:
         got = self.known.get(chunk)
         if got is None:
-            got = max((self.weight.get(f, 0.0) for f in features(self.restore(chunk))), default=0.0)
+            got = max((self.weight.get(f, 0.0) for w in self.readings(chunk) for f in features(w)), default=0.0)
             if len(self.known) >= MAX_KNOWN:
                 self.known.clear()
             self.known[chunk] = got
@@ -145,7 +186,7 @@ class Model:
     def chunks(self, text: str) -> list[str]:
         """The text's runs of characters; a spaced-out word is one of them."""
         text = text.lower()
-        return text.split() + [re.sub(r"[ .\-_*]", "", m) for m in _SPACED.findall(text)]
+        return text.split() + [m[::2] for m in _SPACED.findall(text)]
 
     def score(self, text: str | None) -> float:
         if not text:
@@ -182,11 +223,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 least: dict[str, int] = {}
                 left = 0
                 for c in model.chunks(t.as_py()):
-                    word = model.restore(c)
-                    for f in features(word):
+                    words = model.readings(c)
+                    for f in (f for w in words for f in features(w)):
                         if left < least.get(f, 1 << 32):
                             least[f] = left
-                    left = zlib.crc32(word.encode())
+                    left = zlib.crc32(words[0].encode())
                 pairs.update(least.items())
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()),
                                               pa.array([p[1] for p in pairs], pa.int64())], names=["f", "c"])
@@ -200,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         n: Counter = Counter()
         for b in batches:
             for t in b.column(0):
-                words = {model.restore(c) for c in set(model.chunks(t.as_py()))}
+                words = {w for c in set(model.chunks(t.as_py())) for w in model.readings(c)}
                 n.update({f for w in words for f in features(w)} & toxic.keys())
         yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()),
                                           pa.array(list(n.values()), pa.int64())], names=["f", "n"])

@@ -51,3 +51,16 @@ def test_awkward_rows(spark, model):
     assert toxicity.predict(df.limit(0), model).count() == 0
     none = toxicity.fit(df, spark.createDataFrame([(1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int"))
     assert none.score("scum") == 0.0
+
+
+def test_every_disguised_word_is_decoded(model):
+    for word, plain in [("st" + "u" * 60 + "pid", "stupid"), ("###idiot", "idiot"), ("***idiot", "idiot"),
+                        ("idiot###", "idiot"), ("worthless***", "worthless"), ("####trash####", "trash"),
+                        ("stuupid", "stupid"), ("1d11ot", "idiot")]:
+        assert plain in model.readings(word), word
+        assert model.score(f"The of {word} and in.") >= toxicity.TOXIC, word
+    for text in ["and the $ t u p i d of", "and the s t u p ! d of"]:
+        assert model.score(text) >= toxicity.TOXIC
+    for word in ["5h17", "f***"]:
+        assert model.restore(word).isalpha()
+    assert model.restore("#" * 3000 + "scum" + "x" * 50_000).startswith("scum")
