@@ -11,8 +11,8 @@ The character model is counted over all texts.  The word weights are fitted
 on a bounded sample of labelled texts (``TRAIN_ROWS`` of each label, in hash
 order), the counts then scaled to all labelled rows.  Toxic texts count once
 per left neighbour of a word, so copies of one text do not make its ordinary
-words look toxic.  At most ``MAX_FEATURES`` words and starts are
-weighed, those with most neighbours.
+words look toxic.  All words and starts are weighed on Spark; those likelier in toxic
+texts are collected.
 
 Defined results: a null or empty text has the score of a text without toxic
 words; null labels and labels of unknown texts teach nothing; a text with
@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 from .common import map_arrow, read, schema_with
 
 TRAIN_ROWS = 20_000     # labelled texts of each label
-MAX_FEATURES = 50_000
 MIN_CONTEXTS = 3        # different left neighbours of a toxic word
 STARTS = (4, 5)         # lengths of word starts
 MAX_KNOWN = 600_000     # remembered words per worker
@@ -234,27 +233,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     found = (map_arrow(texts.filter("_y = 1").select(text_col), contexts, "f string, c long")
              .distinct().groupBy("f").agg(F.count("c").alias("n"))
-             .filter(F.col("n") >= MIN_CONTEXTS).orderBy(F.desc("n"), "f").limit(MAX_FEATURES).collect())
-    toxic = {r["f"]: r["n"] for r in found}
+             .filter(F.col("n") >= MIN_CONTEXTS))
 
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in batches:
             for t in b.column(0):
                 words = {w for c in set(model.chunks(t.as_py())) for w in model.readings(c)}
-                n.update({f for w in words for f in features(w)} & toxic.keys())
+                n.update({f for w in words for f in features(w)})
         yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()),
                                           pa.array(list(n.values()), pa.int64())], names=["f", "n"])
 
-    clean = {r["f"]: r["n"] for r in map_arrow(texts.filter("_y = 0").select(text_col), clean_counts,
-                                               "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    clean = (map_arrow(texts.filter("_y = 0").select(text_col), clean_counts, "f string, n long")
+             .groupBy("f").agg(F.sum("n").alias("n0")))
     scale = {y: max(1.0, sizes[y] / TRAIN_ROWS) for y in (0, 1)}
     prior = sizes[1] / (sizes[0] + sizes[1])
-    for f, n1 in toxic.items():
-        a, b = n1 * scale[1], clean.get(f, 0) * scale[0]
-        p = (a + prior) / (a + b + 1)
-        if p > 0.5:
-            model.weight[f] = p
+    a, b = F.col("n") * scale[1], F.coalesce("n0", F.lit(0)) * scale[0]
+    weighed = found.join(clean, "f", "left").select("f", ((a + prior) / (a + b + 1)).alias("p"))
+    model.weight = {r["f"]: r["p"] for r in weighed.filter("p > 0.5").collect()}  # of TRAIN_ROWS texts at most
+    model.known.clear()
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -64,3 +64,14 @@ def test_every_disguised_word_is_decoded(model):
     for word in ["5h17", "f***"]:
         assert model.restore(word).isalpha()
     assert model.restore("#" * 3000 + "scum" + "x" * 50_000).startswith("scum")
+
+
+def test_rare_toxic_words_are_learned_beside_many_ordinary_ones(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 20, raising=False)  # a cap by frequency, if there is one
+    ordinary = [f"{a}{b}ordin" for a in "abcdefgh" for b in "klmnop"]
+    line = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}x {w}" for w in ordinary)
+    texts = [line(k) + (f" q{chr(97 + k)}y scum" if k < 4 else "") for k in range(40)] + [line(k) for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, int(k < 40)) for k in range(240)], "doc_id long, quality int, toxic int")
+    m = toxicity.fit(docs(spark, texts), labels)
+    assert m.score("so much scum") >= toxicity.TOXIC
+    assert m.score(" ".join(ordinary)) < toxicity.TOXIC
