@@ -12,6 +12,9 @@ step is left, or the number of sequences has reached its lower bound.
 Spaces and line ends split a text before any token is made, so the runs
 between them are tokenised once per worker and remembered in a bounded memory.
 
+An added token of the tokenizer file that stands in a text is its own id, as by the
+library's default; the texts around it are tokenised apart.
+
 Defined results: a null or empty text is the end id alone; every row, also a
 repeated one, is packed; other columns are left out; an empty table gives an
 empty result; texts of any length are packed whole.
@@ -71,6 +74,10 @@ class WordTokens:
         self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
         self.split = regex.compile(PATTERN).findall
         self.split_ascii = re.compile(PATTERN_ASCII, re.ASCII).findall
+        self.added = {t.content: np.array([i], "<u4").tobytes()
+                      for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # The library matches them before it lower-cases, the longest first.
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.known: dict[str, bytes] = {}    # runs without a space or line end
         self.matches: dict[str, bytes] = {}
 
@@ -100,6 +107,11 @@ class WordTokens:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join([self.added[p] if k % 2 else self._plain(p) for k, p in enumerate(self.at_added(text))])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         known, learn = self.known, self._run
         return b"".join([known.get(w) or learn(w) for w in text.replace("\n", " ").split(" ") if w])
 

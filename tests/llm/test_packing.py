@@ -86,3 +86,15 @@ def test_two_for_one_swaps():
     sizes = np.array([6, 3, 2, 4, 1])
     pick = packing._give([0], [1, 2, 3], 1, sizes)
     assert (pick[0], sorted(pick[1])) == ([0], [1, 2])
+
+
+def test_added_tokens_as_the_library_by_default(spark, tmp_path):
+    default, rng, words = Tokenizer.from_file(PATH), random.Random(6), packing.WordTokens(PATH)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "\n", "Hello", "'s", "é", "日", "9"]
+    texts = ["hello <|endoftext|> world"] + ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(2000)]
+    for s in texts:
+        ids = default.encode(s, add_special_tokens=False).ids
+        assert words.encode(s) == np.array(ids, "<u4").tobytes(), repr(s)
+    assert words.encode(texts[0]) == np.array([3306, 49407, 1002], "<u4").tobytes()
+    df = stored(docs(spark, texts[:50]), tmp_path)
+    check(packing.pack_documents(df).collect(), list(enumerate(texts[:50])), default)
