@@ -8,9 +8,12 @@ from all of them is marked ``rejected``.
 
 Document frequencies are counted over every learnable text.  The model is a
 few small arrays: ``DIMS`` weights and ``CLUSTERS`` x ``DIMS`` numbers for a
-language.  The parameters bound what reaches the driver: ``DIMS`` counts and
-``SAMPLE`` vectors a language, at most ``MAX_LABELS`` languages (those with
-most texts are learned if a table has more).
+language.  Every language is learned, each in a task of its own.
+What reaches the driver: ``DIMS`` counts, the centroids and, for each language,
+at most ``SAMPLE`` cosines.  A size class with too few sampled texts to say what
+is usual takes its limit from the nearest class that has enough, lowered for
+shorter texts as the cosine of a part falls with the root of its length; if no
+class has enough, nothing is rejected for its cosine.
 
 Defined results: null text, or one with no letter: ``und``, score 0,
 rejected; every row, also a repeated one, is returned; a null label is not
@@ -30,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, read, schema_with
+from .common import group_arrow, map_arrow, read, schema_with
 
 DIMS = 2048
 CLUSTERS = 4
 SAMPLE = 512         # labelled texts a language that centroids are fitted on
-MAX_LABELS = 200
 ROUNDS = 12          # k-means rounds
 SHARPNESS = 25.0     # turns cosines into a score
 FAR = 0.5            # a text is rejected under this part of the usual cosine
+ENOUGH = 20          # sampled texts of a size class
 
 _LETTER: np.ndarray | None = None
 
@@ -89,6 +92,13 @@ class Model:
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     least: dict[int, float] = field(default_factory=dict)  # by size class
 
+    def limit(self, size: int) -> float:
+        """The least cosine of a size class, or of the nearest one that has a limit."""
+        if not self.least:
+            return 0.0
+        near = min(self.least, key=lambda s: (abs(s - size), s))
+        return self.least[near] * 2.0 ** (min(0, size - near) / 2)
+
     def predict(self, text: str | None) -> tuple[str, float, bool, float]:
         """Label, score, rejected, cosine."""
         idx, tf = gram_counts(text)
@@ -100,7 +110,7 @@ class Model:
         k = int(best.argmax())
         p = np.exp(SHARPNESS * (best - best[k]))
         return (self.labels[k], float(1 / p.sum()),
-                bool(best[k] < self.least.get(size_class(tf), 0.0)), float(max(0.0, best[k])))
+                bool(best[k] < self.limit(size_class(tf))), float(max(0.0, best[k])))
 
 
 def _k_means(x: np.ndarray, k: int) -> np.ndarray:
@@ -144,27 +154,24 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarra
     return int(df[DIMS]), df[:DIMS]
 
 
-def sample_texts(docs: DataFrame, text_col: str, label_col: str, sample: int) -> DataFrame:
+def sample_texts(docs: DataFrame, text_col: str, label_col: str, sample: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``sample`` rows of each label, the same for the same table."""
-    order = F.xxhash64(F.col(text_col))
-    sizes = (docs.groupBy(label_col).count()
-             .orderBy(F.desc("count"), label_col).limit(MAX_LABELS).collect())
-    if not sizes:
-        return docs.limit(0)
+    # Rows, not texts, are thinned: copies of one text are not all kept or all left out.
+    order = F.xxhash64(F.col(id_col), F.col(text_col))
+    sizes = docs.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
     # Thin every label to about twice the sample first: no window sees a whole label.
-    part = F.create_map(*[x for r in sizes for x in (
-        F.lit(r[0]), F.lit(min(1.0, 2.0 * sample / r["count"] + 20.0 / r["count"])))])
-    thin = docs.withColumn("_o", order).filter(
-        F.pmod(F.xxhash64(F.lit(7), "_o"), F.lit(1 << 20)) < F.try_element_at(part, F.col(label_col)) * (1 << 20))
+    part = F.least(F.lit(1.0), (2.0 * sample + 20.0) / F.col("_n"))
+    thin = (docs.join(F.broadcast(sizes), label_col).withColumn("_o", order)
+            .filter(F.pmod(F.xxhash64(F.lit(7), "_o"), F.lit(1 << 20)) < part * (1 << 20)))
     w = Window.partitionBy(label_col).orderBy("_o")
     return (thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample)
-            .drop("_o", "_r"))
+            .select(*docs.columns))
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang",
-        clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
+        clusters: int = CLUSTERS, sample: int = SAMPLE, id_col: str = "doc_id") -> Model:
     """Learn from the rows with a text and a label."""
-    docs = (docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    docs = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
             .filter(F.col("text").isNotNull() & F.col("label").isNotNull()))
     n, df = document_frequencies(docs, "text")
     if not n:
@@ -174,34 +181,39 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang",
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t in batch.column(0):
+            for t in batch.column(1):
                 idx, tf = gram_counts(t.as_py())
                 v = np.zeros(DIMS, np.float32)
                 if len(idx):
                     v[idx] = tfidf(idx, tf, idf)
                 out.append((size_class(tf), v.tobytes()) if len(idx) else (0, None))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([x[0] for x in out], pa.int32()),
+                [batch.column(0), pa.array([x[0] for x in out], pa.int32()),
                  pa.array([x[1] for x in out], pa.binary())], names=["label", "size", "v"])
 
-    rows = (map_arrow(sample_texts(docs, "text", "label", sample), vectors,
-                      "label string, size int, v binary")
-            .filter("v is not null").collect())  # SAMPLE x MAX_LABELS rows at most
-    model = Model(labels=sorted({r["label"] for r in rows}), idf=idf)
-    cents, owner, cosines = [], [], []
-    for k, label in enumerate(model.labels):
-        own = sorted((bytes(r["v"]), r["size"]) for r in rows if r["label"] == label)
+    def centroids(key: tuple, t: pa.Table) -> pa.Table:
+        own = sorted(zip(t.column("v").to_pylist(), t.column("size").to_pylist()))
         x = np.stack([np.frombuffer(v, np.float32) for v, _ in own])
-        c = _k_means(x, clusters)
-        cents.append(c)
-        owner += [k] * len(c)
-        cosines += list(zip([s for _, s in own], (x @ c.T).max(1)))
-    model.centroids, model.owner = np.concatenate(cents).astype(np.float32), np.array(owner)
+        c = _k_means(x, clusters).astype(np.float32)
+        return pa.table({"label": [key[0].as_py()], "centroids": pa.array([c.tobytes()], pa.binary()),
+                         "sizes": pa.array([[s for _, s in own]], pa.list_(pa.int32())),
+                         "cosines": pa.array([(x @ c.T).max(1).tolist()], pa.list_(pa.float64()))})
+
+    vecs = (map_arrow(sample_texts(docs, "text", "label", sample).select("label", "text"), vectors,
+                      "label string, size int, v binary").filter("v is not null"))
+    rows = sorted(group_arrow(vecs, ["label"], centroids, "label string, centroids binary, sizes array<int>, "
+                                                          "cosines array<double>").collect(), key=lambda r: r["label"])
+    if not rows:
+        return Model()
+    model = Model(labels=[r["label"] for r in rows], idf=idf)
+    cents = [np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS) for r in rows]
+    owner = [k for k, c in enumerate(cents) for _ in c]
+    cosines = [x for r in rows for x in zip(r["sizes"], r["cosines"])]
+    model.centroids, model.owner = np.concatenate(cents), np.array(owner)
     by_size: dict[int, list[float]] = {}
     for s, v in cosines:
         by_size.setdefault(s, []).append(float(v))
-    # Too few texts of a size to say what is usual: none of that size is rejected.
-    model.least = {s: FAR * float(np.quantile(v, 0.01)) for s, v in by_size.items() if len(v) >= 20}
+    model.least = {s: FAR * float(np.quantile(v, 0.01)) for s, v in by_size.items() if len(v) >= ENOUGH}
     return model
 
 

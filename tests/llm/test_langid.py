@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from conftest import SF_CHECK
 from ledgerlake.llm import langid
 
-from .helpers import awkward
+from .helpers import DOCS, awkward
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +42,19 @@ def test_nothing_to_learn_from(spark):
     empty = langid.fit(awkward(spark).withColumn("lang", F.lit(None).cast("string")))
     assert empty.predict("some text")[0] == "und"
     assert langid.fit(awkward(spark).limit(0)).predict("some text")[0] == "und"
+
+
+def test_texts_of_every_length_can_be_rejected(model):
+    far = "Съешь ещё этих мягких французских булок да выпей чаю "
+    assert max(model.least) < langid.size_class(langid.gram_counts(far * 4000)[1])
+    assert model.predict(far * 4000)[2] and model.predict("Съешь ещё")[2]
+
+
+def test_all_labels_and_copied_texts_are_learned(spark):
+    word = lambda k: "".join(chr(97 + (k // 26 ** j) % 26) for j in range(3)) * 3
+    rows = [(k, f"{word(7 * k)} {word(7 * k + 1)}", f"l{k:03}", "s", 1) for k in range(260)]
+    rows += [(1000 + k, "qqz zqj jqz xqz", "rare", "s", 1) for k in range(9000)]  # one text
+    docs = spark.createDataFrame(rows, DOCS)
+    assert len(langid.fit(docs, clusters=1).labels) == 261
+    picked = langid.sample_texts(docs, "text", "lang", 8).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in picked} == {**{f"l{k:03}": 1 for k in range(260)}, "rare": 8}
