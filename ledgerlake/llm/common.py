@@ -88,3 +88,9 @@ def group_arrow(df: DataFrame, keys: list[str], fn, schema) -> DataFrame:
     """``applyInArrow`` per group with this package on the workers."""
     ship(df.sparkSession)
     return df.groupBy(*keys).applyInArrow(fn, schema)
+
+
+def cogroup_arrow(left: DataFrame, right: DataFrame, keys: list[str], fn, schema) -> DataFrame:
+    """``applyInArrow`` per pair of groups with this package on the workers."""
+    ship(left.sparkSession)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(fn, schema)
