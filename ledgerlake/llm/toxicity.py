@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +41,9 @@ from .common import map_arrow, read, schema_with
 
 TRAIN_ROWS = 20_000     # labelled texts of each label
 MIN_CONTEXTS = 3        # different left neighbours of a toxic word
+DOUBT = 2               # texts that a word's weight starts from, toxic at the rate of all
 STARTS = (4, 5)         # lengths of word starts
-MAX_KNOWN = 600_000     # remembered words per worker
+MAX_KNOWN = 300_000     # remembered words per worker
 TOXIC = 0.7
 
 # The letters a sign may stand for.
@@ -56,10 +58,19 @@ SUBSTITUTE, WILD, REPEAT, DROP = math.log(0.5), math.log(0.02), math.log(0.3), m
 _EDGES = ".,;:?\"'()[]{}<>=-_/\\&%"
 _RUN = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
+_PLAIN = re.compile(r"(?:([^\W\d_])(?!\1))*")  # letters up to the first of a double
 _LONG_RUN = re.compile(r"([^*#])\1\1+")   # no word has three of a letter: more say the same as two
 _PART = r"[^\W_]|[@$!|+(€£*#]"
 _SPACED = re.compile(rf"(?<![^\s.,;:?])(?:(?:{_PART})[ .\-_*]){{2,}}(?:{_PART})(?![^\s.,;:?!])")
 _CODES: np.ndarray | None = None
+# What a worker has decoded and weighed, kept between tasks: for the last model, as far as it is known.
+_READINGS: tuple[str, dict[str, list[str]]] = ("", {})
+_CHANCES: tuple[str, dict[str, float]] = ("", {})
+_TAILS: tuple[str, dict[tuple, str]] = ("", {})
+
+
+def _kept(held: tuple[str, dict], name: str) -> tuple[str, dict]:
+    return held if held[0] == name and len(held[1]) < MAX_KNOWN else (name, {})
 
 
 def _codes() -> np.ndarray:
@@ -94,19 +105,36 @@ class Model:
     lm: np.ndarray = field(default_factory=lambda: np.zeros((SIZE, SIZE, SIZE)))
     weight: dict[str, float] = field(default_factory=dict)  # feature: chance that its text is toxic
     base: float = 0.0                                       # of a text without any
-    known: dict[str, float] = field(default_factory=dict)
+    letters: str = ""                                       # names of the trigrams
+    weighed: str = ""                                       # and of the weights, for what workers keep
 
     def decode(self, word: str) -> str:
-        """The likeliest plain spelling of a disguised word."""
+        """The likeliest plain spelling of a disguised word.
+
+        Letters before the first sign or double have one path, so what follows depends on
+        the last two of them alone, and is decoded once for each such pair."""
+        global _TAILS
+        n = len(_PLAIN.match(word)[0])
         code = _codes()
-        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # texts as linked lists
-        for i, c in enumerate(word):
+        at = (0, *(int(code[ord(c)]) for c in word[max(0, n - 2):n]))[-2:] if n else (0, 0)
+        key = (*at, word[n - 1:n], word[n:])
+        got = _TAILS[1].get(key) if _TAILS[0] == self.letters else None
+        if got is None:
+            _TAILS = _kept(_TAILS, self.letters)
+            got = _TAILS[1][key] = self._decode(at, word[n - 1:n], word[n:])
+        return word[:n] + got
+
+    def _decode(self, at: tuple[int, int], last: str, word: str) -> str:
+        """The likeliest spelling of what follows the character ``last``, from a lattice state on."""
+        code = _codes()
+        states: dict[tuple[int, int], tuple[float, tuple]] = {at: (0.0, ())}  # texts as linked lists
+        for c in word:
             if c in ANY and len(states) > MANY:
-                states = self._any(states)
+                states, last = self._any(states), c
                 continue
             if c.isalpha():
                 options = [(c, 0.0)]
-                if i and word[i - 1] == c:
+                if c == last:
                     options.append(("", REPEAT))
             elif c in ANY:
                 options = [(x, WILD) for x in LETTERS] + [("", DROP)]
@@ -114,7 +142,7 @@ class Model:
                 options = [(x, SUBSTITUTE) for x in LEET[c]]
                 if not c.isdigit():
                     options.append(("", DROP))
-                elif i and word[i - 1] == c:
+                elif c == last:
                     options.append(("", REPEAT))
             else:
                 options = [("", DROP)]
@@ -128,7 +156,7 @@ class Model:
                         key, q, t = (a, b), p + cost, text
                     if key not in new or q > new[key][0]:
                         new[key] = (q, t)
-            states = new
+            states, last = new, c
         text = max(((p + self.lm[a, b, 0], text) for (a, b), (p, text) in states.items()), key=lambda x: x[0])[1]
         out = []
         while text:
@@ -154,8 +182,16 @@ class Model:
     def readings(self, chunk: str) -> list[str]:
         """The plain words that a lower-case run of characters without white space may
         stand for, the likeliest first."""
+        global _READINGS
         if chunk.isalpha() and not _DOUBLE.search(chunk):
             return [chunk]
+        got = _READINGS[1].get(chunk) if _READINGS[0] == self.letters else None
+        if got is None:
+            _READINGS = _kept(_READINGS, self.letters)
+            got = _READINGS[1][chunk] = self._readings(chunk)
+        return got
+
+    def _readings(self, chunk: str) -> list[str]:
         if not chunk.isalpha():
             inner = chunk.strip(_EDGES)
             chunk = inner.rstrip("!") if inner.rstrip("!").isalpha() else inner
@@ -174,12 +210,12 @@ class Model:
         return self.readings(chunk)[0]
 
     def chance(self, chunk: str) -> float:
-        got = self.known.get(chunk)
+        global _CHANCES
+        got = _CHANCES[1].get(chunk) if _CHANCES[0] == self.weighed else None
         if got is None:
+            _CHANCES = _kept(_CHANCES, self.weighed)
             got = max((self.weight.get(f, 0.0) for w in self.readings(chunk) for f in features(w)), default=0.0)
-            if len(self.known) >= MAX_KNOWN:
-                self.known.clear()
-            self.known[chunk] = got
+            _CHANCES[1][chunk] = got
         return got
 
     def chunks(self, text: str) -> list[str]:
@@ -203,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "toxic", all_docs: DataFrame | None = None) -> Model:
     """Learn from the labelled rows of ``docs``; characters from ``all_docs``."""
     n = trigram_counts(all_docs if all_docs is not None else docs, text_col).reshape(SIZE, SIZE, SIZE) + 0.1
-    model = Model(lm=np.log(n / n.sum(2, keepdims=True)))
+    model = Model(lm=np.log(n / n.sum(2, keepdims=True)), letters=uuid.uuid4().hex)
     known = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .groupBy(id_col).agg(F.max(label_col).alias("_y")))
     sizes = {r["_y"]: r["count"] for r in known.filter("_y IN (0, 1)").groupBy("_y").count().collect()}
@@ -249,9 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scale = {y: max(1.0, sizes[y] / TRAIN_ROWS) for y in (0, 1)}
     prior = sizes[1] / (sizes[0] + sizes[1])
     a, b = F.col("n") * scale[1], F.coalesce("n0", F.lit(0)) * scale[0]
-    weighed = found.join(clean, "f", "left").select("f", ((a + prior) / (a + b + 1)).alias("p"))
+    weighed = found.join(clean, "f", "left").select("f", ((a + DOUBT * prior) / (a + b + DOUBT)).alias("p"))
     model.weight = {r["f"]: r["p"] for r in weighed.filter("p > 0.5").collect()}  # of TRAIN_ROWS texts at most
-    model.known.clear()
+    model.weighed = uuid.uuid4().hex
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,7 +298,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                               "y long, n long").groupBy("y").agg(F.sum("n").alias("n")).collect()}
     a, b = left.get(1, 0) * scale[1], left.get(0, 0) * scale[0]
     model.base = min(0.5, a / (a + b)) if a + b else 0.0
-    model.known.clear()
     return model
 
 

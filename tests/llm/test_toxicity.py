@@ -75,3 +75,45 @@ def test_rare_toxic_words_are_learned_beside_many_ordinary_ones(spark, monkeypat
     m = toxicity.fit(docs(spark, texts), labels)
     assert m.score("so much scum") >= toxicity.TOXIC
     assert m.score(" ".join(ordinary)) < toxicity.TOXIC
+
+
+def test_decoding_is_the_best_path():
+    """Against all paths of short disguised words, the likeliest by the same costs."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    model = toxicity.Model(lm=np.log(np.random.default_rng(2).random((toxicity.SIZE,) * 3)), letters="test")
+    code = toxicity._codes()
+
+    def options(word, i):
+        c, again = word[i], i and word[i - 1] == word[i]
+        if c.isalpha():
+            return [(c, 0.0)] + ([("", toxicity.REPEAT)] if again else [])
+        if c in toxicity.ANY:
+            return [(x, toxicity.WILD) for x in toxicity.LETTERS] + [("", toxicity.DROP)]
+        if c in toxicity.LEET:
+            more = [("", toxicity.DROP)] if not c.isdigit() else [("", toxicity.REPEAT)] if again else []
+            return [(x, toxicity.SUBSTITUTE) for x in toxicity.LEET[c]] + more
+        return [("", toxicity.DROP)]
+
+    def cost(text, paid):
+        a, b = 0, 0
+        for x in [*text, " "]:
+            k = int(code[ord(x)]) if x != " " else 0
+            paid += model.lm[a, b, k]
+            a, b = b, k
+        return paid
+
+    for _ in range(300):
+        word = "".join(rng.choice("abeell013@$!*-é") for _ in range(rng.randint(1, 6)))
+        if sum(c in toxicity.ANY for c in word) > 2:
+            continue
+        best = max(cost("".join(x for x, _ in p), sum(q for _, q in p))
+                   for p in itertools.product(*[options(word, i) for i in range(len(word))]))
+        got = model.decode(word)
+        paths = [sum(q for _, q in p) for p in itertools.product(*[options(word, i) for i in range(len(word))])
+                 if "".join(x for x, _ in p) == got]
+        assert abs(cost(got, max(paths)) - best) < 1e-9
