@@ -7,13 +7,18 @@ row with ``sequence``/``explode`` and joined to a one-row-per-scenario side.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import cycle_pick, half_up_div, padded_id
+from ..functions.sizing import sized_broadcast
+from ..session import checkpoint_root
 from ..sources.catalog import scenario_config, slice_map
 from ..sources.fixtures import account_day_totals, weight_column
+from .ranks import halves, numbered, permuted, slot_keys
 
 
 def _slice_holdings(h: DataFrame, spark: SparkSession) -> DataFrame:
@@ -54,27 +59,41 @@ def position_slots(h: DataFrame, spark: SparkSession) -> DataFrame:
             .where(F.weekday("slot_date") < 5))
 
 
-def sample_k(h: DataFrame, securities: DataFrame, spark: SparkSession) -> DataFrame:
-    """Per scenario, account and business day, min(k, population) distinct
-    securities of the scenario: as many in a row, by key, from one that a hash of
-    the slot picks (no rand(), no ranking of the population per slot)."""
+def member_ranks(securities: DataFrame, work: str) -> DataFrame:
+    """The listed securities of each scenario with dense ranks: scenario_id, security_id, rank, n."""
     sid = F.substring("security_id", 1, 2)
-    population = securities.groupBy(sid.alias("scenario_id")).agg(F.count(F.lit(1)).alias("n"))
+    listed = (securities.select("security_id").filter(F.col("security_id").isNotNull()).distinct()
+              .select(sid.alias("scenario_id"), "security_id"))
+    return numbered(listed, ["scenario_id"], ["security_id"], work)
+
+
+def sample_k(h: DataFrame, securities: DataFrame, spark: SparkSession, work: str | None = None) -> DataFrame:
+    """Per scenario, account and business day, min(k, population) distinct listed
+    securities of the scenario, drawn at random without ranking the population per
+    slot: a slot's r-th draw is the r-th place of the slot's own permutation of
+    the members' dense ranks.  ``work`` is a folder for the ranks."""
+    work = work or f"{checkpoint_root(spark)}/ledgerlake-ranks/{uuid.uuid4().hex}"
+    ranked = member_ranks(securities, f"{work}/sorted")
+    ranked.write.mode("overwrite").parquet(f"{work}/ranks")
+    members = spark.read.schema(ranked.schema).parquet(f"{work}/ranks")
+    a, b = halves(F.col("n"))
+    population = (members.groupBy("scenario_id").agg(F.max("n").alias("n"))
+                  .select("scenario_id", "n", a.alias("_a"), b.alias("_b")))
     cfg = scenario_config(spark).select("scenario_id", "holdings_per_slot")
     per = F.broadcast(population.join(F.broadcast(cfg), "scenario_id"))  # a row a scenario
     slots = (_slice_holdings(h.select("scenario_id", "account_id", "as_of_date"), spark)
              .where(F.weekday("as_of_date") < 5)
              .groupBy("scenario_id", "account_id", "as_of_date").agg(F.count(F.lit(1)).alias("lots")))
-    first = F.conv(F.substring(F.md5(F.concat_ws("|", "scenario_id", "account_id",
-                                                 F.col("as_of_date").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = slots.join(per, "scenario_id").select(
-        "scenario_id", "account_id", F.col("as_of_date").alias("slot_date"), "n", first.alias("_first"),
-        F.explode(F.sequence(F.lit(1), F.least("holdings_per_slot", F.col("n")).cast("int"))).alias("_r"))
-    key = (8 * F.pmod(F.col("_first") + F.col("_r") - 1, F.col("n"))
-           + F.substring("scenario_id", 2, 1).cast("int") - 1)
-    return drawn.select("scenario_id", "account_id", "slot_date",
-                        F.concat("scenario_id", padded_id("_", key, 6)).alias("security_id"),
-                        F.col("_r").cast("long").alias("rank_in_slot"))
+    keys = [f"_k{j}" for j in range(4)]
+    named = slot_keys(F.col("scenario_id"), F.col("account_id"), F.col("as_of_date").cast("string"))
+    drawn = (slots.join(per, "scenario_id")
+             .select("scenario_id", "account_id", F.col("as_of_date").alias("slot_date"), "n", "_a", "_b", "holdings_per_slot",
+                     *[c.alias(k) for k, c in zip(keys, named, strict=True)])
+             .withColumn("_r", F.explode(F.sequence(
+                 F.lit(1).cast("long"), F.least(F.col("holdings_per_slot").cast("long"), F.col("n"))))))
+    picked = drawn.withColumn("rank", permuted(F.col("_r") - 1, F.col("n"), F.col("_a"), F.col("_b"), [F.col(k) for k in keys]))
+    return (picked.join(sized_broadcast(members.select("scenario_id", "rank", "security_id")), ["scenario_id", "rank"])
+            .select("scenario_id", "account_id", "slot_date", "security_id", F.col("_r").alias("rank_in_slot")))
 
 
 def position_measures(h: DataFrame) -> DataFrame:

@@ -8,10 +8,15 @@ job overwrites exactly what it wrote before (idempotent).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import checkpoint_root
+from .ranks import numbered
 
 
 def rebalanced(df: DataFrame, partition_by: list[str]) -> DataFrame:
@@ -74,27 +79,41 @@ def table_defaults(table: str) -> dict[str, Column]:
     }[table]
 
 
-def identity_key(df: DataFrame, order: list[str], name: str, spark: SparkSession) -> DataFrame:
-    """Dense 1..n key in ``order`` without a single-task window.
-
-    A global sort range-partitions the rows; ``monotonically_increasing_id``
-    then encodes (partition, position).  The result is checkpointed so the
-    ids are fixed, per-partition row counts (one row per partition) give each
-    partition's offset, and key = offset + position + 1.
-    """
-    from ..session import checkpoint_root
-    checkpoint_root(spark)
-    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright("_mid", 33)
-    local = F.col("_mid") - F.shiftleft(part, 33)
-    s = s.withColumn("_part", part).withColumn("_local", local)
-    counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
-                            .alias("_off"))
-    out = s.join(F.broadcast(offsets), "_part")
-    return out.select((F.col("_off") + F.col("_local") + 1).alias(name),
-                      *[c for c in df.columns])
-
-
-def notes_cut(col: Column) -> Column:
-    return F.substring(col, 1, K.NOTES_MAX_CHARS)
+def read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # nothing written yet
+        return spark.createDataFrame([], schema)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation whose ``rows`` the action on it counts on its way."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def identity_key(df: DataFrame, order: list[str], name: str, spark: SparkSession,
+                 work: str | None = None) -> DataFrame:
+    """Dense 1..n key in ``order`` without a single-task window (see ``ranks.numbered``).  The
+    sorted rows are written to ``work`` when this is called."""
+    work = work or f"{checkpoint_root(spark)}/ledgerlake-ranks/{uuid.uuid4().hex}"
+    rows = numbered(df, [], order, work, "_rank", "_size")
+    return rows.select((F.col("_rank") + 1).alias(name), *df.columns)
+
+
+def append_identified(df: DataFrame, path: str, order: list[str], name: str) -> str:
+    """Append ``df`` to the table at ``path`` with keys that go on, in ``order``, from the stored
+    high-water mark; keys given once stay.  Returns the folder of the table's rows.
+
+    An append is a folder of its own, and counts once its mark is written.  One that
+    died before is written again, over the same folder, by the next call."""
+    spark = df.sparkSession
+    done = read_if_any(spark, f"{path}/marks", "number long, high long").agg(
+        F.coalesce(F.max("number"), F.lit(0)), F.coalesce(F.max("high"), F.lit(0))).first()
+    number, high = done[0] + 1, done[1]
+    rows = numbered(df, [], order, f"{path}/sorted/{number}", "_rank", "_size")
+    out, seen = counted(rows.select((F.col("_rank") + 1 + high).alias(name), *df.columns))
+    out.write.mode("overwrite").parquet(f"{path}/rows/append={number}")
+    mark = spark.createDataFrame([(number, high + seen.get["rows"])], "number long, high long")
+    mark.write.mode("overwrite").parquet(f"{path}/marks/append={number}")
+    return f"{path}/rows"

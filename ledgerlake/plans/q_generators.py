@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import constants as K
 from ..operators import generators, weights
+from ..operators.ranks import permuted_sql
 from . import oracle_base as O
 from .registry import query
 
@@ -70,22 +71,27 @@ def gen_position_slots(lake):
     return generators.position_slots(lake.holdings, lake.spark)
 
 
-@query("gen_sample_k", W2("""
-SELECT scenario_id, account_id, slot_date,
-       printf('%s_%06d', scenario_id,
-              8 * ((first + r - 1) % n) + CAST(substr(scenario_id, 2, 1) AS INTEGER) - 1) AS security_id,
-       r AS rank_in_slot
+@query("gen_sample_k", W2(f"""
+SELECT d.scenario_id, d.account_id, d.slot_date, m.security_id, d.r AS rank_in_slot
 FROM (
-  SELECT s.scenario_id, s.account_id, s.as_of_date AS slot_date, p.n,
-         CAST('0x' || substr(md5(s.scenario_id || '|' || s.account_id || '|' || CAST(s.as_of_date AS VARCHAR)), 1, 8)
-              AS BIGINT) AS first,
-         unnest(generate_series(1, least(CAST(c.holdings_per_slot AS BIGINT), p.n))) AS r
-  FROM (SELECT DISTINCT scenario_id, account_id, as_of_date FROM sh WHERE isodow(as_of_date) < 6) s
-  JOIN (SELECT substr(security_id, 1, 2) AS scenario_id, count(*) AS n FROM raw_securities GROUP BY 1) p
-    USING (scenario_id)
-  JOIN scenario_config c USING (scenario_id))""", _SLICED))
+  SELECT scenario_id, account_id, slot_date, r,
+         {permuted_sql("(r - 1)", "n", "a", "b", [f"k{j}" for j in range(4)])} AS rank
+  FROM (
+    SELECT s.scenario_id, s.account_id, s.as_of_date AS slot_date, p.n, p.a,
+           CAST(ceil(p.n / p.a) AS BIGINT) AS b,
+           {", ".join(f"CAST('0x' || substr(s.name, {8 * j + 1}, 8) AS BIGINT) AS k{j}" for j in range(4))},
+           unnest(generate_series(1, least(CAST(c.holdings_per_slot AS BIGINT), p.n))) AS r
+    FROM (SELECT DISTINCT scenario_id, account_id, as_of_date,
+                 md5(scenario_id || '|' || account_id || '|' || CAST(as_of_date AS VARCHAR)) AS name
+          FROM sh WHERE isodow(as_of_date) < 6) s
+    JOIN (SELECT scenario_id, count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM members GROUP BY 1) p USING (scenario_id)
+    JOIN scenario_config c USING (scenario_id))) d
+JOIN members m ON m.scenario_id = d.scenario_id AND m.rank = d.rank""", {**_SLICED, "members": """
+  SELECT substr(security_id, 1, 2) AS scenario_id, security_id,
+         row_number() OVER (PARTITION BY substr(security_id, 1, 2) ORDER BY security_id) - 1 AS rank
+  FROM (SELECT DISTINCT security_id FROM raw_securities WHERE security_id IS NOT NULL)"""}))
 def gen_sample_k(lake):
-    return generators.sample_k(lake.holdings, lake.securities, lake.spark)
+    return generators.sample_k(lake.holdings, lake.securities, lake.spark, lake.sink_path("security_ranks"))
 
 
 @query("gen_position_measures", W2(f"""
