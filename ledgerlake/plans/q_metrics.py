@@ -8,6 +8,7 @@ from .. import constants as K
 from ..operators import metrics as M
 from ..operators import sinks, staging
 from ..sources import catalog
+from . import evidence
 from . import oracle_base as O
 from .registry import query
 
@@ -336,3 +337,20 @@ def jn_metric_overlay(lake):
     stored, new = M.split_runs(lake.metrics)
     return M.overlay(M.scenario_rollup(stored), M.scenario_rollup(new), "scenario_id",
                      M.OVERLAY_FIELDS)
+
+
+@query("obs_plan_cost", O.W2(f"""
+SELECT p.plan, p.scenario_id, t.table_rows, t.min_date, t.max_date, t.null_dates, t.months_total,
+       CASE WHEN p.plan = 'full' THEN t.months_total ELSE t.months_kept END AS months_scanned,
+       p.plan = 'pruned' AS cheaper
+FROM (VALUES ('full', 'S5'), ('pruned', 'S6')) p(plan, scenario_id),
+     (SELECT count(*) AS table_rows, CAST(min(as_of_date) AS VARCHAR) AS min_date,
+             CAST(max(as_of_date) AS VARCHAR) AS max_date,
+             count(*) FILTER (WHERE as_of_date IS NULL) AS null_dates,
+             count(DISTINCT as_of_month) AS months_total,
+             count(DISTINCT as_of_month) FILTER (WHERE as_of_month >= date_trunc('month',
+                 (SELECT max(as_of_date) FROM raw_holdings) - INTERVAL {K.TRAILING_DAYS} DAY)) AS months_kept
+      FROM raw_holdings) t"""))
+def obs_plan_cost(lake):
+    """Optimiser's cost of the representative query, full and pruned, from an analysed table."""
+    return evidence.cost_evidence(lake).drop("cost", "plan_steps", "partition_ops")

@@ -1,11 +1,13 @@
 """Edge rows placed on purpose, and operators checked against brute force."""
 
+import os
 from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from ledgerlake import constants as K
 
 
 def test_mart_ratio_asymmetry(spark):
@@ -188,22 +190,72 @@ def test_slice_resolver_and_explicit_run_date(spark):
 
 
 def test_scenario_run_writes_marts_and_metrics(spark, tmp_path):
+    import uuid
+
+    from ledgerlake.operators import metrics as M
     from ledgerlake.plans.context import Lake
-    from ledgerlake.plans.pipeline import (int_name, mart_name, read_model, record_metrics,
+    from ledgerlake.plans.pipeline import (int_name, mart_name, read_metrics, read_model, record_metrics,
                                            run_scenario, scenario)
     lake = Lake(spark, SF_SMALL)
-    import uuid
     root = f"{spark.conf.get('spark.checkpoint.dir', str(tmp_path))}/test-run-{uuid.uuid4().hex}"
     rows = run_scenario(lake, "S1", run_root=root)
-    assert [r["phase"] for r in rows] == ["dbt_run", "dbt_test"]
+    assert [r["phase"] for r in rows] == K.PHASES
+    by = {r["phase"]: r for r in rows}
     sc = scenario("S1")
     for i in range(sc.n_marts):
         assert read_model(lake, root, "marts", mart_name(i)).count() > 0
     assert read_model(lake, root, "intermediates", int_name(0)).count() > 0
-    assert rows[0]["rows_actual"] == sum(read_model(lake, root, "marts", mart_name(i)).count()
-                                         for i in range(sc.n_marts))
-    path = record_metrics(lake, rows, path=f"{root}/run_metrics")
-    assert spark.read.parquet(path).count() == 2
+    assert by["dbt_run"]["rows_actual"] == sum(read_model(lake, root, "marts", mart_name(i)).count()
+                                               for i in range(sc.n_marts))
+    assert by["data_generation"]["rows_actual"] == lake.holdings.where("scenario_id = 'S1'").count()
+    assert by["collect_stats"]["explain_cost"] > 0 and by["collect_stats"]["partitions_pruned"] == 0
+    # The loop's own output feeds the run-metrics operators.
+    for more in (rows, run_scenario(lake, "S6", run_root=f"{root}-6")):
+        path = record_metrics(lake, more, path=f"{root}/run_metrics")
+    m = read_metrics(lake, path)
+    assert sorted(r.metric_id for r in m.collect()) == list(range(1, 11))
+    rollup = {r.scenario_id: r for r in M.scenario_rollup(m).collect()}
+    assert set(rollup) == {"S1", "S6"} and rollup["S1"].total_rows == sum(r["rows_actual"] for r in rows)
+    pivot = M.phase_pivot(m).where("scenario_id = 'S6'").first()
+    assert all(pivot[f"{p}_sec"] is not None for p in K.PHASES)
+    assert M.scale_projection(m).count() == 10
+
+
+def test_usage_from_an_event_log(spark, tmp_path):
+    """Tasks lead to job groups; a stage that two jobs list belongs to the first."""
+    import json
+
+    from ledgerlake.operators.resources import events, usage
+    start = lambda job, stages, group: {"Event": "SparkListenerJobStart", "Job ID": job, "Stage IDs": stages,
+                                        "Properties": {"spark.jobGroup.id": group} if group else {}}
+    end = lambda stage, cpu, peak, heap=0: {"Event": "SparkListenerTaskEnd", "Stage ID": stage,
+                                            "Task Metrics": {"Executor CPU Time": cpu, "Executor Run Time": 5,
+                                                             "Peak Execution Memory": peak},
+                                            "Task Executor Metrics": {"JVMHeapMemory": heap, "JVMOffHeapMemory": 0}}
+    lines = [start(0, [0, 1], "a"), end(0, 10 ** 9, 1 << 20), end(1, 2 * 10 ** 9, 0, 3 << 20), start(1, [1, 2], "b"),
+             end(2, 10 ** 9, 5 << 20), start(2, [3], None), end(3, 10 ** 9, 0), {"Event": "SparkListenerApplicationEnd"}]
+    (tmp_path / "log").write_text("\n".join(json.dumps(x) for x in lines) + "\nnot json\n")
+    got = {r.job_group: (r.tasks, r.cpu_sec, r.peak_mem_mb) for r in usage(events(spark, str(tmp_path / "log"))).collect()}
+    assert got == {"a": (2, 3.0, 3.0), "b": (1, 1.0, 5.0)}
+
+
+def test_loop_metrics_from_this_sessions_event_log(tmp_path):
+    """A session of its own, as the event log is set when a session starts."""
+    import subprocess
+    import sys
+    code = f"""
+from ledgerlake.session import local_session
+from ledgerlake.plans.context import Lake
+from ledgerlake.plans.pipeline import read_metrics, run_all
+spark = local_session(4, 4, extra_conf={{"spark.eventLog.enabled": "true", "spark.eventLog.compress": "false",
+    "spark.eventLog.dir": "file://{tmp_path}", "spark.checkpoint.dir": "{tmp_path}/ck"}})
+lake = Lake(spark, "{SF_SMALL}")
+rows = read_metrics(lake, run_all(lake, ["S1"])).collect()
+assert len(rows) == 5 and all(r.peak_mem_mb > 0 and r.avg_cpu_pct > 0 for r in rows if r.phase in ("data_generation", "dbt_run")), rows
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
 
 
 def test_pipeline_marts_equal_per_mart_build(spark):
