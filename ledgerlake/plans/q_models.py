@@ -8,7 +8,8 @@ from .. import constants as K
 from ..functions.columns import (asset_class_display, concentration_band,
                                  cross_currency_flag, fx_bucket, money_sum)
 from ..functions.sizing import join_dimension
-from ..operators import aggregates, joins, marts, staging
+from ..operators import aggregates, joins, marts, sketches, staging
+from ..sources import store
 from . import oracle_base as O
 from .registry import query
 
@@ -269,6 +270,23 @@ def agg_table_stats(lake):
     return aggregates.table_stats(lake.holdings, _STAT_COLS)
 
 
+@query("agg_sketch_stats", W("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column_name, count(*) AS num_rows, count(*) - count({c}) AS num_nulls,
+       CAST(min({c}) AS VARCHAR) AS low_value, CAST(max({c}) AS VARCHAR) AS high_value, true AS close
+FROM raw_holdings""" for c in _STAT_COLS)))
+def agg_sketch_stats(lake):
+    """The same statistics merged from a stored row a month; ``close`` says whether the distinct
+    values are estimated within three standard errors of the exact count."""
+    source = store.build(lake.spark, lake.sf_dir, "raw_holdings")
+    path = f"{lake.sink_path('holdings_sketches')}/{source.rsplit('/', 1)[1]}"
+    sketches.refresh(lake.holdings, source, path, "as_of_month", _STAT_COLS)
+    rows = sketches.merged(sketches.stored_sketches(lake.holdings, path, "as_of_month", _STAT_COLS), _STAT_COLS)
+    exact = aggregates.table_stats(lake.holdings, _STAT_COLS).select("column_name", F.col("num_distinct").alias("exact"))
+    near = F.abs(F.col("num_distinct") - F.col("exact")) <= F.greatest(F.col("exact") * sketches.ERROR, F.lit(1.0))
+    return (rows.join(exact, "column_name")
+            .select("column_name", "num_rows", "num_nulls", "low_value", "high_value", near.alias("close")))
+
+
 @query("so_natural_key_dedup", W("""
 SELECT account_id, security_id, as_of_date, count(*) AS lot_count,
        CAST(sum(market_value_usd) AS DECIMAL(38,2)) AS total_mv_usd

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import money_sum
 from ..operators import aggregates, marts, sinks
 from ..sources import fixtures, store
-from ..streaming.incremental import account_day_by_month, run_incremental
+from ..streaming.incremental import account_day_by_month, run_incremental, sync_months, synced
 from . import oracle_base as O
 from .registry import query
 
@@ -77,17 +77,14 @@ SELECT account_id, as_of_date, as_of_month, count(DISTINCT security_id) AS sec_c
        CAST(sum(unrealized_gain) AS DECIMAL(38,2)) AS total_gain
 FROM raw_holdings GROUP BY account_id, as_of_date, as_of_month"""))
 def snk_incremental_equals_full(lake):
-    """Full build up to a date, in the middle of a month; then an incremental
-    build of the months from the newest of the target on.  The table read
-    back equals one full build."""
-    path = lake.sink_path("account_day_by_month")
+    """Full build up to a date, in the middle of a month; then the months whose digests
+    differ from the whole source.  The table read back equals one full build."""
+    path = f"{lake.sink_path('account_day_by_month')}/{uuid.uuid4().hex}"
     h = lake.holdings
-    build = account_day_by_month(h)
     cut = F.date_add(F.add_months(h.agg(F.max("as_of_month")).scalar(), -6), 14)
-    sinks.full_refresh(account_day_by_month(h.where(F.col("as_of_date") <= cut)), path, ["as_of_month"])
-    mark = lake.spark.read.schema(build.schema).parquet(path).agg(F.max("as_of_month")).scalar()
-    sinks.incremental_load(build, path, "as_of_month", mark)
-    return lake.spark.read.schema(build.schema).parquet(path)
+    sync_months(h.where(F.col("as_of_date") <= cut), path)
+    sync_months(h, path)
+    return synced(lake.spark, account_day_by_month(h).schema, path)
 
 
 @query("snk_incremental_stream", W2("""
