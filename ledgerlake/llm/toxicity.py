@@ -43,7 +43,7 @@ TRAIN_ROWS = 20_000     # labelled texts of each label
 MIN_CONTEXTS = 3        # different left neighbours of a toxic word
 DOUBT = 2               # texts that a word's weight starts from, toxic at the rate of all
 STARTS = (4, 5)         # lengths of word starts
-MAX_KNOWN = 300_000     # remembered words per worker
+MAX_KNOWN = 600_000     # remembered words per worker
 TOXIC = 0.7
 
 # The letters a sign may stand for.
@@ -117,11 +117,12 @@ class Model:
         n = len(_PLAIN.match(word)[0])
         code = _codes()
         at = (0, *(int(code[ord(c)]) for c in word[max(0, n - 2):n]))[-2:] if n else (0, 0)
-        key = (*at, word[n - 1:n], word[n:])
+        last = word[n - 1:n] if word[n - 1:n] == word[n:n + 1] else ""  # matters where it is doubled
+        key = (*at, last, word[n:])
         got = _TAILS[1].get(key) if _TAILS[0] == self.letters else None
         if got is None:
             _TAILS = _kept(_TAILS, self.letters)
-            got = _TAILS[1][key] = self._decode(at, word[n - 1:n], word[n:])
+            got = _TAILS[1][key] = self._decode(at, last, word[n:])
         return word[:n] + got
 
     def _decode(self, at: tuple[int, int], last: str, word: str) -> str:
@@ -209,15 +210,28 @@ class Model:
         """The likeliest reading."""
         return self.readings(chunk)[0]
 
+    def _weigh(self, word: str) -> float:
+        return max((self.weight.get(f, 0.0) for f in features(word)), default=0.0)
+
     def chance(self, chunk: str) -> float:
+        """The highest weight of what a chunk may stand for."""
         global _CHANCES
         got = _CHANCES[1].get(chunk) if _CHANCES[0] == self.weighed else None
         if got is None:
             _CHANCES = _kept(_CHANCES, self.weighed)
-            got = max((self.weight.get(f, 0.0) for w in self.readings(chunk) for f in features(w)), default=0.0)
-            _CHANCES[1][chunk] = got
+            got = _CHANCES[1][chunk] = self._chance(chunk)
         return got
 
+    def _chance(self, chunk: str) -> float:
+        word = chunk if chunk.isalpha() else chunk.strip(_EDGES).rstrip("!")
+        if not word.isalpha() or _RUN.search(word):
+            return max(map(self._weigh, self.readings(chunk)), default=0.0)
+        found = self._weigh(word)
+        # The second reading of a word with doubles is one of its shorter forms: decoded if any has a weight.
+        if _DOUBLE.search(word) and any(map(self._weigh, undoubled(word))):
+            found = max([found, *map(self._weigh, self.readings(word))])
+        return found
+
     def chunks(self, text: str) -> list[str]:
         """The text's runs of characters; a spaced-out word is one of them."""
         text = text.lower()
@@ -230,6 +244,15 @@ class Model:
         return max(self.base, max(map(chance, set(self.chunks(text))), default=0.0))
 
 
+def undoubled(word: str) -> list[str]:
+    """All spellings of a word with any of its doubled letters written once."""
+    found, at = [""], 0
+    for m in _DOUBLE.finditer(word):
+        found = [w + word[at:m.start()] + x for w in found for x in (m[0], m[1])]
+        at = m.end()
+    return [w + word[at:] for w in found]
+
+
 def features(word: str) -> list[str]:
     """A word and its starts."""
     return [f"={word}", *(f"^{word[:n]}" for n in STARTS if len(word) > n)] if word else []
