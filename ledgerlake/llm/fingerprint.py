@@ -3,17 +3,23 @@
 A text is cut into paragraphs: at line ends, after every sentence inside a
 line, and, ``STRETCH`` characters into a stretch without such an end, after
 words (characters, where words are long) that a hash picks, so equal passages
-are cut alike wherever they stand.  Each distinct paragraph's 64-bit digest is added to one
-cell of each of three small tables; a cell holds a count, the XOR of its
-digests and the XOR of their checks.  Subtracting two sketches cancels what the
+are cut alike wherever they stand.  Each distinct paragraph's digest is added to one
+cell of each of three tables; a cell holds a count and the XOR of its digests, of
+which ``CHECK_BITS`` bits check the others.  Subtracting two sketches cancels what the
 texts share; peeling then takes out cells that hold one digest, again and
-again, until all differing digests are recovered.  If digests are left, the pair
-is tried again with four times as many sketches, each for a part of the
-digests, so a retry stays linear in the number of paragraphs.  The recovered
+again, until all differing digests are recovered.  The recovered
 counts give the likeness: shared paragraphs over all paragraphs of both.
 
+A fingerprint is a small sketch of ``CELLS`` cells, written out.  Two texts are compared by
+sketches sized by their numbers of paragraphs; a pair that could not be peeled
+is tried again with tables twice as large and other cells.  Sketches are rows of
+cells, built by a hash aggregate of counts and XORs; empty cells are no rows, so
+large tables cost nothing.  A round of peeling is two more aggregates: one lets
+the cells that hold the same digest name it once, one takes it out of its
+cells.  All are grouped by row first, so only the digests are shuffled, once.
+
 Everything is DataFrame functions.  The next document (descending id) is
-found inside id ranges bounded by quantiles, at most ``RANGES`` of them; the
+found inside id ranges bounded by quantiles, of about ``RANGE_ROWS`` rows each; the
 first row of each range is also sent to the range before, so one window with
 one shuffle of the texts is enough.
 
@@ -35,96 +41,102 @@ from pyspark.sql.window import Window
 from .common import read, stored
 
 TABLES, TABLE = 3, 16
-CELLS = TABLES * TABLE
-ROUNDS = 12          # of peeling, before a retry
-RANGES = 1024
+CELLS = TABLES * TABLE   # of a fingerprint
+SPACE = 2                # cells of each table of a comparison, per paragraph of both texts
+ROUNDS = 4               # of peeling, before a retry
+CHECK_BITS = 16
+TABLE_BITS = 40          # a cell's number is below these bits, its table's above
 RANGE_ROWS = 4096
 LOWEST = -(1 << 63)
-# Line ends; spaces after a sentence, also one closed by a quote or bracket; sentence ends that no space follows.
-CUT = r"\n|(?<=[.!?…؟۔।]) |(?<=[.!?…؟۔।][\"'”’)\]]) |(?<=[。！？])"
-STRETCH = 96         # characters without a cut before words may end a paragraph
-WORD = 32            # characters; longer runs without a space count by the character
-PICKED = 8           # one of so many words ends a paragraph
-CHECK = 0x5BD1E995
-LEVELS = 16          # four to this power parts are never needed
+# Line ends, and spaces after a sentence, also one closed by a quote or bracket.
+CUT = "[\\n ](?<=\\n|[.!?…؟۔।] |[.!?…؟۔।][\"'”’)\\]] )"
+ENDS = "。！？"          # sentence ends that no space follows
+STRETCH = 96             # characters without a cut before words may end a paragraph
+WORD = 32                # characters; longer runs without a space count by the character
+PICKED = 8               # one of so many words ends a paragraph
+LEVELS = 24              # more retries are never needed
 
 
 def _stretch(part: Column) -> Column:
     """The paragraphs of a stretch without a sentence or line end: what follows its
     first ``STRETCH`` characters is also cut after words picked by their hash."""
-    words = F.flatten(F.transform(F.split(F.substring(part, F.lit(STRETCH + 1), F.length(part)), "(?<= )"),
-                                  lambda w: F.when(F.length(w) > WORD, F.split(w, "")).otherwise(F.array(w))))
-    ends = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(PICKED)) == 0, F.concat(w, F.lit("\n")))
-                       .otherwise(w))
-    return F.split(F.concat(F.substring(part, 1, STRETCH), F.array_join(ends, "")), "\n")
+    def ended(w: Column) -> Column:
+        return F.when(F.pmod(F.xxhash64(w), F.lit(PICKED)) == 0, F.concat(w, F.lit("\n"))).otherwise(w)
+
+    words = F.transform(F.split(F.substring(part, F.lit(STRETCH + 1), F.length(part)), " ", -1), lambda w: F.when(
+        F.length(w) > WORD, F.array_join(F.transform(F.split(w, ""), ended), "")).otherwise(ended(w)))
+    return F.split(F.concat(F.substring(part, 1, STRETCH), F.array_join(words, " ")), "\n ?", -1)
 
 
 def paragraphs(text: Column) -> Column:
     """A text's paragraphs, in order."""
+    for end in ENDS:
+        text = F.replace(text, F.lit(end), F.lit(f"{end}\n"))
     parts = F.flatten(F.transform(F.split(text, CUT, -1), lambda p: F.when(
         F.length(p) > STRETCH, _stretch(p)).otherwise(F.array(p))))
     return F.filter(parts, lambda p: F.length(p) > 0)
 
 
-def digests(text: Column) -> Column:
-    """Distinct 64-bit digests of a text's paragraphs."""
-    parts = paragraphs(text)
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
-
-
 def _check(d: Column) -> Column:
-    return F.xxhash64(F.lit(CHECK), d)
-
-
-def _entry(d: Column, salt: Column) -> Column:
-    """A digest, its check and its cell in each table."""
-    h = F.xxhash64(salt, d)
-    at = F.array(*[(F.pmod(F.shiftright(h, 8 * t), F.lit(TABLE)) + t * TABLE).cast("int") for t in range(TABLES)])
-    return F.struct(d.alias("d"), _check(d).alias("c"), at.alias("at"))
-
-
-def _merge(cell: Column, n: Column, d: Column, c: Column) -> Column:
-    return F.struct((cell["n"] + n).alias("n"), cell["d"].bitwiseXOR(d).alias("d"),
-                    cell["c"].bitwiseXOR(c).alias("c"))
+    return F.xxhash64(F.shiftright(d, CHECK_BITS)).bitwiseAND((1 << CHECK_BITS) - 1)
 
 
-def sketch(entries: Column) -> Column:
-    """The cells of an array of entries."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("c"))
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda j: F.aggregate(
-        F.filter(entries, lambda e: F.array_contains(e["at"], j)), empty,
-        lambda cell, e: _merge(cell, F.lit(1), e["d"], e["c"])))
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _merge(x, -y["n"], y["d"], y["c"]))
-
-
-def peel(cells: Column, salt: Column) -> Column:
-    """``plus`` and ``minus`` (digests only in the first, only in the second
-    sketch, as far as recovered) and ``left``, the cells that still hold some."""
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
-
-    def step(s: Column, _: Column) -> Column:
-        single = F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["d"])))
-        found = F.array_distinct(F.transform(single, lambda c: F.struct(
-            c["n"].alias("n"), _entry(c["d"], salt).alias("e"))))
-        # Named once, so that it is computed once a round.
-        return F.aggregate(F.array(found), s, lambda s, f: F.struct(
-            F.transform(s["cells"], lambda cell, j: F.aggregate(
-                F.filter(f, lambda p: F.array_contains(p["e"]["at"], j)), cell,
-                lambda cell, p: _merge(cell, -p["n"], p["e"]["d"], p["e"]["c"]))).alias("cells"),
-            (s["plus"] + F.size(F.filter(f, lambda p: p["n"] == 1))).alias("plus"),
-            (s["minus"] + F.size(F.filter(f, lambda p: p["n"] == -1))).alias("minus")))
-
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return F.aggregate(F.array(done), F.struct(F.lit(0).alias("plus"), F.lit(0).alias("minus"), F.lit(0).alias("left")),
-                       lambda _, s: F.struct(s["plus"].alias("plus"), s["minus"].alias("minus"), F.size(F.filter(
-                           s["cells"], lambda c: (c["n"] != 0) | (c["d"] != 0) | (c["c"] != 0))).alias("left")))
-
-
-def _entries(ds: Column, salt: Column) -> Column:
-    return F.transform(ds, lambda d: _entry(d, salt))
+def digests(text: Column) -> Column:
+    """Distinct 64-bit digests of a text's paragraphs, their last bits a check of the others."""
+    high = lambda h: F.shiftleft(F.shiftright(h, CHECK_BITS), CHECK_BITS)
+    plain = F.array_distinct(F.transform(paragraphs(text), lambda p: high(F.xxhash64(p))))
+    return F.transform(plain, lambda d: d.bitwiseOR(_check(d)))
+
+
+def cell(d: Column, table: Column, bits: Column, salt: int) -> Column:
+    """A digest's cell in one of the tables of 2 to the power ``bits`` cells, numbered through."""
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+    inside = F.xxhash64(F.lit(salt), table, d).bitwiseAND(size - 1)
+    return table.cast("long") * (1 << TABLE_BITS) + inside
+
+
+def peeled(pairs: DataFrame, salt: int) -> DataFrame:
+    """``key``, ``plus`` and ``minus`` (digests only in the first, only in the second set, as far as
+    recovered) and ``left``, the cells that still hold some, of pairs (key, a, b: digests).
+
+    Pairs without a difference have no row.  The number of pairs may be any; each is
+    peeled where its row is."""
+    sides = F.array(F.struct(F.lit(1).alias("n"), F.col("a").alias("ds")), F.struct(F.lit(-1).alias("n"), F.col("b").alias("ds")))
+    need = F.greatest(SPACE * (F.size("a") + F.size("b")), F.lit(TABLE))
+    bits = F.ceil(F.log2(need)).cast("int") + salt
+    tables = F.explode(F.array(*map(F.lit, range(TABLES))))
+    rows = pairs.select("key", bits.alias("bits"), F.explode(sides).alias("s"))
+    rows = rows.select("key", "bits", F.col("s.n").alias("n"), F.explode("s.ds").alias("x"))
+    rows = rows.select("key", "bits", "n", "x", tables.alias("t"))
+    at = cell(F.col("x"), F.col("t"), F.col("bits"), salt)
+    keys = ["key", "bits", "at"]
+
+    def cells(r: DataFrame) -> DataFrame:
+        """The cells that hold something; those below 0 count what was recovered."""
+        out = r.groupBy(*keys).agg(F.sum("n").cast("int").alias("n"), F.bit_xor("x").alias("x"))
+        return out.filter("n <> 0 OR x <> 0")
+
+    now = cells(rows.select("key", "bits", "n", "x", at.alias("at")))
+    for _ in range(ROUNDS):
+        x, n = F.col("x"), F.col("n")
+        mine = cell(x, F.shiftright("at", TABLE_BITS).cast("int"), F.col("bits"), salt) == F.col("at")
+        single = (F.col("at") >= 0) & (F.abs(n) == 1) & (_check(x) == x.bitwiseAND((1 << CHECK_BITS) - 1)) & mine
+        # A cell passes itself on, and names its digest if it holds one; cells that hold the same name it once.
+        kinds = F.when(single, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        named = now.select(*keys, "n", "x", F.explode(kinds).alias("kind"))
+        named = (named.select("key", "bits", "kind", F.when(F.col("kind") == 0, F.col("at")).otherwise(x).alias("at"), "n", "x")
+                 .groupBy("key", "bits", "kind", "at").agg(F.max("n").alias("n"), F.max("x").alias("x")))
+        # A named digest leaves its three cells and is counted (table 3).
+        named = named.select("key", "bits", "kind", "at", "n", "x", F.explode(F.when(
+            F.col("kind") == 0, F.array(F.lit(-1))).otherwise(F.array(*map(F.lit, range(TABLES + 1))))).alias("t"))
+        out = F.col("t").between(0, TABLES - 1)
+        count = F.col("t") == TABLES
+        now = cells(named.select(
+            "key", "bits", F.when(out, cell(x, F.col("t"), F.col("bits"), salt)).when(count, F.when(n > 0, F.lit(-1)).otherwise(F.lit(-2)))
+            .otherwise(F.col("at")).cast("long").alias("at"),
+            F.when(out, -n).when(count, F.lit(1)).otherwise(n).alias("n"), F.when(count, F.lit(0)).otherwise(x).cast("long").alias("x")))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("at") == k, F.col("n"))), F.lit(0))
+    return now.groupBy("key").agg(of(-1).alias("plus"), of(-2).alias("minus"), F.count_if(F.col("at") >= 0).alias("left"))
 
 
 def likeness(a: Column, b: Column, plus: Column, minus: Column) -> Column:
@@ -134,39 +146,34 @@ def likeness(a: Column, b: Column, plus: Column, minus: Column) -> Column:
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """``key`` and ``near`` for a stored table of pairs (key, a, b: digests) whose
-    first sketches could not be peeled: retries with ever more parts."""
+    """``key`` and ``near`` of a stored table of pairs (key, a, b: digests)."""
     done = []
-    for level in range(1, LEVELS):
-        salt = F.lit(level)
-        side = lambda c, s: F.transform(c, lambda d: F.struct(d.alias("d"), F.lit(s).alias("s")))
-        parts = (pairs.select("key", F.explode(F.concat(side("a", 0), side("b", 1))).alias("x"))
-                 .groupBy("key", F.pmod(F.xxhash64(F.lit(-level), "x.d"), F.lit(4 ** level)).alias("part"))
-                 .agg(F.collect_list(F.when(F.col("x.s") == 0, F.col("x.d"))).alias("a"),
-                      F.collect_list(F.when(F.col("x.s") == 1, F.col("x.d"))).alias("b")))
-        cells = subtract(sketch(_entries(F.col("a"), salt)), sketch(_entries(F.col("b"), salt)))
-        found = (parts.select("key", peel(cells, salt).alias("p")).groupBy("key")
-                 .agg(F.sum("p.plus").alias("plus"), F.sum("p.minus").alias("minus"), F.sum("p.left").alias("left")))
-        tried = stored(pairs.join(found, "key", "left").withColumns({
-            "plus": F.coalesce("plus", F.lit(0)), "minus": F.coalesce("minus", F.lit(0)),
-            "left": F.coalesce("left", F.lit(0))}), f"level{level}")
-        done.append(tried.filter("left = 0").select("key", likeness(
-            F.col("a"), F.col("b"), F.col("plus"), F.col("minus")).alias("near")))
-        pairs = tried.filter("left > 0").select("key", "a", "b")
+    for level in range(LEVELS):
+        dealt = pairs.repartition("key")
+        found = dealt.join(peeled(dealt, level), "key", "left").select(
+            "key", "a", "b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("plus", "minus", "left")])
+        near = likeness(F.col("a"), F.col("b"), F.col("plus"), F.col("minus"))
+        again = F.col("left") > 0
+        tried = stored(found.select("key", F.when(~again, near).alias("near"), *[F.when(again, F.col(c)).alias(c) for c in "ab"]),
+                       f"level{level}")
+        done.append(tried.filter("near IS NOT NULL").select("key", "near"))
+        pairs = tried.filter("near IS NULL").select("key", "a", "b")
         if pairs.isEmpty():
             return reduce(DataFrame.unionAll, done)
     raise RuntimeError("sketches cannot be peeled: digests collide")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``text`` and ``next_text``, the text of the next row by descending id."""
+    """``doc_id``, ``text``, its digests ``a``, and ``next_text`` and ``c``, those of the next row by
+    descending id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.withColumn("a", digests(F.col("text")))
     rows = rows.withColumns({"_k": F.coalesce("doc_id", F.lit(LOWEST)), "_h": F.xxhash64("text")})
     keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_k"))
     n = keys.count()
     if not n:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
-    ranges = min(RANGES, -(-n // RANGE_ROWS))
+        return rows.select("doc_id", "text", "a", F.col("text").alias("next_text"), F.col("a").alias("c"))
+    ranges = -(-n // RANGE_ROWS)
     bounds = sorted(set(keys.agg(F.percentile_approx("_k", [k / ranges for k in range(1, ranges)] or [0.5], 100 * ranges))
                         .first()[0])) if ranges > 1 else []
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
@@ -179,9 +186,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     places = F.array_compact(F.array(F.struct(part, F.lit(0).alias("_copy")),
                                      F.when(also.isNotNull(), F.struct(also.alias("_part"), F.lit(1).alias("_copy")))))
     w = Window.partitionBy("_part").orderBy("_copy", F.desc("_k"), "_h")
-    return (rows.withColumn("_p", F.explode(places)).select("doc_id", "text", "_k", "_h", "_p.*")
-            .withColumn("next_text", F.lead("text").over(w)).filter("_copy = 0")
-            .select("doc_id", "text", "next_text"))
+    return (rows.withColumn("_p", F.explode(places)).select("doc_id", "text", "a", "_k", "_h", "_p.*")
+            .withColumns({"next_text": F.lead("text").over(w), "c": F.lead("a").over(w)}).filter("_copy = 0")
+            .select("doc_id", "text", "a", "next_text", "c"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -191,38 +198,38 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def fingerprint_of(cells: Column) -> Column:
-    """A text's fingerprint as a string: digest of its sketch."""
-    return F.sha2(F.to_json(cells), 256)
+def sketches(rows: DataFrame) -> DataFrame:
+    """``key`` and ``fingerprint`` of rows (key, ds: digests): the cells of a small sketch that hold something,
+    each as ``number:count:digests`` (XOR, hexadecimal), comma-joined.  Rows without digests are left out."""
+    bits = TABLE.bit_length() - 1
+    one = rows.select("key", F.explode("ds").alias("x")).select("key", "x", F.explode(F.array(*map(F.lit, range(TABLES)))).alias("t"))
+    inside = F.xxhash64(F.lit(0), "t", "x").bitwiseAND((1 << bits) - 1)
+    cells = (one.groupBy("key", (F.col("t") * TABLE + inside).cast("int").alias("at"))
+             .agg(F.count(F.lit(1)).alias("n"), F.bit_xor("x").alias("x")))
+    text = F.concat_ws(":", "at", "n", F.hex("x"))
+    return cells.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", text.alias("c")))).alias("cells")).select(
+        "key", F.array_join(F.col("cells.c"), ",").alias("fingerprint"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of texts and of their edited texts, and the likenesses."""
-    salt = F.lit(0)
     rows = with_next(docs, id_col, text_col).withColumn("e", edited(F.col("text"), F.col("next_text")))
-    rows = (rows.select("doc_id", F.length("text").cast("long").alias("n_chars"),
-                        F.sha2("e", 256).alias("edited_sha256"),
-                        *[digests(F.col(c)).alias(d) for c, d in (("text", "a"), ("e", "b"), ("next_text", "c"))]))
-    rows = stored(rows, "digests").withColumn("row", F.monotonically_increasing_id())
-    cells = rows.select("*", *[sketch(_entries(F.col(d), salt)).alias(f"s_{d}") for d in "abc"])
-    peeled = stored(cells.select(
-        "row", "doc_id", "n_chars", "edited_sha256", "a", "b", "c",
-        fingerprint_of(F.col("s_a")).alias("fingerprint"), fingerprint_of(F.col("s_b")).alias("edited_fingerprint"),
-        peel(subtract(F.col("s_a"), F.col("s_b")), salt).alias("p_b"),
-        peel(subtract(F.col("s_a"), F.col("s_c")), salt).alias("p_c")), "peeled")
-    again = stored(peeled.filter("p_b.left > 0").select(F.struct("row", F.lit("b").alias("of")).alias("key"), "a", "b")
-                   .unionAll(peeled.filter("p_c.left > 0").select(
-                       F.struct("row", F.lit("c").alias("of")).alias("key"), "a", F.col("c").alias("b"))), "again")
-    later = compare(again)
-    late = {of: later.filter(F.col("key.of") == of).select(F.col("key.row").alias("row"), F.col("near").alias(f"l_{of}"))
-            for of in "bc"}
-    first = lambda of: F.when(F.col(f"p_{of}.left") == 0, likeness(
-        F.col("a"), F.col(of), F.col(f"p_{of}.plus"), F.col(f"p_{of}.minus")))
-    return (peeled.select("row", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                          first("b").alias("f_b"), first("c").alias("f_c"))
-            .join(late["b"], "row", "left").join(late["c"], "row", "left")
-            .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                    F.coalesce("f_b", "l_b").alias("near_edited"), F.coalesce("f_c", "l_c").alias("near_next")))
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"),
+                              F.sha2("e", 256).alias("edited_sha256"), "a", digests(F.col("e")).alias("b"), "c"), "digests")
+    # Keys: twice the row, and one for the second text or pair.
+    second = lambda c: F.struct((2 * F.col("row") + 1).alias("key"), *c)
+    first = lambda c: F.struct((2 * F.col("row")).alias("key"), *c)
+    pairs = rows.select(F.explode(F.array(first([F.col("a"), F.col("b")]), second([F.col("a"), F.col("c").alias("b")]))).alias("p")).select("p.*")
+    near = compare(pairs)
+    texts = rows.select(F.explode(F.array(first([F.col("a").alias("ds")]), second([F.col("b").alias("ds")]))).alias("p")).select("p.*")
+    prints = sketches(texts.repartition("key"))
+    both = (near.join(prints, "key", "left")
+            .groupBy(F.shiftright("key", 1).alias("row")).agg(
+                *[F.max(F.when(F.col("key") % 2 == k, F.coalesce("fingerprint", F.lit("")))).alias(f"f{k}") for k in (0, 1)],
+                *[F.max(F.when(F.col("key") % 2 == k, F.col("near"))).alias(f"n{k}") for k in (0, 1)]))
+    return (rows.select("row", "doc_id", "n_chars", "edited_sha256").join(both, "row")
+            .select("doc_id", "n_chars", "edited_sha256", F.col("f0").alias("fingerprint"), F.col("f1").alias("edited_fingerprint"),
+                    F.col("n0").alias("near_edited"), F.col("n1").alias("near_next")))
 
 
 def op8_fingerprint(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 import hashlib
 import random
-import re
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import fingerprint
@@ -10,8 +11,19 @@ from ledgerlake.llm import fingerprint
 from .helpers import awkward, docs, stored
 
 
+def picked(w):
+    return (xxhash.xxh64_intdigest(w.encode(), 42) + (1 << 63)) % 8 == 0  # a signed number's residue is the same
+
+
 def parts(t):
-    return {p for p in re.split(r"\n|(?<=[dt][.!?]) ", t) if p}
+    """The rule, restated: sentence and line ends, and in a stretch, words (characters of long words) that a hash picks."""
+    for end in "。！？":
+        t = t.replace(end, end + "\n")
+    out = set()
+    for p in regex.split("\n|(?<=[.!?…؟۔।]) |(?<=[.!?…؟۔।][\"'”’)\\]]) ", t):
+        words = [("".join(c + "\n" * picked(c) for c in w) if len(w) > 32 else w + "\n" * picked(w)) for w in p[96:].split(" ")]
+        out.update(regex.split("\n ?", p[:96] + " ".join(words)) if len(p) > 96 else [p])
+    return out - {""}
 
 
 def alike(a, b):
@@ -42,6 +54,9 @@ def test_as_brute_force(spark, tmp_path, monkeypatch, range_rows):
     lines = [f"line {k} ends in a word. Then it goes on about {k}" for k in range(400)]
     texts = ["\n".join(rng.sample(lines, rng.choice([0, 1, 3, 9, 40, 300]))) for _ in range(90)]
     texts[5:9] = [None, "", "é𝒳日" * 7, texts[0]]
+    word = lambda: "".join(rng.choice("aeinorsy") for _ in range(rng.randrange(1, 9)))
+    for k in range(10, 20):  # stretches without an end, words that are long, ends without a space
+        texts[k] = " ".join(word() for _ in range(150)) + ("。" + "日é" * 40) * (k % 3) + " " * (k % 4) + "\n" + texts[k]
     df = stored(docs(spark, texts), tmp_path)
     assert run(df) == brute([(r.doc_id, r.text) for r in df.collect()], lambda x: -x[0])
 
@@ -64,13 +79,23 @@ def test_awkward_rows(spark, tmp_path, monkeypatch):
     assert run(one) == brute([(0, "only one. text")], lambda x: x[0])
 
 
-def test_peeling_recovers_digests(spark):
-    df = spark.range(1).select(F.array(*[F.lit(k).cast("long") for k in range(20)]).alias("a"),
-                               F.array(*[F.lit(k).cast("long") for k in range(9, 24)]).alias("b"))
-    salt = F.lit(0)
-    cells = [fingerprint.sketch(fingerprint._entries(F.col(c), salt)) for c in "ab"]
-    r = df.select(fingerprint.peel(fingerprint.subtract(*cells), salt).alias("p")).first().p
-    assert (r.plus, r.minus, r.left) == (9, 4, 0)
+def test_peeling_recovers_differences_and_retries(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    sets = [(rng.sample(range(2000), rng.choice([0, 1, 20, 500])), rng.sample(range(2000), rng.choice([0, 1, 20, 500]))) for _ in range(60)]
+    sets += [([5, 6], [6, 5]), (list(range(900)), list(range(1, 900)))]
+    digest = F.transform("d", lambda x: F.shiftleft(F.xxhash64(x), 16))
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(sets)], "key long, a array<long>, b array<long>")
+    for c in "ab":
+        df = df.withColumn("d", F.col(c)).withColumn(c, F.transform(digest, lambda d: d.bitwiseOR(fingerprint._check(d))))
+    df = stored(df.drop("d"), tmp_path, "pairs")
+    want = {k: alike(set(a), set(b)) for k, (a, b) in enumerate(sets)}
+    for space, rounds in ((2, 4), (1, 1)):  # the second cannot peel most pairs at first
+        monkeypatch.setattr(fingerprint, "SPACE", space)
+        monkeypatch.setattr(fingerprint, "ROUNDS", rounds)
+        got = {r.key: r.near for r in fingerprint.compare(df).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    left = {r.key: (r.plus, r.minus, r.left) for r in fingerprint.peeled(df, 3).collect()}
+    assert 60 not in left and left[61] == (1, 0, 0)
 
 
 def test_half_edited_texts_of_one_line_are_alike(spark, tmp_path):
