@@ -44,6 +44,21 @@ def hash128(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit(0x9E3779B9), c)
 
 
+def in_row(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``_row``, so that none of its names meets another."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def from_row(name: str) -> Column:
+    return F.col(f"_row.`{name}`")
+
+
+def out_of_row(columns: list[str], new: dict[str, Column]) -> list[Column]:
+    """The packed columns but those that new ones replace, and the new ones."""
+    taken = {c.lower() for c in new}
+    return [*[from_row(c).alias(c) for c in columns if c.lower() not in taken], *[v.alias(c) for c, v in new.items()]]
+
+
 SALTS = 8
 
 

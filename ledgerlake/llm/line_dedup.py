@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, hash128, lower_ascii, salted_join
+from .common import ASCII_SPACE, from_row, hash128, in_row, lower_ascii, out_of_row, salted_join
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -74,19 +74,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                .filter(~F.col("_d").eqNullSafe(F.col("_keeper")))
                .groupBy("_d", "_t1", "_t2")
                .agg(F.collect_set("_pos").alias("_drop")))
-    t1, t2 = hash128(F.coalesce(F.col(text_col), F.lit("")))
-    base = docs.drop("kept_text", "n_lines", "n_dropped").withColumns({"_u1": t1, "_u2": t2})
-    joined = base.join(dropped, F.col(id_col).eqNullSafe(F.col("_d"))
+    text = F.coalesce(from_row(text_col), F.lit(""))
+    t1, t2 = hash128(text)
+    base = in_row(docs).withColumns({"_u1": t1, "_u2": t2})
+    joined = base.join(dropped, from_row(id_col).eqNullSafe(F.col("_d"))
                        & (F.col("_u1") == F.col("_t1")) & (F.col("_u2") == F.col("_t2")), "left")
-    lines = split_lines(F.col(text_col))
-    positions = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    rebuilt = F.when(F.col("_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
+    positions = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
+    rebuilt = F.when(F.col("_drop").isNull(), text).otherwise(
         F.array_join(F.transform(positions, lambda p: F.get(F.col("_lines"), p)), "\n"))
-    return (joined.withColumn("_lines", lines)
-            .withColumns({"kept_text": rebuilt,
-                          "n_lines": F.size("_lines").cast("long"),
-                          "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")})
-            .drop("_lines", "_drop", "_d", "_t1", "_t2", "_u1", "_u2"))
+    return joined.withColumn("_lines", split_lines(from_row(text_col))).select(*out_of_row(docs.columns, {
+        "kept_text": rebuilt, "n_lines": F.size("_lines").cast("long"),
+        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

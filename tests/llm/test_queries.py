@@ -81,3 +81,30 @@ def test_packing_follows_brute_force_order(spark):
     out = corpus_pipeline.run(spark, SF_CHECK)
     r = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e"))
     assert r.where("n <> e OR n > 4096").count() == 0
+
+
+CLASHES = ["_d", "_t1", "_t2", "_u1", "_u2", "_pos", "_line", "_lines", "_drop", "_k", "_h1", "_h2", "_n", "_keeper", "_kept",
+           "_done", "_all", "_row", "_salt", "row", "rest", "kind", "start", "end", "score", "rejected", "kept", "kept_text",
+           "redacted", "n_lines", "n_dropped", "component_id", "n_shingles", "lang_pred", "held_out", "Redacted2", "t1", "t2",
+           "u", "v", "node", "label", "spans", "all", "base"]
+
+
+def test_stages_on_awkward_rows_and_clashing_names(spark, tmp_path):
+    """Every internal name as a further column; nulls, empty and repeated rows; then an empty table."""
+    from .helpers import awkward
+    line = "this line of text stands in a great many of the documents"
+    more = docs(spark, [f"{line}\nand this is the end of number {k}, mail a{k}@b.org" for k in range(4)] * 2, first=20)
+    plain = awkward(spark).unionByName(more)
+    wide = plain.select("*", *[F.lit(f"{c}!").alias(c) for c in CLASHES])
+    key = lambda rows: sorted((str(r.doc_id), str(r.text), str(r.n_chars), str(r.lang)) for r in rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_in = stored(wide, tmp_path, f"{name}-wide")
+        out = stage(spark, docs_in, SF_CHECK)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert all(r[c] == f"{c}!" for r in rows[:5] for c in CLASHES)
+        assert key(rows) == key(stage(spark, stored(plain, tmp_path, f"{name}-plain"), SF_CHECK).collect())
+        empty = stage(spark, stored(wide.limit(0), tmp_path, f"{name}-empty"), SF_CHECK)
+        assert empty.columns == wide.columns and empty.count() == 0
+    packed = corpus_pipeline.packing(spark, stored(wide, tmp_path, "packing"), SF_CHECK)
+    assert packed.select("doc_id").distinct().count() == wide.select("doc_id").distinct().count()
