@@ -65,7 +65,7 @@ _SPACED = re.compile(rf"(?<![^\s.,;:?])(?:(?:{_PART})[ .\-_*]){{2,}}(?:{_PART})(
 _CODES: np.ndarray | None = None
 # What a worker has decoded and weighed, kept between tasks: for the last model, as far as it is known.
 _READINGS: tuple[str, dict[str, list[str]]] = ("", {})
-_CHANCES: tuple[str, dict[str, float]] = ("", {})
+_CHANCES: tuple[str, dict[str, float], set[str]] = ("", {}, set())
 _TAILS: tuple[str, dict[tuple, str]] = ("", {})
 
 
@@ -215,12 +215,25 @@ class Model:
 
     def chance(self, chunk: str) -> float:
         """The highest weight of what a chunk may stand for."""
+        return self.highest({chunk})
+
+    def highest(self, chunks: set[str]) -> float:
+        """The highest chance of some chunks.  Most have been seen to have none, and are set aside at once."""
         global _CHANCES
-        got = _CHANCES[1].get(chunk) if _CHANCES[0] == self.weighed else None
-        if got is None:
-            _CHANCES = _kept(_CHANCES, self.weighed)
-            got = _CHANCES[1][chunk] = self._chance(chunk)
-        return got
+        if _CHANCES[0] != self.weighed or len(_CHANCES[2]) >= MAX_KNOWN:
+            _CHANCES = (self.weighed, {}, set())
+        _, found, none = _CHANCES
+        best = 0.0
+        for chunk in chunks.difference(none):
+            got = found.get(chunk)
+            if got is None:
+                got = self._chance(chunk)
+                if got:
+                    found[chunk] = got
+                else:
+                    none.add(chunk)
+            best = max(best, got)
+        return best
 
     def _chance(self, chunk: str) -> float:
         word = chunk if chunk.isalpha() else chunk.strip(_EDGES).rstrip("!")
@@ -240,8 +253,7 @@ class Model:
     def score(self, text: str | None) -> float:
         if not text:
             return self.base
-        chance = self.chance
-        return max(self.base, max(map(chance, set(self.chunks(text))), default=0.0))
+        return max(self.base, self.highest(set(self.chunks(text))))
 
 
 def undoubled(word: str) -> list[str]:
