@@ -312,6 +312,7 @@ def overlay(stored: DataFrame, new: DataFrame, key: str, fields: list[str]) -> D
 
 
 def split_runs(metrics: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Stored results (older rows) and a new run (the last ``days`` days)."""
+    """Stored results (older rows, and those without a start) and a new run (the last ``days`` days)."""
     cut = metrics.agg(F.max("started_at")).scalar() - F.make_dt_interval(days=F.lit(days))
-    return metrics.where(F.col("started_at") < cut), metrics.where(F.col("started_at") >= cut)
+    new = F.coalesce(F.col("started_at") >= cut, F.lit(False))
+    return metrics.where(~new), metrics.where(new)

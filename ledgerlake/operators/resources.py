@@ -61,10 +61,12 @@ def usage_so_far(spark: SparkSession) -> DataFrame:
     path = event_log(spark)
     if path is None:
         return spark.createDataFrame([], USAGE)
-    group = f"usage-{time.time_ns()}"
-    spark.sparkContext.setJobGroup(group, "mark in the event log")
+    group, context = f"usage-{time.time_ns()}", spark.sparkContext
+    before = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description")}
+    context.setJobGroup(group, "mark in the event log")
     spark.range(1).count()
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for key, value in before.items():
+        context.setLocalProperty(key, value)
     mark = F.element_at("Properties", "spark.jobGroup.id") == group
     end = time.time() + WAIT_SECONDS
     while time.time() < end:

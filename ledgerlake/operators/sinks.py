@@ -55,11 +55,6 @@ def slice_reload(h: DataFrame, path: str, sid: str) -> None:
     overwrite_partitions(h.where(F.col("scenario_id") == sid), path, ["scenario_id"])
 
 
-def incremental_load(build: DataFrame, path: str, month_col: str, high_water: Column) -> None:
-    """Write only the month partitions at or after ``high_water``."""
-    overwrite_partitions(build.where(F.col(month_col) >= high_water), path, [month_col])
-
-
 def insert_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Add a column default only where the input lacks the column (an
     explicit NULL stays NULL, as with an INSERT naming the column)."""

@@ -126,6 +126,7 @@ class PhaseLog:
     def phase(self, name: str):
         """Times a phase; its row's other fields are set on what this yields."""
         context = self.lake.spark.sparkContext
+        before = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description")}
         group = f"{self.run}:{self.sc.sid}:{name}"
         context.setJobGroup(group, f"{self.sc.sid} {name}")
         row = {"rows_actual": 0, "notes": ""}
@@ -133,8 +134,8 @@ class PhaseLog:
         try:
             yield row
         finally:
-            for key in ("spark.jobGroup.id", "spark.job.description"):
-                context.setLocalProperty(key, None)
+            for key, value in before.items():
+                context.setLocalProperty(key, value)
             spent = time.time() - t0
             self.rows.append({
                 "scenario_id": self.sc.sid, "scenario_name": self.settings["name"], "phase": name, "started_at": begun,

@@ -107,8 +107,8 @@ def segment_catalogue(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 def table_inventory(tables: DataFrame, segments: DataFrame) -> DataFrame:
     """Tables joined to their segments on (table name, owner); size in GB
-    to 3 places; most rows first."""
+    to 3 places; the largest first."""
     j = tables.join(segments, ["table_name", "owner"], "inner")
     return (j.select("table_name", "num_rows", "partitioned", "num_files", "bytes",
                      F.round(F.col("bytes") / F.lit(1073741824.0), 3).alias("size_gb"))
-             .orderBy(F.desc("num_rows"), "table_name"))
+             .orderBy(F.desc("bytes"), "table_name"))

@@ -138,7 +138,9 @@ def test_inventory_counts_files_and_bytes(spark):
     from ledgerlake.plans.context import Lake
     from ledgerlake.plans.q_sources import table_inventory
     from ledgerlake.sources import store
-    for r in table_inventory(Lake(spark, SF_SMALL)).collect():
+    rows = table_inventory(Lake(spark, SF_SMALL)).collect()
+    assert [r.bytes for r in rows] == sorted((r.bytes for r in rows), reverse=True)
+    for r in rows:
         top = store.table_path(spark, SF_SMALL, r.table_name).removeprefix("file:")
         sizes = [os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(top) for f in fs if f.endswith(".parquet")]
         assert (r.num_files, r.bytes) == (len(sizes), sum(sizes))
