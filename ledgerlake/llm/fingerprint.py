@@ -46,6 +46,8 @@ SPACE = 2                # cells of each table of a comparison, per paragraph of
 ROUNDS = 4               # of peeling, before a retry
 CHECK_BITS = 16
 TABLE_BITS = 40          # a cell's number is below these bits, its table's above
+TASK_DIGESTS = 250_000   # compared in a task
+MAX_TASKS = 1 << 16
 RANGE_ROWS = 4096
 LOWEST = -(1 << 63)
 # Line ends, and spaces after a sentence, also one closed by a quote or bracket.
@@ -95,71 +97,71 @@ def cell(d: Column, table: Column, bits: Column, salt: int) -> Column:
     return table.cast("long") * (1 << TABLE_BITS) + inside
 
 
-def peeled(pairs: DataFrame, salt: int) -> DataFrame:
-    """``key``, ``plus`` and ``minus`` (digests only in the first, only in the second set, as far as
-    recovered) and ``left``, the cells that still hold some, of pairs (key, a, b: digests).
+def peeled(pairs: DataFrame, level: int) -> DataFrame:
+    """``row``, ``of``, ``plus`` and ``minus`` (digests only in the first, only in the second set, as far as
+    recovered) and ``left``, the cells that still hold some, of pairs (row, of, a, b: digests).
 
-    Pairs without a difference have no row.  The number of pairs may be any; each is
-    peeled where its row is."""
+    Pairs without a difference have no row.  All is grouped by row first, so pairs that are dealt by
+    row are built and peeled where they are."""
     sides = F.array(F.struct(F.lit(1).alias("n"), F.col("a").alias("ds")), F.struct(F.lit(-1).alias("n"), F.col("b").alias("ds")))
     need = F.greatest(SPACE * (F.size("a") + F.size("b")), F.lit(TABLE))
-    bits = F.ceil(F.log2(need)).cast("int") + salt
+    bits = F.ceil(F.log2(need)).cast("int") + level
     tables = F.explode(F.array(*map(F.lit, range(TABLES))))
-    rows = pairs.select("key", bits.alias("bits"), F.explode(sides).alias("s"))
-    rows = rows.select("key", "bits", F.col("s.n").alias("n"), F.explode("s.ds").alias("x"))
-    rows = rows.select("key", "bits", "n", "x", tables.alias("t"))
-    at = cell(F.col("x"), F.col("t"), F.col("bits"), salt)
-    keys = ["key", "bits", "at"]
+    rows = pairs.select("row", "of", bits.alias("bits"), F.explode(sides).alias("s"))
+    rows = rows.select("row", "of", "bits", F.col("s.n").alias("n"), F.explode("s.ds").alias("x"))
+    rows = rows.select("row", "of", "bits", "n", "x", tables.alias("t"))
+    at = cell(F.col("x"), F.col("t"), F.col("bits"), level)
+    pair = ["row", "of", "bits"]
+    keys = [*pair, "at"]
 
     def cells(r: DataFrame) -> DataFrame:
         """The cells that hold something; those below 0 count what was recovered."""
         out = r.groupBy(*keys).agg(F.sum("n").cast("int").alias("n"), F.bit_xor("x").alias("x"))
         return out.filter("n <> 0 OR x <> 0")
 
-    now = cells(rows.select("key", "bits", "n", "x", at.alias("at")))
+    now = cells(rows.select(*pair, "n", "x", at.alias("at")))
     for _ in range(ROUNDS):
         x, n = F.col("x"), F.col("n")
-        mine = cell(x, F.shiftright("at", TABLE_BITS).cast("int"), F.col("bits"), salt) == F.col("at")
+        mine = cell(x, F.shiftright("at", TABLE_BITS).cast("int"), F.col("bits"), level) == F.col("at")
         single = (F.col("at") >= 0) & (F.abs(n) == 1) & (_check(x) == x.bitwiseAND((1 << CHECK_BITS) - 1)) & mine
         # A cell passes itself on, and names its digest if it holds one; cells that hold the same name it once.
         kinds = F.when(single, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         named = now.select(*keys, "n", "x", F.explode(kinds).alias("kind"))
-        named = (named.select("key", "bits", "kind", F.when(F.col("kind") == 0, F.col("at")).otherwise(x).alias("at"), "n", "x")
-                 .groupBy("key", "bits", "kind", "at").agg(F.max("n").alias("n"), F.max("x").alias("x")))
+        named = (named.select(*pair, "kind", F.when(F.col("kind") == 0, F.col("at")).otherwise(x).alias("at"), "n", "x")
+                 .groupBy(*pair, "kind", "at").agg(F.max("n").alias("n"), F.max("x").alias("x")))
         # A named digest leaves its three cells and is counted (table 3).
-        named = named.select("key", "bits", "kind", "at", "n", "x", F.explode(F.when(
+        named = named.select(*pair, "kind", "at", "n", "x", F.explode(F.when(
             F.col("kind") == 0, F.array(F.lit(-1))).otherwise(F.array(*map(F.lit, range(TABLES + 1))))).alias("t"))
         out = F.col("t").between(0, TABLES - 1)
         count = F.col("t") == TABLES
         now = cells(named.select(
-            "key", "bits", F.when(out, cell(x, F.col("t"), F.col("bits"), salt)).when(count, F.when(n > 0, F.lit(-1)).otherwise(F.lit(-2)))
+            *pair, F.when(out, cell(x, F.col("t"), F.col("bits"), level)).when(count, F.when(n > 0, F.lit(-1)).otherwise(F.lit(-2)))
             .otherwise(F.col("at")).cast("long").alias("at"),
             F.when(out, -n).when(count, F.lit(1)).otherwise(n).alias("n"), F.when(count, F.lit(0)).otherwise(x).cast("long").alias("x")))
     of = lambda k: F.coalesce(F.sum(F.when(F.col("at") == k, F.col("n"))), F.lit(0))
-    return now.groupBy("key").agg(of(-1).alias("plus"), of(-2).alias("minus"), F.count_if(F.col("at") >= 0).alias("left"))
+    return now.groupBy("row", "of").agg(of(-1).alias("plus"), of(-2).alias("minus"), F.count_if(F.col("at") >= 0).alias("left"))
 
 
 def likeness(a: Column, b: Column, plus: Column, minus: Column) -> Column:
     """Shared over all paragraphs, from set sizes and recovered differences."""
-    every = F.size(a) + minus
-    return F.when(every == 0, F.lit(1.0)).otherwise((F.size(a) - plus) / every).cast("double")
+    every = a + minus
+    return F.when(every == 0, F.lit(1.0)).otherwise((a - plus) / every).cast("double")
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """``key`` and ``near`` of a stored table of pairs (key, a, b: digests)."""
+    """``row``, ``of`` and ``near`` of pairs (row, of, a, b: digests), of which ``row`` and ``of`` are the key."""
     done = []
     for level in range(LEVELS):
-        dealt = pairs.repartition("key")
-        found = dealt.join(peeled(dealt, level), "key", "left").select(
-            "key", "a", "b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("plus", "minus", "left")])
-        near = likeness(F.col("a"), F.col("b"), F.col("plus"), F.col("minus"))
-        again = F.col("left") > 0
-        tried = stored(found.select("key", F.when(~again, near).alias("near"), *[F.when(again, F.col(c)).alias(c) for c in "ab"]),
-                       f"level{level}")
-        done.append(tried.filter("near IS NOT NULL").select("key", "near"))
-        pairs = tried.filter("near IS NULL").select("key", "a", "b")
-        if pairs.isEmpty():
+        sizes = pairs.select("row", "of", F.size("a").alias("a"), F.size("b").alias("b"))
+        found = sizes.join(peeled(pairs, level), ["row", "of"], "left")
+        plus, minus, left = (F.coalesce(c, F.lit(0)) for c in ("plus", "minus", "left"))
+        near = F.when(left == 0, likeness(F.col("a"), F.col("b"), plus, minus))
+        tried = stored(found.select("row", "of", near.alias("near")), f"level{level}")
+        done.append(tried.filter("near IS NOT NULL"))
+        again = tried.filter("near IS NULL").select("row", "of")
+        if again.isEmpty():
             return reduce(DataFrame.unionAll, done)
+        pairs = stored(pairs.join(again, ["row", "of"], "left_semi"), "again").repartition("row")
     raise RuntimeError("sketches cannot be peeled: digests collide")
 
 
@@ -198,17 +200,17 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def sketches(rows: DataFrame) -> DataFrame:
-    """``key`` and ``fingerprint`` of rows (key, ds: digests): the cells of a small sketch that hold something,
-    each as ``number:count:digests`` (XOR, hexadecimal), comma-joined.  Rows without digests are left out."""
-    bits = TABLE.bit_length() - 1
-    one = rows.select("key", F.explode("ds").alias("x")).select("key", "x", F.explode(F.array(*map(F.lit, range(TABLES)))).alias("t"))
-    inside = F.xxhash64(F.lit(0), "t", "x").bitwiseAND((1 << bits) - 1)
-    cells = (one.groupBy("key", (F.col("t") * TABLE + inside).cast("int").alias("at"))
+def sketches(texts: DataFrame) -> DataFrame:
+    """``row``, ``of`` and ``fingerprint`` of texts (row, of, ds: digests): the cells of a small sketch that hold
+    something, each as ``number:count:digests`` (XOR, hexadecimal), comma-joined.  Texts without digests are left out."""
+    one = (texts.select("row", "of", F.explode("ds").alias("x"))
+           .select("row", "of", "x", F.explode(F.array(*map(F.lit, range(TABLES)))).alias("t")))
+    inside = F.xxhash64(F.lit(0), "t", "x").bitwiseAND(TABLE - 1)
+    cells = (one.groupBy("row", "of", (F.col("t") * TABLE + inside).cast("int").alias("at"))
              .agg(F.count(F.lit(1)).alias("n"), F.bit_xor("x").alias("x")))
     text = F.concat_ws(":", "at", "n", F.hex("x"))
-    return cells.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", text.alias("c")))).alias("cells")).select(
-        "key", F.array_join(F.col("cells.c"), ",").alias("fingerprint"))
+    cells = cells.groupBy("row", "of").agg(F.sort_array(F.collect_list(F.struct("at", text.alias("c")))).alias("cells"))
+    return cells.select("row", "of", F.array_join(F.col("cells.c"), ",").alias("fingerprint"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,17 +218,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_next(docs, id_col, text_col).withColumn("e", edited(F.col("text"), F.col("next_text")))
     rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"),
                               F.sha2("e", 256).alias("edited_sha256"), "a", digests(F.col("e")).alias("b"), "c"), "digests")
-    # Keys: twice the row, and one for the second text or pair.
-    second = lambda c: F.struct((2 * F.col("row") + 1).alias("key"), *c)
-    first = lambda c: F.struct((2 * F.col("row")).alias("key"), *c)
-    pairs = rows.select(F.explode(F.array(first([F.col("a"), F.col("b")]), second([F.col("a"), F.col("c").alias("b")]))).alias("p")).select("p.*")
-    near = compare(pairs)
-    texts = rows.select(F.explode(F.array(first([F.col("a").alias("ds")]), second([F.col("b").alias("ds")]))).alias("p")).select("p.*")
-    prints = sketches(texts.repartition("key"))
-    both = (near.join(prints, "key", "left")
-            .groupBy(F.shiftright("key", 1).alias("row")).agg(
-                *[F.max(F.when(F.col("key") % 2 == k, F.coalesce("fingerprint", F.lit("")))).alias(f"f{k}") for k in (0, 1)],
-                *[F.max(F.when(F.col("key") % 2 == k, F.col("near"))).alias(f"n{k}") for k in (0, 1)]))
+    # Tasks of a bounded number of digests, as far as partitions go; a task with more spills.
+    n = rows.agg(F.sum(2 * F.size("a") + F.size("b") + F.size("c"))).first()[0] or 0
+    dealt = rows.select("row", "a", "b", "c").repartition(max(8, min(-(-n // TASK_DIGESTS), MAX_TASKS)), "row")
+
+    def two(first: Column, second: Column) -> DataFrame:
+        return dealt.select("row", F.explode(F.array(first, second)).alias("p")).select("row", "p.*")
+
+    a, b, c = map(F.col, "abc")
+    near = compare(two(F.struct(F.lit(0).alias("of"), a, b), F.struct(F.lit(1).alias("of"), a, c.alias("b"))))
+    prints = sketches(two(F.struct(F.lit(0).alias("of"), a.alias("ds")), F.struct(F.lit(1).alias("of"), b.alias("ds"))))
+    both = near.join(prints, ["row", "of"], "left").groupBy("row").agg(
+        *[F.max(F.when(F.col("of") == k, F.coalesce("fingerprint", F.lit("")))).alias(f"f{k}") for k in (0, 1)],
+        *[F.max(F.when(F.col("of") == k, F.col("near"))).alias(f"n{k}") for k in (0, 1)])
     return (rows.select("row", "doc_id", "n_chars", "edited_sha256").join(both, "row")
             .select("doc_id", "n_chars", "edited_sha256", F.col("f0").alias("fingerprint"), F.col("f1").alias("edited_fingerprint"),
                     F.col("n0").alias("near_edited"), F.col("n1").alias("near_next")))

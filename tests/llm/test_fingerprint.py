@@ -84,7 +84,7 @@ def test_peeling_recovers_differences_and_retries(spark, tmp_path, monkeypatch):
     sets = [(rng.sample(range(2000), rng.choice([0, 1, 20, 500])), rng.sample(range(2000), rng.choice([0, 1, 20, 500]))) for _ in range(60)]
     sets += [([5, 6], [6, 5]), (list(range(900)), list(range(1, 900)))]
     digest = F.transform("d", lambda x: F.shiftleft(F.xxhash64(x), 16))
-    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(sets)], "key long, a array<long>, b array<long>")
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(sets)], "row long, a array<long>, b array<long>").withColumn("of", F.lit(0))
     for c in "ab":
         df = df.withColumn("d", F.col(c)).withColumn(c, F.transform(digest, lambda d: d.bitwiseOR(fingerprint._check(d))))
     df = stored(df.drop("d"), tmp_path, "pairs")
@@ -92,9 +92,9 @@ def test_peeling_recovers_differences_and_retries(spark, tmp_path, monkeypatch):
     for space, rounds in ((2, 4), (1, 1)):  # the second cannot peel most pairs at first
         monkeypatch.setattr(fingerprint, "SPACE", space)
         monkeypatch.setattr(fingerprint, "ROUNDS", rounds)
-        got = {r.key: r.near for r in fingerprint.compare(df).collect()}
+        got = {r.row: r.near for r in fingerprint.compare(df).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    left = {r.key: (r.plus, r.minus, r.left) for r in fingerprint.peeled(df, 3).collect()}
+    left = {r.row: (r.plus, r.minus, r.left) for r in fingerprint.peeled(df, 3).collect()}
     assert 60 not in left and left[61] == (1, 0, 0)
 
 
