@@ -95,7 +95,7 @@ def scale_projection(metrics: DataFrame) -> DataFrame:
     cfg = scenario_config(metrics.sparkSession).select(
         "scenario_id", "scenario_name", "strategy",
         F.col("use_partition_filter").cast("int").alias("pruning_active"))  # a row a scenario
-    return metrics.join(F.broadcast(cfg), "scenario_id", "left").select(
+    return metrics.select(*METRIC_COLS).join(F.broadcast(cfg), "scenario_id", "left").select(
         "metric_id", "scenario_id", "scenario_name", "phase", "duration_sec", "rows_actual",
         "rows_projected", proj.alias("projected_duration_sec"),
         (proj / 60.0).alias("projected_duration_min"),
