@@ -236,7 +236,7 @@ def test_usage_from_an_event_log(spark, tmp_path):
                                             "Task Executor Metrics": {"JVMHeapMemory": heap, "JVMOffHeapMemory": 0}}
     lines = [start(0, [0, 1], "a"), end(0, 10 ** 9, 1 << 20), end(1, 2 * 10 ** 9, 0, 3 << 20), start(1, [1, 2], "b"),
              end(2, 10 ** 9, 5 << 20), start(2, [3], None), end(3, 10 ** 9, 0), {"Event": "SparkListenerApplicationEnd"}]
-    (tmp_path / "log").write_text("\n".join(json.dumps(x) for x in lines) + "\nnot json\n")
+    (tmp_path / "log").write_text("\n".join(json.dumps(x, separators=(",", ":")) for x in lines) + "\nnot json\n")
     got = {r.job_group: (r.tasks, r.cpu_sec, r.peak_mem_mb) for r in usage(events(spark, str(tmp_path / "log"))).collect()}
     assert got == {"a": (2, 3.0, 3.0), "b": (1, 1.0, 5.0)}
 
