@@ -11,7 +11,9 @@ are added, the leftmost first.
 
 The trees learn from the base rules: their valid spans are positive; runs the
 rules matched but dropped, and valid spans with one property spoilt, are
-negative.  The fit reads at most ``TRAIN_SPANS`` candidates, in hash order.
+negative.  Every such candidate counts: three quarters fit the trees, a quarter
+sets the thresholds.  Equal feature vectors are one row with a weight, so the
+fit grows with the distinct vectors.
 
 Everything is DataFrame operations.  Patterns are written so that matching
 stays linear (possessive, no start inside a run).  A text is read once; only
@@ -35,7 +37,6 @@ from pyspark.sql.window import Window
 
 from .common import from_row, hash128, in_row, out_of_row, read, stored
 
-TRAIN_SPANS = 20_000
 MIN_EXAMPLES = 20     # of each label, to fit at all
 ROUNDS, LEVELS = 12, 3
 PRECISE = 0.99        # on held-out candidates of a kind
@@ -124,24 +125,27 @@ def fit(found: DataFrame):
     base = (found.filter(F.col("generator") < len(KINDS)).filter(~((F.col("kind") == 2) & (F.col("digits") < 8)))
             .select("row", "kind", "i", *FEATURES[1:], _valid().cast("double").alias("label")))
     order = F.xxhash64("row", "kind", "i")
-    base = base.orderBy(order, "row", "kind", "i").limit(TRAIN_SPANS)
     good = F.col("label") == 1
-    spoilt = base.filter(good).withColumns({
-        "label": F.lit(0.0),
-        "dots": F.when(F.col("kind") == 0, F.lit(0)).otherwise(F.col("dots")),
-        "octets": F.when(F.col("kind") == 1, F.lit(0)).otherwise(F.col("octets")),
-        "luhn": F.when(F.col("kind") == 2, F.lit(0)).otherwise(F.col("luhn")),
-        "digits": F.when(F.col("kind") == 3, F.pmod(order, F.lit(8)).cast("int")).otherwise(F.col("digits"))})
-    rows = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(base.unionByName(spoilt))
-                  .withColumn("test", F.pmod(F.xxhash64(F.lit(3), "row", "kind", "i"), F.lit(4)) == 0)
-                  .select("kind", "label", "features", "test"), "spans")
-    n = {r["label"]: r["count"] for r in rows.filter("NOT test").groupBy("label").count().collect()}
+    # One pass over the candidates: a valid span gives itself and its spoilt copy.
+    base = base.withColumns({
+        "test": F.pmod(F.xxhash64(F.lit(3), "row", "kind", "i"), F.lit(4)) == 0,
+        "spoilt": F.explode(F.when(good, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))})
+    spoil = lambda k, c, v: F.when(F.col("spoilt") & (F.col("kind") == k), v).otherwise(F.col(c))
+    base = base.withColumns({
+        "label": F.when(F.col("spoilt"), 0.0).otherwise(F.col("label")),
+        "dots": spoil(0, "dots", F.lit(0)), "octets": spoil(1, "octets", F.lit(0)), "luhn": spoil(2, "luhn", F.lit(0)),
+        "digits": spoil(3, "digits", F.pmod(order, F.lit(8)).cast("int"))})
+    alike = ["label", "test", *FEATURES]
+    rows = base.groupBy(*alike).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.sortWithinPartitions(*alike))
+                  .select("kind", "label", "features", "test", "weight"), "spans")
+    n = {r["label"]: r["n"] for r in rows.filter("NOT test").groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     if min(n.get(0.0, 0), n.get(1.0, 0)) < MIN_EXAMPLES:
         return None
-    trees = GBTClassifier(maxIter=ROUNDS, maxDepth=LEVELS, seed=7).fit(rows.filter("NOT test"))
+    trees = GBTClassifier(maxIter=ROUNDS, maxDepth=LEVELS, seed=7, weightCol="weight").fit(rows.filter("NOT test"))
     score = vector_to_array("probability")[1]
     steps = (trees.transform(rows.filter("test")).groupBy("kind", F.floor(score * 100).alias("step"))
-             .agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect())  # 101 steps a kind at most
+             .agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).collect())  # 101 steps a kind at most
     least = {}
     for kind in range(len(KINDS)):
         a = b = 0

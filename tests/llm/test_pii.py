@@ -84,3 +84,17 @@ def test_query_digest(spark):
     row = pii.op3_pii(spark, SF_CHECK).where("n_email > 0").first()
     text = spark.read.parquet(f"{SF_CHECK}/documents.parquet").where(F.col("doc_id") == row.doc_id).first().text
     assert row.base_sha256 == hashlib.sha256(",".join(base(text)).encode()).hexdigest()
+
+
+def test_every_candidate_takes_part_in_the_fit(spark, monkeypatch):
+    """30,000 texts with a valid and a dropped run each: all count, and each valid span's spoilt copy."""
+    n = 30_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string(
+        "from %d.7.7.7 to %d.999.7.7", F.pmod("id", F.lit(200)), F.pmod("id", F.lit(200))).alias("text"))
+    kept, store = {}, pii.stored
+    monkeypatch.setattr(pii, "stored", lambda rows, name: kept.setdefault(name, store(rows, name)))
+    trees, least = pii.fit(pii.candidates(df))
+    rows = kept["spans"].groupBy("label").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert {r.label: r.n for r in rows} == {1.0: n, 0.0: 2 * n}
+    assert all(r.rows < 100 for r in rows)
+    assert 1 in least
