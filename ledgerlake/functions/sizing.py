@@ -28,6 +28,18 @@ def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Data
     return F.broadcast(df) if df.count() * row_width(df.schema) <= max_bytes else df
 
 
+HEAVY_ROWS = 1_000_000  # a key with more is not left to one task
+
+
+def apart(df: DataFrame, key: str, most: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys (null is one) with at most ``most`` rows, and those of the others: a table
+    of n rows has fewer than n / ``most`` such keys, so their list is small."""
+    heavy = (df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > most).select("_key"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return df.join(F.broadcast(heavy), same, "left_anti"), df.join(F.broadcast(heavy), same, "left_semi")
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
                    max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Join a (usually small) dimension; only the columns the caller selected

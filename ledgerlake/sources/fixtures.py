@@ -6,12 +6,12 @@ scan to them.  Nothing here collects data to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import cycle_pick, dec, money_sum, padded_id
-from ..functions.sizing import sized_broadcast
+from ..functions.sizing import HEAVY_ROWS, apart, sized_broadcast
 
 
 def read_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,10 @@ def held_security() -> F.Column:
     return F.when(F.pmod("l_orderkey", F.lit(40)) == 0, padded_id("S9_", "l_partkey", 6)).otherwise(known)
 
 
-def _mv_cost(li: DataFrame) -> DataFrame:
+LOT_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _mv_cost(li: DataFrame, *more: str) -> DataFrame:
     mv = dec("l_extendedprice", 20, 2)
     disc = dec("l_discount", 4, 2)
     tax = dec("l_tax", 4, 2)
@@ -53,6 +56,7 @@ def _mv_cost(li: DataFrame) -> DataFrame:
         dec(F.lit(10) + F.lit(7) * F.col("l_linenumber"), 20, 8).alias("price_local"),
         dec(F.lit(1) + tax, 20, 8).alias("fx_rate"),
         cycle_pick(K.SLICE_CYCLE, "l_orderkey").alias("scenario_id"),
+        *more,
     )
 
 
@@ -68,20 +72,39 @@ def weight_column(mv, total) -> F.Column:
     return w.cast("decimal(10,8)")
 
 
+def holding_lots(spark: SparkSession, sf_dir: str, most: int = HEAVY_ROWS) -> DataFrame:
+    """Line items with their weight in their account-day and the columns that holdings are stored by.
+
+    An account is one ``l_suppkey``.  Only these narrow columns are shuffled, once to their
+    account-day and once to their folder; ``holdings_of`` makes the holdings there.  The lines of an
+    account with more than ``most`` are combined before the shuffle and joined back
+    instead, so no hot account-day sits in one task."""
+    li = read_input(spark, sf_dir, "lineitem").select(*LOT_COLS, F.col("l_shipdate").cast("date").alias("l_shipdate"))
+    few, many = apart(li, "l_suppkey", most)
+    keys, mv = ["l_suppkey", "l_shipdate"], dec("l_extendedprice", 20, 2)
+    known = F.col("l_suppkey").isNotNull() & F.col("l_shipdate").isNotNull()  # a null key has no total
+    few = few.repartition(*keys).withColumn("_mv", mv)
+    few = few.withColumn("_acct_total", F.when(known, F.sum("_mv").over(Window.partitionBy(*keys)).cast("decimal(38,2)")))
+    many = many.withColumn("_mv", mv)
+    many = many.join(many.groupBy(*keys).agg(money_sum("_mv").alias("_acct_total")), keys, "left")
+    return few.unionByName(many).select(
+        *LOT_COLS, "l_shipdate", weight_column(F.col("_mv"), F.col("_acct_total")).alias("weight_in_acct"),
+        F.trunc("l_shipdate", "MM").alias("as_of_month"), cycle_pick(K.SLICE_CYCLE, "l_orderkey").alias("scenario_id"))
+
+
 def raw_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings with stored gain, weight and the month partition column."""
-    h = _mv_cost(read_input(spark, sf_dir, "lineitem"))
-    totals = account_day_totals(h)
-    h = h.join(totals, ["account_id", "as_of_date"], "left")
-    return h.select(
-        "account_id", "security_id", "as_of_date",
-        F.trunc("as_of_date", "MM").alias("as_of_month"),
+    return holdings_of(holding_lots(spark, sf_dir))
+
+
+def holdings_of(lots: DataFrame) -> DataFrame:
+    return _mv_cost(lots, "weight_in_acct", "as_of_month").select(
+        "account_id", "security_id", "as_of_date", "as_of_month",
         "quantity", "market_value_usd", "cost_basis_usd", "currency",
         "price_local", "fx_rate",
         (F.col("market_value_usd") - F.col("cost_basis_usd")).cast("decimal(20,2)")
         .alias("unrealized_gain"),
-        weight_column(F.col("market_value_usd"), F.col("_acct_total")).alias("weight_in_acct"),
-        "scenario_id",
+        "weight_in_acct", "scenario_id",
     )
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import threading
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,9 @@ TABLES = {
     "run_log": (fixtures.run_log, None, ["scenario_id", "phase", "line_no"], ["events"]),
 }
 
+# Tables shuffled to their folders as narrow rows, and what makes them whole there.
+NARROW = {"raw_holdings": (fixtures.holding_lots, fixtures.holdings_of)}
+
 _ready: set[str] = set()
 _locks: dict[str, threading.Lock] = {}
 _locks_guard = threading.Lock()
@@ -77,14 +81,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, part_cols: list[str] | None, keys: list[str],
-                mode: str = "overwrite") -> None:
-    """Bulk write, sorted inside each file.
+                mode: str = "overwrite", whole: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Bulk write, sorted inside each file.  ``whole`` makes the stored rows once they are dealt.
 
     Rows are rebalanced on the partition column (or the leading key): AQE
     sizes the write tasks from runtime statistics, splits a hot month or key
     over several tasks and merges small ones, with no sampling pass and no
     up-front size estimate."""
-    out = df.hint("rebalance", *(part_cols or keys[:1])).sortWithinPartitions(*keys)
+    out = whole(df.hint("rebalance", *(part_cols or keys[:1]))).sortWithinPartitions(*keys)
     w = out.write.mode(mode).option("compression", "snappy")
     if part_cols:
         w = w.partitionBy(*part_cols)
@@ -101,7 +105,8 @@ def build(spark: SparkSession, sf_dir: str, name: str, force: bool = False) -> s
             _ready.add(key)
             return path
         builder, part_cols, keys, _inputs = TABLES[name]
-        write_table(builder(spark, sf_dir), path, part_cols, keys)
+        narrow, whole = NARROW.get(name, (builder, lambda df: df))
+        write_table(narrow(spark, sf_dir), path, part_cols, keys, whole=whole)
         _ready.add(key)
         _frames.pop(key, None)
     return path

@@ -396,3 +396,44 @@ def test_sample_k_draws_only_and_all_listed_members(spark, tmp_path):
     drawn = {r[0] for r in out.select("scenario_id").distinct().collect()}
     members = listed.filter(F.substring("security_id", 1, 2).isin(*drawn))
     assert members.join(out, "security_id", "left_anti").count() == 0
+
+
+def _lines(spark, path):
+    """Line items with null and doubled keys, one account with most rows, values that any weight holds."""
+    rows = [(k % 50, k % 7, None if k % 23 == 0 else (0 if k % 3 else k % 5), k % 4, float(k % 6), (k % 90) + 0.25, 0.01 * (k % 9),
+             0.01 * (k % 8), None if k % 29 == 0 else date(2024, 1 + k % 3, 1 + k % 2)) for k in range(400)]
+    (spark.createDataFrame(rows + rows[:40], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                           "l_extendedprice double, l_discount double, l_tax double, l_shipdate date")
+     .withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")).write.parquet(f"{path}/lineitem.parquet"))
+
+
+def test_landed_weights_with_null_and_heavy_accounts(spark, tmp_path):
+    from ledgerlake.sources import fixtures
+    _lines(spark, tmp_path)
+    h = fixtures.raw_holdings(spark, str(tmp_path))
+    assert h.count() == 440
+    totals = fixtures.account_day_totals(h)
+    weight = fixtures.weight_column(F.col("market_value_usd"), F.col("_acct_total"))
+    plain = h.join(totals, ["account_id", "as_of_date"], "left").withColumn("weight_in_acct", weight).select(*h.columns)
+    for most in (0, 60, 10 ** 6):  # every account is heavy, some are, none is
+        lots = fixtures.holding_lots(spark, str(tmp_path), most)
+        got = fixtures.holdings_of(lots)
+        assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+        # One string a row is shuffled; before, account, security, currency and scenario were.
+        assert [n for n, t in lots.dtypes if t == "string"] == ["scenario_id"]
+
+
+def test_large_dimension_is_hashed_not_sorted(spark):
+    """A dimension too large to broadcast, whose partitions are small: the fact side is not sorted."""
+    from ledgerlake.functions.sizing import join_dimension
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = spark.range(20_000).select((F.col("id") % 500).alias("k"), "id").repartition(4)
+        dim = spark.range(400).select(F.col("id").alias("k"), F.col("id").cast("string").alias("name")).repartition(2)
+        j = join_dimension(fact, dim, "k", "left", max_bytes=0)
+        assert len(j.collect()) == 20_000
+        plan = j._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
