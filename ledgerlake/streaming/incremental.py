@@ -9,8 +9,6 @@ that month's rows, old and new), with a dynamic partition overwrite; last,
 the batches are recorded as rebuilt.  A run that dies in between leaves its
 notes, and the next run rebuilds their months.
 
-``sync_months``, the batch loader, compares digests of the months instead.
-
 ``sync_months`` is the batch loader: it compares digests of the months instead.
 """
 
@@ -24,14 +22,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import money_sum
+from ..functions.sizing import HEAVY_ROWS, apart
 from ..operators import sinks
 from ..operators.sketches import among
 from ..session import checkpoint_root
 from ..sources import store
 
 
-def account_day_by_month(h: DataFrame) -> DataFrame:
-    return (h.groupBy("account_id", "as_of_date", "as_of_month")
+def account_day_by_month(h: DataFrame, most: int = HEAVY_ROWS) -> DataFrame:
+    """Account-days with their month.  One shuffle by account-day serves the distinct count and the
+    sums; accounts with more than ``most`` rows are combined before their shuffles instead."""
+    few, many = apart(h.select("account_id", "as_of_date", "as_of_month", "security_id", "market_value_usd", "unrealized_gain"),
+                      "account_id", most)
+    return _account_days(few.repartition(*ACCOUNT_DAY)).unionByName(_account_days(many))
+
+
+ACCOUNT_DAY = ["account_id", "as_of_date", "as_of_month"]
+
+
+def _account_days(h: DataFrame) -> DataFrame:
+    return (h.groupBy(*ACCOUNT_DAY)
              .agg(F.count_distinct("security_id").alias("sec_count"),
                   money_sum("market_value_usd").alias("total_mv"),
                   money_sum("unrealized_gain").alias("total_gain")))

@@ -158,3 +158,18 @@ def test_sketches_of_new_months_merge_to_a_full_rebuild(spark, tmp_path):
     assert got == want and [r[1] for r in got] == [1770] * 3
     exact = table().agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
     assert all(abs(r[2] - exact[r[0]]) <= max(1, sketches.ERROR * exact[r[0]]) for r in got)
+
+
+def test_account_days_take_one_shuffle_and_heavy_accounts_count_alike(spark):
+    from ledgerlake.streaming import incremental as inc
+    rows = [_row(k % 40, date(2024, 1 + k % 2, 3), date(2024, 1 + k % 2, 1)) for k in range(200)]
+    rows += [(None, "S1", None, None, None, None)] * 3 + [("A0", None, date(2024, 1, 3), date(2024, 1, 1), Decimal(2), Decimal(1))]
+    h = _holdings(spark, rows)
+    want = h.groupBy("account_id", "as_of_date", "as_of_month").agg(
+        F.count_distinct("security_id").alias("sec_count"), F.sum("market_value_usd").cast("decimal(38,2)").alias("total_mv"),
+        F.sum("unrealized_gain").cast("decimal(38,2)").alias("total_gain"))
+    for most in (0, 66, 10 ** 6):
+        got = inc.account_day_by_month(h, most)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    one = inc._account_days(h.repartition(*inc.ACCOUNT_DAY))
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
