@@ -169,11 +169,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``text``, its digests ``a``, and ``next_text`` and ``c``, those of the next row by
     descending id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.withColumn("a", digests(F.col("text")))
     rows = rows.withColumns({"_k": F.coalesce("doc_id", F.lit(LOWEST)), "_h": F.xxhash64("text")})
     keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_k"))
     n = keys.count()
     if not n:
+        rows = rows.withColumn("a", digests(F.col("text")))
         return rows.select("doc_id", "text", "a", F.col("text").alias("next_text"), F.col("a").alias("c"))
     ranges = -(-n // RANGE_ROWS)
     bounds = sorted(set(keys.agg(F.percentile_approx("_k", [k / ranges for k in range(1, ranges)] or [0.5], 100 * ranges))
@@ -188,8 +188,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     places = F.array_compact(F.array(F.struct(part, F.lit(0).alias("_copy")),
                                      F.when(also.isNotNull(), F.struct(also.alias("_part"), F.lit(1).alias("_copy")))))
     w = Window.partitionBy("_part").orderBy("_copy", F.desc("_k"), "_h")
-    return (rows.withColumn("_p", F.explode(places)).select("doc_id", "text", "a", "_k", "_h", "_p.*")
-            .withColumns({"next_text": F.lead("text").over(w), "c": F.lead("a").over(w)}).filter("_copy = 0")
+    # The texts are shuffled without their digests, which are made where the rows arrive.
+    return (rows.withColumn("_p", F.explode(places)).select("doc_id", "text", "_k", "_h", "_p.*").repartition("_part")
+            .withColumn("a", digests(F.col("text"))).withColumns({"next_text": F.lead("text").over(w), "c": F.lead("a").over(w)}).filter("_copy = 0")
             .select("doc_id", "text", "a", "next_text", "c"))
 
 

@@ -118,3 +118,11 @@ def test_every_sentence_end_cuts(spark):
     text = 'One a. Two b! "Three c." Four d? Five e\nsix 3.5 g. '
     got = spark.range(1).select(fingerprint.paragraphs(F.lit(text)).alias("p")).first().p
     assert got == ["One a.", "Two b!", '"Three c."', "Four d?", "Five e", "six 3.5 g."]
+
+
+def test_texts_are_shuffled_without_their_digests(spark, tmp_path):
+    df = stored(docs(spark, [f"One {k}. Two {k}.\nThree." for k in range(50)]), tmp_path)
+    plan = fingerprint.with_next(df, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    nodes = [line for line in plan.splitlines() if "array_distinct" in line or "Exchange hashpartitioning(_part" in line]
+    assert len([n for n in nodes if "Exchange" in n]) == 1
+    assert "Exchange" in nodes[-1]  # the plan's last lines run first
