@@ -126,3 +126,28 @@ def test_texts_are_shuffled_without_their_digests(spark, tmp_path):
     nodes = [line for line in plan.splitlines() if "array_distinct" in line or "Exchange hashpartitioning(_part" in line]
     assert len([n for n in nodes if "Exchange" in n]) == 1
     assert "Exchange" in nodes[-1]  # the plan's last lines run first
+
+
+def test_all_rows_are_shuffled_once(spark, tmp_path):
+    df = stored(docs(spark, [f"One {k}. Two {k}.\nThree." for k in range(50)]), tmp_path)
+    rows = fingerprint.with_next(df, "doc_id", "text")
+    rows = rows.select("_part", F.monotonically_increasing_id().alias("row"), "a", fingerprint.digests(F.col("next_text")).alias("b"), "c")
+    plan = fingerprint.sketched(fingerprint.compared(rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(_part") == 1
+    out = fingerprint.fingerprints(df)._jdf.queryExecution().executedPlan().toString()
+    assert out.count("Exchange ") == out.count("Join") == 0  # none is tried again
+
+
+def test_rows_tried_again_keep_their_fingerprints(spark, tmp_path, monkeypatch):
+    df = stored(docs(spark, ["\n".join(f"line {i % (k + 7)} of {k}" for i in range(60)) for k in range(12)]), tmp_path)
+    want = sorted(map(tuple, fingerprint.fingerprints(df).collect()))
+    monkeypatch.setattr(fingerprint, "SPACE", 1)
+    monkeypatch.setattr(fingerprint, "ROUNDS", 1)  # most are not peeled at first
+    assert sorted(map(tuple, fingerprint.fingerprints(df).collect())) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 50])
+def test_ranges_are_counts_of_bounds(spark, n):
+    bounds = sorted(random.Random(n).sample(range(-100, 100), n))
+    got = spark.range(-105, 105).select("id", fingerprint._range(F.col("id"), bounds).alias("p")).collect()
+    assert all(r.p == sum(b <= r.id for b in bounds) for r in got)
