@@ -8,17 +8,19 @@ row with ``sequence``/``explode`` and joined to a one-row-per-scenario side.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import cycle_pick, half_up_div, padded_id
-from ..functions.sizing import sized_broadcast
+from ..functions.sizing import BROADCAST_MAX_BYTES
 from ..session import checkpoint_root
 from ..sources.catalog import scenario_config, slice_map
 from ..sources.fixtures import account_day_totals, weight_column
-from .ranks import halves, numbered, permuted, slot_keys
+from .ranks import PACK_BITS, block_of, halves, numbered, packed, permuted, slot_keys, tiles, unpacked
 
 
 def _slice_holdings(h: DataFrame, spark: SparkSession) -> DataFrame:
@@ -67,33 +69,61 @@ def member_ranks(securities: DataFrame, work: str) -> DataFrame:
     return numbered(listed, ["scenario_id"], ["security_id"], work)
 
 
-def sample_k(h: DataFrame, securities: DataFrame, spark: SparkSession, work: str | None = None) -> DataFrame:
+def sample_k(h: DataFrame, securities: DataFrame, spark: SparkSession, work: str | None = None,
+             max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Per scenario, account and business day, min(k, population) distinct listed
     securities of the scenario, drawn at random without ranking the population per
     slot: a slot's r-th draw is the r-th place of the slot's own permutation of
-    the members' dense ranks.  ``work`` is a folder for the ranks."""
+    the members' dense ranks.  ``work`` is a folder for the ranks.
+
+    There are many more draws than slots or members, so they stay in the task that makes
+    them: the members are broadcast as packed names, in tiles below ``max_bytes``, and
+    the draws of a tile's scenarios are made once a tile.  Only more than MOST_TILES
+    are joined by a shuffle of the draws."""
     work = work or f"{checkpoint_root(spark)}/ledgerlake-ranks/{uuid.uuid4().hex}"
     ranked = member_ranks(securities, f"{work}/sorted")
     ranked.write.mode("overwrite").parquet(f"{work}/ranks")
     members = spark.read.schema(ranked.schema).parquet(f"{work}/ranks")
-    a, b = halves(F.col("n"))
-    population = (members.groupBy("scenario_id").agg(F.max("n").alias("n"))
-                  .select("scenario_id", "n", a.alias("_a"), b.alias("_b")))
     cfg = scenario_config(spark).select("scenario_id", "holdings_per_slot")
-    per = F.broadcast(population.join(F.broadcast(cfg), "scenario_id"))  # a row a scenario
-    slots = (_slice_holdings(h.select("scenario_id", "account_id", "as_of_date"), spark)
-             .where(F.weekday("as_of_date") < 5)
-             .groupBy("scenario_id", "account_id", "as_of_date").agg(F.count(F.lit(1)).alias("lots")))
+    population = (members.groupBy("scenario_id").agg(F.max("n").alias("n")).join(F.broadcast(cfg), "scenario_id")
+                  .orderBy("scenario_id").collect())  # a row a scenario
+    firsts = accumulate((p.n for p in population), initial=0)  # places: those of a scenario follow the last one's
+    per = [(p.scenario_id, p.n, p.holdings_per_slot, first) for p, first in zip(population, firsts)]
+
+    def settings(some: list[tuple]) -> DataFrame:
+        a, b = halves(F.col("n"))
+        return F.broadcast(spark.createDataFrame(some, "scenario_id string, n long, holdings_per_slot int, _first long")
+                           .select("*", a.alias("_a"), b.alias("_b")))
+
+    rows = packed(members.join(settings(per), "scenario_id").select(
+        (F.col("_first") + F.col("rank")).alias("_at"), "security_id"), F.col("_at"), F.col("security_id"))
+    rows.write.mode("overwrite").parquet(f"{work}/packed")
+    rows = spark.read.schema(rows.schema).parquet(f"{work}/packed")
+
+    # Distinct in a slice, so S6's slots are shuffled as S5's; one shuffle serves all tiles.
+    slots = _slice_holdings(h.select("scenario_id", "account_id", "as_of_date")
+                            .where(F.weekday("as_of_date") < 5).distinct(), spark)
     keys = [f"_k{j}" for j in range(4)]
     named = slot_keys(F.col("scenario_id"), F.col("account_id"), F.col("as_of_date").cast("string"))
-    drawn = (slots.join(per, "scenario_id")
-             .select("scenario_id", "account_id", F.col("as_of_date").alias("slot_date"), "n", "_a", "_b", "holdings_per_slot",
-                     *[c.alias(k) for k, c in zip(keys, named, strict=True)])
-             .withColumn("_r", F.explode(F.sequence(
-                 F.lit(1).cast("long"), F.least(F.col("holdings_per_slot").cast("long"), F.col("n"))))))
-    picked = drawn.withColumn("rank", permuted(F.col("_r") - 1, F.col("n"), F.col("_a"), F.col("_b"), [F.col(k) for k in keys]))
-    return (picked.join(sized_broadcast(members.select("scenario_id", "rank", "security_id")), ["scenario_id", "rank"])
-            .select("scenario_id", "account_id", "slot_date", "security_id", F.col("_r").alias("rank_in_slot")))
+
+    def drawn(some: list[tuple], names: DataFrame) -> DataFrame:
+        made = (slots.join(settings(some), "scenario_id")
+                .select("scenario_id", "account_id", F.col("as_of_date").alias("slot_date"), "n", "_a", "_b", "_first",
+                        "holdings_per_slot", *[c.alias(k) for k, c in zip(keys, named, strict=True)])
+                .withColumn("_r", F.explode(F.sequence(
+                    F.lit(1).cast("long"), F.least(F.col("holdings_per_slot").cast("long"), F.col("n"))))))
+        rank = permuted(F.col("_r") - 1, F.col("n"), F.col("_a"), F.col("_b"), [F.col(k) for k in keys])
+        place = F.coalesce(F.col("_first") + rank, F.lit(-1))  # never null: a check for nulls would permute twice
+        return (made.select("scenario_id", "account_id", "slot_date", "_r", place.alias("_place"))
+                .join(names.select("pack", "prefix", "width", "names"), F.shiftright("_place", PACK_BITS) == F.col("pack"))
+                .select("scenario_id", "account_id", "slot_date", unpacked(F.col("_place")).alias("security_id"),
+                        F.col("_r").alias("rank_in_slot")))
+
+    parts = []
+    for low, high in tiles(rows, max_bytes):
+        met = [(sid, n, k, first) for sid, n, k, first in per if block_of(first) <= high and block_of(first + n - 1) >= low]
+        parts.append(drawn(met, F.broadcast(rows.where(F.col("block").between(low, high)))))
+    return reduce(DataFrame.unionByName, parts) if parts else drawn(per, rows)
 
 
 def position_measures(h: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ their partition.  Counts per partition then give each partition's first
 number by a prefix sum in two levels (partitions inside blocks, then
 blocks), so no window sees more than ``BLOCK`` rows of a block, or one row
 a block, and none sees the table.
+
+Names looked up by their number are packed, many a row, so that a table of
+them is small enough to broadcast where a row a name would not be.
 """
 
 from __future__ import annotations
@@ -14,7 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import BROADCAST_MAX_BYTES
+
 BLOCK = 1024
+PACK_BITS = 5    # names a row: 2^5
+BLOCK_BITS = 11  # rows a block of packed names, which is what tiles are made of: 2^11
+ROW_BYTES = 64   # of a packed row, but for its names
+MOST_TILES = 4
 PRIME = 2147483647  # 2^31 - 1
 MULTIPLIERS = (65521, 48271)
 
@@ -114,3 +123,49 @@ def permuted_sql(x: str, n: str, a: str, b: str, keys: list[str]) -> str:
                             lambda p, q: _Sql(f"({str(p)} // {str(q)})"), lambda p, q: p % q))
     return (f"list_reduce(list_prepend({once(x)}, CAST(range(greatest({a} * {b} - {n}, 1)) AS BIGINT[])), "
             f"lambda v, i: CASE WHEN v < {n} THEN v ELSE {once('v')} END)")
+
+
+def packed(names: DataFrame, place: Column, name: Column) -> DataFrame:
+    """Names by their ``place`` (0 to their number - 1, each once), 2^PACK_BITS a row: the ``prefix``
+    that all of a row share, and of each the rest, ended by a dot and filled up with blanks to the
+    row's ``width`` in bytes."""
+    rows = (names.select(place.alias("_place"), name.alias("_name"))
+            .groupBy(F.shiftright("_place", PACK_BITS).alias("pack"))
+            .agg(F.sort_array(F.collect_list(F.struct("_place", "_name"))).alias("_names"),
+                 F.min("_name").alias("_low"), F.max("_name").alias("_high")))
+    shorter = F.least(F.length("_low"), F.length("_high"))
+    shared = F.size(F.filter(F.sequence(F.lit(0), shorter), lambda n: (
+        F.substring("_low", F.lit(1), n) == F.substring("_high", F.lit(1), n)))) - 1
+    rows = rows.withColumn("prefix", F.substring("_low", F.lit(1), shared))
+    rows = rows.withColumn("_rests", F.transform("_names", lambda x: F.concat(
+        F.substr(x["_name"], F.length("prefix") + 1), F.lit("."))))
+    rows = rows.withColumn("width", F.array_max(F.transform("_rests", F.octet_length)))
+    filled = F.transform("_rests", lambda x: F.concat(x, F.repeat(F.lit(" "), F.col("width") - F.octet_length(x))))
+    return rows.select("pack", F.shiftright("pack", BLOCK_BITS).alias("block"), "prefix", "width",
+                       F.array_join(filled, "").cast("binary").alias("names"))
+
+
+def unpacked(place: Column) -> Column:
+    """The name at a place, of the packed row joined to it."""
+    at = place.bitwiseAND((1 << PACK_BITS) - 1).cast("int") * F.col("width") + 1
+    rest = F.rtrim(F.substring("names", at, F.col("width")).cast("string"))
+    return F.concat("prefix", F.substring(rest, F.lit(1), F.length(rest) - 1))
+
+
+def block_of(place: int) -> int:
+    return place >> (PACK_BITS + BLOCK_BITS)
+
+
+def tiles(rows: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> list[tuple[int, int]]:
+    """Runs of blocks (first, last) of packed rows that each fit a broadcast by their bytes, measured
+    now; no runs if there would be more than MOST_TILES or one block is too large alone."""
+    sizes = (rows.groupBy("block").agg(F.sum(F.octet_length("names") + F.octet_length("prefix") + ROW_BYTES).alias("size"))
+             .orderBy("block").collect())  # a row a block
+    runs, room = [], 0
+    for block, size in sizes:
+        if size > room:
+            runs.append((block, block))
+            room = max_bytes
+        runs[-1] = (runs[-1][0], block)
+        room -= size
+    return runs if len(runs) <= MOST_TILES and all(r.size <= max_bytes for r in sizes) else []

@@ -437,3 +437,62 @@ def test_large_dimension_is_hashed_not_sorted(spark):
         assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _holdings(spark):
+    """Holdings of four slices, with doubled slots, weekends and a null date."""
+    rows = [(f"S{k % 4 + 2}", f"A{k % 3}", None if k == 7 else date(2024, 1, 1 + k % 12)) for k in range(60)]
+    return spark.createDataFrame(rows, "scenario_id string, account_id string, as_of_date date")
+
+
+def test_packed_names_come_back(spark):
+    from ledgerlake.operators.ranks import PACK_BITS, packed, unpacked
+    odd = ["", " ", ".", "a", "a ", "a.", "a. ", " a", "ä", "äö", "日本 ", "x" * 300, "S1_000001", "S1_0000010"]
+    for names in (odd, [f"S{k % 3}_{k:05d}{'é' * (k % 4)}" for k in range(1000)], ["one"], []):
+        df = spark.createDataFrame([*enumerate(names)], "place long, name string").repartition(5)
+        rows = packed(df, F.col("place"), F.col("name"))
+        assert rows.count() == -(-len(names) // (1 << PACK_BITS))
+        got = df.select("place").join(rows, F.shiftright("place", PACK_BITS) == F.col("pack")).select("place", unpacked(F.col("place"))).collect()
+        assert dict(map(tuple, got)) == dict(enumerate(names)) and len(got) == len(names)
+
+
+def test_sample_k_draws_are_not_shuffled(spark, tmp_path):
+    """800,000 members, more than are broadcast a row each: before, every draw was shuffled to its member."""
+    from ledgerlake.operators.generators import sample_k
+    listed = spark.range(800_000).select(F.format_string("S%d_%06d", F.col("id") % 8 + 1, "id").alias("security_id"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sample_k(_holdings(spark), listed, spark, str(tmp_path / "ranks"))
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert plan.count("Exchange hashpartitioning") == 1  # the slots'
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    draws = {"S2": 25, "S3": 30, "S4": 25, "S5": 40, "S6": 40}
+    slots = {(r.scenario_id, r.account_id, r.slot_date) for r in rows}
+    assert len(rows) == sum(draws[s] for s, _, _ in slots) == len({(*r[:3], r.security_id) for r in rows})
+    assert all(r.security_id[:2] == r.scenario_id and (int(r.security_id[3:]) % 8) + 1 == int(r.scenario_id[1]) for r in rows)
+
+
+def test_sample_k_in_tiles_is_the_same(spark, tmp_path, monkeypatch):
+    from ledgerlake.operators import generators, ranks
+    listed = spark.range(3000).where("id % 3 <> 1").select(
+        F.format_string("S%d_%06d", F.col("id") % 8 + 1, "id").alias("security_id"))
+
+    def sample(members, size, name):
+        return sorted(map(tuple, generators.sample_k(_holdings(spark), members, spark, str(tmp_path / name), size).collect()))
+
+    whole = sample(listed, 10 ** 6, "whole")
+    assert whole
+    monkeypatch.setattr(ranks, "BLOCK_BITS", 3)
+    for most, size, tiled in ((9, 3000, True), (1, 3000, False), (9, 10, False)):  # too many tiles, too large blocks
+        monkeypatch.setattr(ranks, "MOST_TILES", most)
+        assert sample(listed, size, f"{most}-{size}") == whole
+        rows = spark.read.parquet(str(tmp_path / f"{most}-{size}/packed"))
+        runs = ranks.tiles(rows, size)
+        blocks = sorted(r.block for r in rows.select("block").distinct().collect())
+        assert [b for low, high in runs for b in range(low, high + 1)] == (blocks if tiled else [])
+        assert not tiled or len(runs) > 1
+    assert sample(listed.limit(0), 10 ** 6, "none") == []
